@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigflow.llm import lines, mixing, warc
+from sigflow.llm import jaccard, lines, mixing, warc
 from sigflow.llm.common import cut
 
 
@@ -19,6 +19,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = warc.write_warc(table(spark, sf_dir, "pages"))
     out = warc.records(warc.read_chunks(segments))
@@ -30,7 +34,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES = {"op2_mix": op2_mix, "op5_warc": op5_warc, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op2_mix": op2_mix, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op10_line_dedup": op10_line_dedup}
 
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
