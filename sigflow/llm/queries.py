@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigflow.llm import jaccard, lines, mixing, warc
+from sigflow.llm import decontaminate, jaccard, lines, mixing, topk, toxicity, warc
 from sigflow.llm.common import cut
 
 
@@ -13,12 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     out = mixing.plan_copies(cut(docs))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,12 +40,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_tokens", "toxic_spans")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES = {"op2_mix": op2_mix, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op10_line_dedup": op10_line_dedup}
 
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -51,6 +69,14 @@ SELECT doc_id, size, source_size, target, CAST(c * size AS BIGINT) AS taken, CAS
 FROM (SELECT *, floor(rnk * each + {mixing.offset_of()!r}) - floor((rnk - 1) * each + {mixing.offset_of()!r}) AS c FROM k)
 """
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 h AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
@@ -72,4 +98,4 @@ r AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHE
 SELECT d.doc_id, r.text, CAST(coalesce(r.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(r.n_removed, 0) AS INTEGER) AS n_removed FROM documents d LEFT JOIN r USING (doc_id)
 """
 
-ORACLE = {"op2_mix": OP2_SQL, "op5_warc": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op5_warc": OP5_SQL, "op10_line_dedup": OP10_SQL}
