@@ -118,3 +118,22 @@ def components(edges: DataFrame) -> DataFrame:
 def row_key(*cols: Column | str) -> list[Column]:
     """A 96-bit content key of a row, for nulls and repeated rows alike: equal rows share it."""
     return [F.xxhash64(*cols), F.hash(*reversed(cols))]
+
+
+def split_by(df: DataFrame, col: str, keys: DataFrame, key: str, bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose col may be among keys, rows whose col surely is not).
+
+    A bitmap of fixed size (4 MB at most, so it is broadcast whatever the input) holds the hashes of the keys. Only
+    the first part then needs a join. A crowded bitmap lets more rows through; it loses none. A null col is surely
+    not among them.
+    """
+    wide = 32768
+    mark, bucket, map_ = internal(df, "_mark"), internal(df, "_bucket"), internal(df, "_map")
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = keys.where(F.col(key).isNotNull()).select(h(F.col(key)).alias("h")).groupBy((F.col("h") / wide).cast("int").alias(bucket)).agg(F.bitmap_construct_agg((F.col("h") % wide)).alias(map_))
+    marked = df.withColumn(mark, h(F.col(col))).withColumn(bucket + "0", (F.col(mark) / wide).cast("int"))
+    marked = marked.join(F.broadcast(maps), F.col(bucket) == F.col(bucket + "0"), "left")
+    place = F.col(mark) % wide
+    byte = F.conv(F.hex(F.substring(F.col(map_), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), place % 8)), F.lit(2)) == 1, F.lit(False)) & F.col(col).isNotNull()
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)

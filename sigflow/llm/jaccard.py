@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.common import WORD, WordHashes, components, cut, internal, mix64, shingle_hashes, word_hashes
+from sigflow.llm.common import WORD, WordHashes, components, cut, internal, mix64, shingle_hashes, split_by, word_hashes
 
 FEATURES = "set_key binary, n long, prefixes array<long>, shingles binary"
 
@@ -179,13 +179,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     depth = forest_depth(threshold, trees, longest, recall)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     feats = cut(slim.mapInArrow(_features(trees, depth, width), f"doc_id long, {FEATURES}"))
-    sets = feats.where("n > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least_id"))
-    nodes = feats.where("n > 0").select("set_key", F.explode("prefixes").alias("node")).distinct()
-    shared = nodes.groupBy("node").agg(F.min("set_key").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", "v")
+    full = feats.where("n > 0")
+    sets = cut(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least_id"), F.first("prefixes").alias("prefixes")))
+    # one exchange by node serves both the groups and the join back to them
+    nodes = sets.select("set_key", F.explode("prefixes").alias("node")).repartition("node")
+    shared = nodes.groupBy("node").agg(F.min("set_key").alias("v"), F.max("set_key").alias("w")).where("v < w").select("node", "v")
     edges = nodes.join(shared, "node").select(F.col("set_key").alias("u"), "v")
-    group = cut(components(edges))
-    # shingles of a candidate set: one of its documents carries them
-    of = feats.where("n > 0").select("set_key", "n", "shingles").join(group.select(F.col("u").alias("set_key"), "root"), "set_key")
+    sets = sets.drop("prefixes")
+    group = cut(components(edges)).withColumnRenamed("u", "set_key")
+    # shingles of a candidate set: one of its documents carries them; the others' never move
+    maybe, _ = split_by(full.select("set_key", "n", "shingles"), "set_key", group, "set_key")
+    of = maybe.join(group, "set_key")
     of = of.dropDuplicates(["set_key"]).join(sets, "set_key")
     of = cut(of.withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")))
     bins = of.groupBy("root", "bin").agg(F.count(F.lit(1)).alias("k"))
@@ -220,8 +224,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each class kept: that with the least doc_id; rows without an id stay."""
-    mine = internal(docs, "_keep")
-    found = near_duplicates(docs, text, doc_id, **options)
-    keep = found.where("doc_id = class_id").select(F.col("doc_id").alias(mine)).distinct()
-    kept = docs.join(keep, F.col(doc_id) == F.col(mine)).select(*docs.columns).dropDuplicates([doc_id, text])
-    return kept.union(docs.where(F.col(doc_id).isNull()))
+    mine, class_ = internal(docs, "_mine"), internal(docs, "_class")
+    found = cut(near_duplicates(docs, text, doc_id, **options).where("n_links > 0 and doc_id is not null"))
+    found = found.select(F.col("doc_id").alias(mine), F.col("class_id").alias(class_)).distinct()
+    maybe, alone = split_by(docs, doc_id, found, mine)
+    linked = maybe.join(found, F.col(doc_id) == F.col(mine), "left").where(F.col(mine).isNull() | (F.col(mine) == F.col(class_)))
+    return linked.select(*docs.columns).dropDuplicates([doc_id, text]).union(alone)

@@ -284,17 +284,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     the share of either label among all training rows. With no label of one kind the model marks nothing.
     """
     known = labels.where(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(toxic).cast("int").alias("y")).where(~held_out(F.col("id")))
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, "id")
-    rows = rows.select("text", "y", F.xxhash64("text").alias("draw")).dropDuplicates(["draw", "y"])
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model(frozenset())
-    picked = None
-    for y in (0, 1):
-        of = rows.where(F.col("y") == y)
-        of = of.where(F.pmod(F.col("draw"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n[y])))
-        picked = of if picked is None else picked.union(of)
-    picked = cut(picked.select("text", "y"))
+    # the sample is drawn among the labels, so no text of another row moves; it has 2 * sample rows at most
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "id")
+    picked = cut(rows.select("text", "y").dropDuplicates(["text", "y"]))
     got = {r["y"]: r["count"] for r in picked.groupBy("y").count().collect()}
     if not got.get(0) or not got.get(1):
         return Model(frozenset())
