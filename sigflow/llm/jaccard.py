@@ -157,6 +157,44 @@ def _verify(threshold: float):
     return run
 
 
+def candidate_groups(sets: DataFrame) -> DataFrame:
+    """set_key, root: components over shared prefix nodes, each node tied to its least member."""
+    # one exchange by node serves both the groups and the join back to them
+    nodes = sets.select("set_key", F.explode("prefixes").alias("node")).repartition("node")
+    shared = nodes.groupBy("node").agg(F.min("set_key").alias("v"), F.max("set_key").alias("w")).where("v < w").select("node", "v")
+    edges = nodes.join(shared, "node").select(F.col("set_key").alias("u"), "v")
+    return cut(components(edges)).withColumnRenamed("u", "set_key")
+
+
+def verify(of: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Exact links within candidate groups: of has root, set_key, n, weight and shingles, a row per set.
+
+    Rows (u, null, links) count the documents that a set links to; rows (u, v, 0) are edges of spanning forests.
+    """
+    spark = of.sparkSession
+    of = cut(of.withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")))
+    bins = of.groupBy("root", "bin").agg(F.count(F.lit(1)).alias("k"))
+    total = bins.groupBy("root").agg(F.sum("k").alias("all"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("k") / block).cast("int")))).alias("parts"))
+    placed = of.join(total, "root").where("all > 1")
+    parts = lambda b: F.coalesce(F.try_element_at("parts", b), F.lit(0))
+    own = F.pmod(F.xxhash64("set_key"), parts(F.col("bin"))).cast("int")
+    large = placed.where(F.col("all") > block).withColumn("part", own)
+
+    def others(shift: int):
+        """The blocks of a neighbouring bin (sizes in bins further off cannot reach the threshold)."""
+        b = F.col("bin") + shift
+        return F.transform(F.when(parts(b) > 0, F.sequence(F.lit(0), parts(b) - 1)).otherwise(F.array().cast("array<int>")), lambda p: F.struct(b.alias("b"), p.alias("p")))
+
+    me = F.struct(F.col("bin").alias("b"), F.col("part").alias("p"))
+    mates = F.concat(others(-1), others(0), others(1))
+    large = large.withColumn("mate", F.explode(mates)).withColumn("me", me)
+    task = F.xxhash64("root", F.least("me", "mate"), F.greatest("me", "mate"))
+    large = large.select(task.alias("task"), "set_key", "n", "weight", F.xxhash64("me").alias("block"), "shingles")
+    small = placed.where(F.col("all") <= block).select(F.xxhash64("root").alias("task"), "set_key", "n", "weight", F.lit(0).cast("long").alias("block"), "shingles")
+    work = small.union(large).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
+    return cut(work.mapInArrow(_verify(threshold), "u binary, v binary, links long"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, width: int = 5, trees: int = 24, longest: int = 8, recall: float = 0.999, block: int = 256) -> DataFrame:
     """One row per document: its doc_id, class_id (least doc_id of its class) and n_links.
 
@@ -175,43 +213,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     documents of their own that link to one another. An empty table gives an empty table; other columns are left
     alone.
     """
-    spark = docs.sparkSession
     depth = forest_depth(threshold, trees, longest, recall)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     feats = cut(slim.mapInArrow(_features(trees, depth, width), f"doc_id long, {FEATURES}"))
     full = feats.where("n > 0")
     sets = cut(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least_id"), F.first("prefixes").alias("prefixes")))
-    # one exchange by node serves both the groups and the join back to them
-    nodes = sets.select("set_key", F.explode("prefixes").alias("node")).repartition("node")
-    shared = nodes.groupBy("node").agg(F.min("set_key").alias("v"), F.max("set_key").alias("w")).where("v < w").select("node", "v")
-    edges = nodes.join(shared, "node").select(F.col("set_key").alias("u"), "v")
+    group = candidate_groups(sets.select("set_key", "prefixes"))
     sets = sets.drop("prefixes")
-    group = cut(components(edges)).withColumnRenamed("u", "set_key")
     # shingles of a candidate set: one of its documents carries them; the others' never move
     maybe, _ = split_by(full.select("set_key", "n", "shingles"), "set_key", group, "set_key")
     of = maybe.join(group, "set_key")
     of = of.dropDuplicates(["set_key"]).join(sets, "set_key")
-    of = cut(of.withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")))
-    bins = of.groupBy("root", "bin").agg(F.count(F.lit(1)).alias("k"))
-    total = bins.groupBy("root").agg(F.sum("k").alias("all"), F.map_from_entries(F.collect_list(F.struct("bin", F.ceil(F.col("k") / block).cast("int")))).alias("parts"))
-    placed = of.join(total, "root").where("all > 1")
-    parts = lambda b: F.coalesce(F.try_element_at("parts", b), F.lit(0))
-    own = F.pmod(F.xxhash64("set_key"), parts(F.col("bin"))).cast("int")
-    large = placed.where(F.col("all") > block).withColumn("part", own)
-
-    def others(shift: int):
-        """The blocks of a neighbouring bin (sizes in bins further off cannot reach the threshold)."""
-        b = F.col("bin") + shift
-        return F.transform(F.when(parts(b) > 0, F.sequence(F.lit(0), parts(b) - 1)).otherwise(F.array().cast("array<int>")), lambda p: F.struct(b.alias("b"), p.alias("p")))
-
-    me = F.struct(F.col("bin").alias("b"), F.col("part").alias("p"))
-    mates = F.concat(others(-1), others(0), others(1))
-    large = large.withColumn("mate", F.explode(mates)).withColumn("me", me)
-    task = F.xxhash64("root", F.least("me", "mate"), F.greatest("me", "mate"))
-    large = large.select(task.alias("task"), "set_key", "n", "weight", F.xxhash64("me").alias("block"), "shingles")
-    small = placed.where(F.col("all") <= block).select(F.xxhash64("root").alias("task"), "set_key", "n", "weight", F.lit(0).cast("long").alias("block"), "shingles")
-    work = small.union(large).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
-    found = cut(work.mapInArrow(_verify(threshold), "u binary, v binary, links long"))
+    found = verify(of, threshold, block)
     classes = components(found.where("v is not null").select("u", "v")).select(F.col("u").alias("set_key"), "root")
     degree = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "set_key")
     known = cut(sets.join(classes, "set_key", "left").join(degree, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigflow.llm import decontaminate, extract, jaccard, language, lines, mixing, topk, toxicity, warc
+from sigflow.llm import decontaminate, extract, jaccard, language, lines, mixing, passages, topk, toxicity, warc
 from sigflow.llm.common import cut
 
 
@@ -47,6 +47,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_tokens", "toxic_spans")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(table(spark, sf_dir, "documents"))
     return language.identify_pages(table(spark, sf_dir, "pages"), model)
@@ -61,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op8_language": op8_language, "op9_extract": op9_extract, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_passages": op7_passages, "op8_language": op8_language, "op9_extract": op9_extract, "op10_line_dedup": op10_line_dedup}
 
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
