@@ -157,11 +157,15 @@ def _verify(threshold: float):
     return run
 
 
-def candidate_groups(sets: DataFrame) -> DataFrame:
-    """set_key, root: components over shared prefix nodes, each node tied to its least member."""
+def candidate_groups(sets: DataFrame, owner: str | None = None) -> DataFrame:
+    """set_key, root: components over shared prefix nodes, each node tied to its least member.
+
+    With an owner column, nodes whose members all have one owner are left out: overlapping parts of one text."""
     # one exchange by node serves both the groups and the join back to them
-    nodes = sets.select("set_key", F.explode("prefixes").alias("node")).repartition("node")
-    shared = nodes.groupBy("node").agg(F.min("set_key").alias("v"), F.max("set_key").alias("w")).where("v < w").select("node", "v")
+    own = F.col(owner) if owner else F.lit(0)
+    nodes = sets.select("set_key", own.alias("owner"), F.explode("prefixes").alias("node")).repartition("node")
+    shared = nodes.groupBy("node").agg(F.min("set_key").alias("v"), F.max("set_key").alias("w"), (F.min("owner") < F.max("owner")).alias("several"))
+    shared = shared.where((F.col("v") < F.col("w")) & (F.col("several") | F.lit(owner is None))).select("node", "v")
     edges = nodes.join(shared, "node").select(F.col("set_key").alias("u"), "v")
     return cut(components(edges)).withColumnRenamed("u", "set_key")
 
