@@ -230,9 +230,14 @@ def build_lod(df: DataFrame, key: list[str], order: list[str], t: str, signals:
     return out
 
 
+def overlapping(lod: DataFrame, a, b) -> DataFrame:
+    """Buckets whose time overlaps [a, b]."""
+    return lod.where((F.col("time_max") >= a) & (F.col("time_min") <= b))
+
+
 def envelope(lod: DataFrame, key: list[str], signal: str, a, b) -> DataFrame:
     """Two points per bucket that overlaps [a, b]: (time_min, min) and (time_max, max)."""
-    x = lod.where((F.col("time_max") >= a) & (F.col("time_min") <= b))
+    x = overlapping(lod, a, b)
     pair = F.array(F.struct(F.col("time_min").alias("t"), F.col(f"{signal}_min").alias("v")), F.struct(F.col("time_max").alias("t"), F.col(f"{signal}_max").alias("v")))
     return x.select(*key, "bucket", F.explode(pair).alias("p")).select(*key, "bucket", "p.t", "p.v")
 
@@ -240,7 +245,7 @@ def envelope(lod: DataFrame, key: list[str], signal: str, a, b) -> DataFrame:
 def view(lods: dict[int, DataFrame], df: DataFrame, key: list[str], t: str, signal: str, a, b) -> DataFrame:
     """Raw rows of [a, b] below 20 000, else the envelope of the level for their number, counted on the coarsest table."""
     coarse = lods[max(lods)]
-    rows = coarse.where((F.col("time_max") >= a) & (F.col("time_min") <= b)).agg(F.sum("rows")).first()[0] or 0
+    rows = overlapping(coarse, a, b).agg(F.sum("rows")).first()[0] or 0
     level = next((s for most, s in ((2_000_000, 100), (20_000_000, 10_000)) if rows < most and s in lods), max(lods))
     if rows < 20_000:
         return df.where(F.col(t).between(a, b)).select(*key, F.col(t).alias("t"), F.col(signal).alias("v"))

@@ -89,3 +89,19 @@ def normalize_time(df: DataFrame, c: str, unit: str = "s", t0: float = 0.0) -> D
     else:
         t = F.when(F.abs(n) > 1e12, n / 1000).otherwise(n) * {"s": 1.0, "ms": 1e-3, "us": 1e-6}[unit]
     return df.withColumn("t", t + t0)
+
+
+def datetime_checks(df: DataFrame, c: str, now: Column | None = None) -> DataFrame:
+    """Texts that fail to parse, dates before 1900 and more than 365 days ahead of now, and the span in days."""
+    s = F.trim(F.col(c).cast("string"))
+    at = F.try_to_timestamp(s)
+    ahead = (F.current_timestamp() if now is None else now) + F.expr("interval 365 days")
+    return df.agg(F.count_if(s.isNotNull() & at.isNull()).alias("failed"), F.count_if(F.year(at) < 1900).alias("before_1900"), F.count_if(at > ahead).alias("ahead"), F.datediff(F.max(at), F.min(at)).alias("span_days"))
+
+
+def report(df: DataFrame, plan: dict[str, str]) -> DataFrame:
+    """Per column of the plan (see auto_fix()): valid and invalid values and the percentage of values that are valid."""
+    fixed = auto_fix(df.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(plan)]), {f"c{k}": kind for k, kind in enumerate(plan.values())})
+    n = F.count(F.lit(1))
+    rows = [F.struct(F.lit(c).alias("column"), F.count(f"c{k}").alias("valid"), (n - F.count(f"c{k}")).alias("invalid"), F.try_divide(F.lit(100.0) * F.count(f"c{k}"), n).alias("success_pct")) for k, c in enumerate(plan)]
+    return fixed.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*") if rows else df.sparkSession.createDataFrame([], "column string, valid long, invalid long, success_pct double")

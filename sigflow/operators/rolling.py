@@ -79,6 +79,14 @@ def zero_crossings(df: DataFrame, key: list[str], order: list[str], v: str, leve
     return x.where("_c").drop("_c")
 
 
+def inflections(df: DataFrame, key: list[str], order: list[str], t: str, v: str) -> DataFrame:
+    """Rows where the second derivative changes its sign, its zeros aside."""
+    x = derivative(with_row_index(df, key, order), key, order, t, v)
+    sign = F.when(F.col("d2") != 0, F.signum("d2"))
+    x = x.withColumn("_s", sign).withColumn("_p", F.last(sign, True).over(ordered(key, order).rowsBetween(Window.unboundedPreceding, -1)))
+    return x.where(F.col("_s") * F.col("_p") < 0).drop("_s", "_p", "d1")
+
+
 def limit_crossings(df: DataFrame, key: list[str], order: list[str], v: str, limits: list[float]) -> DataFrame:
     """A row per crossing and limit, in either direction; leaving equality counts."""
     o = ordered(key, order)

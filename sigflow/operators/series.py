@@ -86,3 +86,10 @@ def present(c: str | Column) -> Column:
     """Neither null nor NaN."""
     c = F.col(c) if isinstance(c, str) else c
     return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
+def align(df: DataFrame, key: str, order: list[str], v: str, a, b) -> DataFrame:
+    """row_idx, a, b: the values of two series side by side by row position, up to the shorter one's length."""
+    x = with_row_index(df.where(F.col(key).isin(a, b)), [key], order).select("row_idx", key, v)
+    pair = x.groupBy("row_idx").agg(F.max(F.when(F.col(key) == a, F.struct(v))).alias("a"), F.max(F.when(F.col(key) == b, F.struct(v))).alias("b"))
+    return pair.where("a is not null and b is not null").select("row_idx", F.col(f"a.{v}").alias("a"), F.col(f"b.{v}").alias("b"))

@@ -620,6 +620,41 @@ def _(s, d):
     return x.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.abs("d1").desc(), "row_idx"))).where("rn <= 20").select("event_id", "row_idx")
 
 
+# --- cursors, alignment, reports
+
+
+@query("a23_cursor_delta", "+, c AS (SELECT unnest([1704844800.0, 1705276800.0]) AS pt), sm AS (SELECT event_type, t, max(value) AS v FROM ev GROUP BY event_type, t), k AS (SELECT DISTINCT event_type FROM events), lo AS (SELECT event_type, pt, max(t) AS ta, arg_max(v, t) AS va FROM sm JOIN c ON t <= pt GROUP BY ALL), hi AS (SELECT event_type, pt, min(t) AS tb, arg_min(v, t) AS vb FROM sm JOIN c ON t >= pt GROUP BY ALL), x AS (SELECT event_type, pt, CASE WHEN ta = tb THEN va ELSE va + (vb - va) * (pt - ta) / (tb - ta) END AS v FROM k LEFT JOIN lo USING (event_type) LEFT JOIN hi USING (event_type, pt)) SELECT event_type, round(max(v) FILTER (WHERE pt = 1704844800), 4) AS v1, round(max(v) FILTER (WHERE pt = 1705276800), 4) AS v2, round(max(v) FILTER (WHERE pt = 1705276800) - max(v) FILTER (WHERE pt = 1704844800), 4) AS dv, 432000.0::DOUBLE AS dt, round(1 / 432000.0::DOUBLE, 9) AS freq FROM x GROUP BY event_type")
+def _(s, d):
+    return rounded(rounded(asof.delta_between(ev(s, d), KEY, "t", "value", 1704844800.0, 1705276800.0), "v1", "v2", "dv"), "freq", n=9)
+
+
+@query("j09_overlapping_buckets", f"+, {LOD} SELECT event_type, bucket, round(time_min, 3) AS time_min, round(time_max, 3) AS time_max, value_min, value_max FROM lod WHERE time_max >= 1704844800 AND time_min <= 1705276800")
+def _(s, d):
+    x = downsample.overlapping(_lod(s, d)[100], 1704844800.0, 1705276800.0)
+    return rounded(x.select("event_type", "bucket", "time_min", "time_max", "value_min", "value_max"), "time_min", "time_max", n=3)
+
+
+@query("j10_align_by_position", "+, m AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events) SELECT x.i AS row_idx, x.value AS a, y.value AS b FROM ev x JOIN ev y ON x.i = y.i WHERE x.event_type = (SELECT a FROM m) AND y.event_type = (SELECT b FROM m)")
+def _(s, d):
+    a, b = table(s, d, "events").agg(F.min("event_type"), F.max("event_type")).first()
+    return series.align(ev(s, d), "event_type", ORDER, "value", a, b)
+
+
+@query("w17_inflections", f"{D1}, e AS (SELECT *, (dt + lag(dt) OVER ({WIN})) / 2 AS mid, d1 - lag(d1) OVER ({WIN}) AS dd FROM d), f AS (SELECT *, nullif(sign(CASE WHEN dd IS NULL THEN NULL WHEN mid <= 0 THEN 0 ELSE dd / mid END), 0) AS sg FROM e), h AS (SELECT *, last_value(sg IGNORE NULLS) OVER ({WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pr FROM f) SELECT event_id, i AS row_idx FROM h WHERE sg * pr < 0")
+def _(s, d):
+    return rolling.inflections(ev(s, d), KEY, ORDER, "t", "value").select("event_id", "row_idx")
+
+
+@query("q05_datetime_checks", "SELECT 0::BIGINT AS failed, count(*) FILTER (WHERE year(o_orderdate) < 1900) AS before_1900, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '1998-01-01' + INTERVAL 365 DAY) AS ahead, CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) AS INTEGER) AS span_days FROM orders")
+def _(s, d):
+    return quality.datetime_checks(table(s, d, "orders"), "o_orderdate", F.lit("1998-01-01").cast("timestamp"))
+
+
+@query("q09_report", "SELECT 'event_type' AS \"column\", count(TRY_CAST(event_type AS DOUBLE)) AS valid, count(*) - count(TRY_CAST(event_type AS DOUBLE)) AS invalid, 100.0::DOUBLE * count(TRY_CAST(event_type AS DOUBLE)) / count(*) AS success_pct FROM events UNION ALL SELECT 'value', count(value), count(*) - count(value), 100.0::DOUBLE * count(value) / count(*) FROM events UNION ALL SELECT 'ts', count(ts), count(*) - count(ts), 100.0::DOUBLE * count(ts) / count(*) FROM events")
+def _(s, d):
+    return quality.report(table(s, d, "events"), {"event_type": "numeric", "value": "numeric", "ts": "datetime"})
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Time segments per event type where value >= 50, with duration, count, least, greatest and mean value."""
     return QUERIES["g02_segment_stats"](s, d)
