@@ -215,3 +215,17 @@ def test_language(spark):
     pages += [(30, "http://h1.x.com/z", None, "q"), (31, None, "", "q")]
     out = {r["page_id"]: r for r in language.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string, lang string"), model).collect()}
     assert all(out[k]["lang"] == ("aa", "bb")[k % 2] for k in range(20)) and out[30]["lang"] == "bb" and 0 < out[31]["posterior"] <= 1
+
+
+def test_passages_do_not_depend_on_the_partitioning(spark):
+    rng = random.Random(13)
+    sentence = lambda: words(rng, rng.randint(8, 14)) + "."
+    texts = [" ".join(sentence() for _ in range(12)) for _ in range(12)]
+    near = [t.replace(" " + t.split()[40] + " ", " changed ", 1) for t in texts[:6]]
+    rows = [(k, t, "s", 0, "x") for k, t in enumerate(texts + near)] + [(None, texts[2], "s", 0, "x"), (-1, texts[3], "s", 0, "x"), (-1, texts[3], "s", 0, "x")]
+    # labels of a paragraph are given again only for a smaller id, so both orders of ids count
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], str(r["spans"]))
+    found = [sorted(passages.find_repeats(make(spark, x).repartition(n, "doc_id")).collect(), key=key) for n, x in ((1, rows), (5, rows[::-1]))]
+    assert found[0] == found[1]
+    # both texts of document -1 have the same places, so neither repeats an earlier place of it
+    assert {r["doc_id"] for r in found[0]} == {None, 3, *range(12, 18)}
