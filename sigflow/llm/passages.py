@@ -22,7 +22,7 @@ def bands_for(similarity: float, recall: float, rows: int = 2) -> int:
     return n
 
 
-LEAST, MOST = 20, 40
+LEAST, MOST, WHOLE = 20, 40, 50
 BITS = 1 << 25
 CODES = 0x110000
 ODD = np.uint64(1)
@@ -61,27 +61,6 @@ def tokens(text: str, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.
     return mix64(ids), starts, ends, np.searchsorted(starts, np.flatnonzero(kind == 2))
 
 
-def paragraphs(text: str, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The word hashes of a text and its paragraphs: start, end (code points), first word, word after the last.
-
-    Texts are cut at sentence and line ends, and within longer runs after words chosen by their own hash, so that a
-    passage is cut alike wherever it stands. At every cut before a piece of five words or more a paragraph starts and
-    takes whole pieces until it has `least` words; so each longer passage holds paragraphs that all its copies have,
-    whatever surrounds it. Paragraphs that start closer together would be near copies of each other.
-    """
-    ids, starts, ends, cuts = tokens(text)
-    fine = np.unique(np.concatenate([[0], cuts, [len(ids)]]))
-    anchors = np.flatnonzero(ids[:-1] % np.uint64(8) == 0) + 1
-    long = np.diff(fine) > most
-    if long.any():
-        fine = np.union1d(fine, anchors[long[np.searchsorted(fine, anchors, "right") - 1]])
-    first = fine[:-1][np.diff(fine) >= 5]
-    to = np.searchsorted(fine, first + least)
-    first, to = first[to < len(fine)], to[to < len(fine)]
-    after = fine[to]
-    return ids, starts[first], ends[after - 1], first, after
-
-
 def ordered_shingles(ids: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of all runs of width words, in order."""
     n = max(0, len(ids) - width + 1)
@@ -91,6 +70,56 @@ def ordered_shingles(ids: np.ndarray, width: int = 5) -> np.ndarray:
     return mix64(acc)
 
 
+def rolling(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """np.minimum or np.maximum of each `width` values in a row."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        x, size = least(x[:-step], x[step:]), size + step
+    return x
+
+
+def paragraphs(text: str, least: int = LEAST, most: int = MOST, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of a text and its paragraphs: start, end (code points), first word, word after the last, banded.
+
+    Texts are cut at sentence and line ends. At every cut before a piece of five words or more a paragraph starts and
+    takes whole pieces until it has `least` words (up to `whole` // 2 words where that takes `least` + `most` or more).
+    Pieces may all be too short or too long for that: each run of `whole` words that holds no such paragraph gets one
+    of `least` to `whole` // 2 words, from a cut as above in the run's first half, else from the word whose shingle
+    has the least hash there. All of this depends on the words and cuts within the run only, so every run of `whole`
+    words holds a paragraph that all its copies have, whatever surrounds it. A text's first words make one, too.
+
+    Of paragraphs from the same word only the first kind is banded; the other serves equal words.
+    """
+    ids, starts, ends, cuts = tokens(text)
+    runs, n, half = ordered_shingles(ids), len(ids), whole // 2
+    none = np.empty(0, dtype=np.int64)
+    if n < least:
+        return runs, none, none, none, none, none.astype(bool)
+    fine = np.unique(np.concatenate([[0], cuts, [n]]))
+    first = fine[:-1][np.diff(fine) >= 5]
+    first = first[first + least <= n]
+    after = fine[np.searchsorted(fine, first + least)]
+    at = np.arange(max(0, n - whole + 1))
+    bare = np.append(after, n + whole)[np.searchsorted(first, at + 1)] >= at + whole
+    rank = runs >> ODD | ODD << np.uint64(63)
+    rank[first] &= ~(ODD << np.uint64(63))
+    more = np.zeros(1, dtype=np.int64)
+    if bare.any():
+        # a word is chosen if it is the least of some run's half: then the greatest of those minima is its own rank
+        chosen = np.zeros(n + half, dtype=np.uint64)
+        chosen[half : half + len(at)] = np.where(bare, rolling(np.minimum, rank[1:], half)[: len(at)], np.uint64(0))
+        last = rolling(np.maximum, chosen, half)[1:]
+        more = np.union1d(more, np.flatnonzero(rank[1 : n - half + 1] == last[: n - half]) + 1)
+    after = np.where(after - first < least + most, after, first + half)
+    close = np.minimum(fine[np.searchsorted(fine, more + least)], more + half)
+    sole = ~np.isin(more, first)
+    fresh = sole | ~np.isin(more * (n + 1) + close, first * (n + 1) + after)
+    banded = np.concatenate([np.ones(len(first), dtype=bool), sole[fresh]])
+    first, after = np.concatenate([first, more[fresh]]), np.concatenate([after, close[fresh]])
+    return runs, starts[first], ends[after - 1], first, after, banded
+
+
 def minima(shingles: np.ndarray, begin: np.ndarray, stop: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """MinHash of each stretch [begin, stop) of the shingles, all stretches of a text at once."""
     at = np.column_stack([begin, stop]).ravel()
@@ -102,15 +131,15 @@ def minima(shingles: np.ndarray, begin: np.ndarray, stop: np.ndarray, factors: n
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """doc_id, shingles and paragraphs of each text that has any; a paragraph's key is a digest of its shingles in order."""
+    """doc_id, shingles and paragraphs of each text that has any, and which are banded; a paragraph's key is a digest of
+    its shingles in order."""
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids, start, end, first, after = paragraphs(text.as_py() or "")
+            runs, start, end, first, after, banded = paragraphs(text.as_py() or "")
             if len(first):
-                runs = ordered_shingles(ids)
                 raw, stop = memoryview(runs).cast("B"), after - 4
                 keys = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((first * 8).tolist(), (stop * 8).tolist())]
-                yield doc_id, runs, keys, start, end, first, stop
+                yield doc_id, runs, keys, start, end, first, stop, banded
 
 
 def _short(keys: list[bytes]) -> np.ndarray:
@@ -144,9 +173,9 @@ def _units(bands: int, rows: int, most: int = 200_000):
                 x.clear()
             return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "set_key", "prefixes"])
 
-        for doc_id, runs, own, start, end, first, stop in _texts(batches):
+        for doc_id, runs, own, start, end, first, stop, banded in _texts(batches):
             owner = -1 if doc_id is None else doc_id
-            has = np.fromiter((seen.get(key, owner + 1) > owner for key in own), dtype=bool, count=len(own))
+            has = banded & np.fromiter((seen.get(key, owner + 1) > owner for key in own), dtype=bool, count=len(own))
             new = np.flatnonzero(has)
             if len(new):
                 if len(seen) > most:
@@ -183,7 +212,7 @@ def _sets(wanted, most: int = 200_000):
                 x.clear()
             return pa.RecordBatch.from_arrays(cols, names=["set_key", "u", "n", "shingles"])
 
-        for _, runs, own, _, _, first, stop in _texts(batches):
+        for _, runs, own, _, _, first, stop, _ in _texts(batches):
             h = _short(own) % BITS
             for k in np.flatnonzero(marks[h >> 3] >> (h & 7).astype(np.uint8) & 1).tolist():
                 if own[k] not in seen:

@@ -229,3 +229,20 @@ def test_passages_do_not_depend_on_the_partitioning(spark):
     assert found[0] == found[1]
     # both texts of document -1 have the same places, so neither repeats an earlier place of it
     assert {r["doc_id"] for r in found[0]} == {None, 3, *range(12, 18)}
+
+
+def test_each_run_of_50_words_holds_a_paragraph(spark):
+    rng = random.Random(17)
+    short = lambda n: " ".join(w + rng.choice(["!", ".", ",!!"]) for w in words(rng, n).split())
+    # one-word pieces, decimals, sentences of 45 words, one word over and over
+    runs = [short(50), " ".join(f"{rng.randint(0, 99)}.{rng.randint(0, 99)}" for _ in range(25)), f"{words(rng, 5)}. {words(rng, 45)}", f"{words(rng, 22)}. {words(rng, 28)}", " ".join(["so"] * 50)]
+    rows = []
+    for k, run in enumerate(runs):
+        rows.append((k, f"{words(rng, 9)}. {words(rng, 33)} {run} {words(rng, 60)}", "s", 0, "x"))
+        rows.append((20 + k, f"{short(31)} {run} {words(rng, 3)}. {short(70)}", "s", 0, "x"))
+    out = {r["doc_id"]: r for r in passages.find_repeats(make(spark, rows)).collect()}
+    assert set(out) == {4, *(20 + k for k in range(len(runs)))}  # 4 says one word over and over
+    # near copies of a text of one-word pieces
+    text = short(120).split()
+    near = [(k, " ".join(text[:60] + ["other."] * k + text[60 + k :]), "s", 0, "x") for k in range(2)]
+    assert [r["doc_id"] for r in passages.find_repeats(make(spark, near)).collect()] == [1]
