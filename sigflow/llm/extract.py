@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.common import cut, internal
+from sigflow.llm.common import cut, internal, split_by
 
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 NAME = re.compile(r"</?([A-Za-z][\w:-]*)")
@@ -138,12 +138,16 @@ def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.5) -> D
 
     Tokens with one occurrence vector form a class. A class is valid if it stands on least_pages different pages
     and on the share `support` of the host's; classes whose tokens occur once on each page they are on are the
-    template's frame, the others nest in it as repeated parts.
+    template's frame, the others nest in it as repeated parts. Copies of a page (equal page_key) are one page.
     """
-    sums = pages.select("host", "page_key", "html").mapInArrow(_tokens, "host string, token long, pages long, vector long, low long, high long")
+    pages = pages.select("host", "page_key", "html")
+    copies = cut(pages.groupBy("host", "page_key").agg(F.count(F.lit(1)).alias("rows")))
+    # only pages with copies are moved to drop these
+    several, single = split_by(pages, "page_key", copies.where("rows > 1"), "page_key")
+    sums = single.unionByName(several.dropDuplicates(["host", "page_key"])).mapInArrow(_tokens, "host string, token long, pages long, vector long, low long, high long")
     sums = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.pmod(F.sum("vector"), F.lit(1 << 40)).alias("vector"), F.min("low").alias("low"), F.max("high").alias("high"))
     sums = sums.where(F.col("pages") >= least_pages)
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    sizes = copies.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     classes = sums.join(sizes, "host").where(F.col("pages") >= support * F.col("all"))
     classes = classes.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"), F.max(F.col("high")).alias("high"))
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))

@@ -246,3 +246,10 @@ def test_each_run_of_50_words_holds_a_paragraph(spark):
     text = short(120).split()
     near = [(k, " ".join(text[:60] + ["other."] * k + text[60 + k :]), "s", 0, "x") for k in range(2)]
     assert [r["doc_id"] for r in passages.find_repeats(make(spark, near)).collect()] == [1]
+
+
+def test_copies_of_a_page_are_one_page_of_evidence(spark):
+    page = "<body><div>Menu of h</div><div>{}</div></body>"
+    rows = [(k, f"http://h/{k}", page.format("One story"), "c") for k in range(4)] + [(10 + k, f"http://h/{10 + k}", page.format(f"Story {k}"), "c") for k in range(3)]
+    out = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    assert out == {**{k: "One story" for k in range(4)}, **{10 + k: f"Story {k}" for k in range(3)}}
