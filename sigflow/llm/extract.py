@@ -1,4 +1,4 @@
-"""Main text of web pages: template deduction from token occurrence vectors, then the slots that remain."""
+"""Main text of web pages: tokens that many pages of a host share go, then the slots that remain."""
 
 from __future__ import annotations
 
@@ -136,9 +136,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.5) -> DataFrame:
     """host, template: the tokens of each host's template. pages has host, page_key and html.
 
-    Tokens with one occurrence vector form a class. A class is valid if it stands on least_pages different pages
-    and on the share `support` of the host's; classes whose tokens occur once on each page they are on are the
-    template's frame, the others nest in it as repeated parts. Copies of a page (equal page_key) are one page.
+    A token is template if it stands on least_pages different pages and on the share `support` of the host's. Its
+    class of equal occurrence vectors is neither ordered nor nested, so this is not a full template deduction.
+    Copies of a page (equal page_key) are one page.
     """
     pages = pages.select("host", "page_key", "html")
     copies = cut(pages.groupBy("host", "page_key").agg(F.count(F.lit(1)).alias("rows")))
