@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+NOT_WORD = re.compile(r"\W")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where the session names none (tests) one is set."""
+    """The folder that the driver and all executors share. A local session that names none (tests) gets one; on a cluster
+    a folder of one machine would be of no use, so there the setting is required."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"/tmp/sigflow-shared-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,22 +54,10 @@ def internal(df: DataFrame, base: str) -> str:
     return base
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; forgets everything when it holds too many words, so memory stays bounded."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(words: list[str], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+CODES = 0x110000
+SLICE = 1 << 19
+ODD = np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -75,28 +67,121 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Per code point: 1 in words (letters, digits, underscore), 2 at the ends of sentences and lines, else 0."""
+    kinds = np.fromiter((c == 95 or chr(c).isalnum() for c in range(CODES)), dtype=np.uint8, count=CODES)
+    kinds[[ord(c) for c in ".!?"]] = 2
+    kinds[ord("\n")] = 3
+    return kinds
+
+
+@lru_cache(1)
+def _values() -> np.ndarray:
+    return mix64(np.arange(1, CODES + 1, dtype=np.uint64))
+
+
+@lru_cache(4)
+def _powers(base: int, size: int) -> np.ndarray:
+    return np.cumprod(np.full(size, base, dtype=np.uint64))
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, code point by code point where that would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+class Words:
+    """The words of some texts: 64-bit hashes in order; bounds, the texts' first words; starts and ends in code points of
+    their text; cuts and lines, the numbers of words before each end of a sentence or line, and before each end of a line.
+
+    Words are runs of letters, digits and underscores in lower case. They are hashed a slice of text at a time by prefix
+    sums of a polynomial, so a very long text needs little more memory than its own code points.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        lows = [lowered(t) if t else "" for t in texts]
+        joined = "\n".join(lows)
+        begin = np.cumsum([0] + [len(t) + 1 for t in lows])
+        ids, starts, ends, stops, breaks, at = [], [], [], [], [], 0
+        while at < len(joined):
+            stop = min(at + SLICE, len(joined))
+            if stop < len(joined):
+                back = max(joined.rfind(" ", at, stop), joined.rfind("\n", at, stop))
+                stop = back + 1 if back > at else (m.end() if (m := NOT_WORD.search(joined, stop)) else len(joined))
+            codes = np.frombuffer(joined[at:stop].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            kind = _kinds().take(codes)
+            inside = np.zeros(len(codes) + 2, dtype=bool)
+            np.equal(kind, 1, out=inside[1:-1])
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
+            first, after = edges[::2], edges[1::2]
+            size = max(SLICE, len(codes))
+            sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+            np.cumsum(_values().take(codes) * _powers(BASE, size)[: len(codes)], out=sums[1:])
+            ids.append(mix64((sums[after] - sums[first]) * _powers(pow(BASE, -1, 1 << 64), size)[first]))
+            starts.append(first + at)
+            ends.append(after + at)
+            stops.append(np.flatnonzero(kind >= 2) + at)
+            breaks.append(np.flatnonzero(kind == 3) + at)
+            at = stop
+        none = [np.empty(0, dtype=np.int64)]
+        self.ids = np.concatenate(ids or [np.empty(0, dtype=np.uint64)])
+        first = np.concatenate(starts or none)
+        self.bounds = np.searchsorted(first, begin)
+        self.cuts, self.lines = (np.searchsorted(first, np.concatenate(x or none)) for x in (stops, breaks))
+        off = np.repeat(begin[:-1], np.diff(self.bounds))
+        self.starts, self.ends = first - off, np.concatenate(ends or none) - off
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order (np.unique hashes whole numbers first, which is slower than a sort)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def in_groups(column: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[list[str]]:
+    """The texts of a column (null as empty) in lists of about `most` code points or one longer text."""
+    held, size = [], 0
+    for text in column:
+        text = text.as_py() or ""
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def shingles_in_order(ids: np.ndarray, width: int = 5) -> np.ndarray:
+    """Hashes of all runs of width words, in order; none if there are fewer words."""
+    n = max(0, len(ids) - width + 1)
+    acc = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        acc += ids[k : k + n] * (_values()[k + 7] | ODD)
+    return mix64(acc)
+
+
 def shingle_hashes(ids: np.ndarray, width: int = 5) -> np.ndarray:
     """Distinct hashes of the word shingles of a text; a text shorter than one shingle is one shingle of all its words."""
-    if not len(ids):
-        return ids
-    n = max(1, len(ids) - width + 1)
-    acc = np.zeros(n, dtype=np.uint64)
-    for k in range(min(width, len(ids))):
-        acc = mix64(acc + ids[k : k + n] + np.uint64(k + 1))
-    return np.unique(acc)
+    return distinct(shingles_in_order(ids, max(1, min(width, len(ids))))) if len(ids) else ids
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): rows (u, root) with root the least node reached, for every node of an edge.
 
     Alternating large-star and small-star rounds; each round is grouped minima and joins, written to the shared
     folder, and the number of rounds grows with the logarithm of the longest path. Only two numbers a round reach
-    the driver.
+    the driver. Should `rounds` not suffice, it raises rather than give unfinished components.
     """
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     now = cut(edges.where(F.col("u") != F.col("v")).select(*pair).distinct())
     seen = None
-    for _ in range(60):
+    for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -111,6 +196,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components not complete after {rounds} rounds")
     pairs = now.select("u", F.col("v").alias("root"))
     return pairs.union(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
 
