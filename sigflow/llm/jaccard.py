@@ -11,9 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.common import WORD, WordHashes, components, cut, internal, mix64, shingle_hashes, split_by, word_hashes
+from sigflow.llm.common import Words, components, cut, in_groups, internal, mix64, shingle_hashes, split_by
 
-FEATURES = "set_key binary, n long, prefixes array<long>, shingles binary"
+FEATURES = "set_key binary, u long, n long, labels array<struct<hi: bigint, lo: bigint>>, shingles binary"
+LABEL = pa.struct([("hi", pa.int64()), ("lo", pa.int64())])
+#: Minima in a label: the first half, hashed, is a trie's top node; the others, 16 bits of each, are the path below it.
+TOP, LONGEST = 4, 8
 
 
 def forest_recall(similarity: float, trees: int, depth: int) -> float:
@@ -21,47 +24,60 @@ def forest_recall(similarity: float, trees: int, depth: int) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def forest_depth(similarity: float, trees: int, longest: int, recall: float) -> int:
-    """Start from whole labels and shorten the matched prefix, a level at a time, until the recall is reached."""
-    depth = longest
-    while depth > 1 and forest_recall(similarity, trees, depth) < recall:
-        depth -= 1
-    return depth
-
-
 def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     out = np.full(len(factors), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    for k in range(0, len(shingles), 8192):
-        np.minimum(out, (shingles[k : k + 8192, None] * factors).min(axis=0), out=out)
+    for k in range(0, len(shingles), 4096):
+        np.minimum(out, (shingles[k : k + 4096, None] * factors).min(axis=0), out=out)
     return out
 
 
-def _features(trees: int, depth: int, width: int):
+def labels_of(minima: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) per tree: hi stands for the tree and its label's first minima, lo sorts labels by the ones after."""
+    hi, lo = salt.copy(), np.zeros(len(salt), dtype=np.uint64)
+    for k in range(TOP):
+        hi = mix64(hi ^ minima[:, k])
+    for k in range(TOP, LONGEST):
+        lo = (lo << np.uint64(16)) | (mix64(minima[:, k]) >> np.uint64(48))
+    return hi.view(np.int64), lo.view(np.int64)
+
+
+def _features(trees: int, width: int, most: int = 50_000):
+    """Set key, size, labels and shingles of each text. Copies of a set that a task has just seen carry the key alone."""
     rng = np.random.default_rng(7)
-    factors = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = rng.integers(1, 1 << 63, trees * LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salt = mix64(np.arange(1, trees + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        seen: set[bytes] = set()
         for batch in batches:
-            keys, sizes, prefixes, sets = [], [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                s = shingle_hashes(word_hashes(WORD.findall((text.as_py() or "").lower()), cache), width)
-                sets.append(s.tobytes())
-                sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(sets[-1]))
-                if len(s):
-                    labels = signature(s, factors).reshape(trees, depth)
-                    h = salt.copy()
-                    for k in range(depth):  # a node of a tree: the path of minima from its root
-                        h = mix64(h ^ labels[:, k])
-                    prefixes.append(h.view(np.int64))
-                else:
-                    prefixes.append(np.empty(0, dtype=np.int64))
-            lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in prefixes], dtype=np.int32), np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-            cols = [batch.column(k) for k in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1] + ["set_key", "n", "prefixes", "shingles"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(sets, pa.binary())], names=names)
+            names = batch.schema.names[:-1] + ["set_key", "u", "n", "labels", "shingles"]
+            at = 0
+            for texts in in_groups(batch.column(batch.num_columns - 1)):
+                keys, sizes, sets, his, los = [], [], [], [], []
+                words = Words(texts)
+                for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
+                    s = shingle_hashes(words.ids[a:b], width)
+                    raw = s.tobytes()
+                    keys.append(xxhash.xxh3_128_digest(raw))
+                    sizes.append(len(s))
+                    if not len(s) or keys[-1] in seen:
+                        sets.append(None)
+                        continue
+                    if len(seen) >= most:
+                        seen.clear()
+                    seen.add(keys[-1])
+                    sets.append(raw)
+                    hi, lo = labels_of(signature(s, factors).reshape(trees, LONGEST), salt)
+                    his.append(hi)
+                    los.append(lo)
+                has = np.array([x is not None for x in sets])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(has) * trees]).astype(np.int32), mask=np.append(~has, False))
+                none = [np.empty(0, dtype=np.int64)]
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(his or none)), pa.array(np.concatenate(los or none))], fields=list(LABEL))
+                cols = [batch.column(k).slice(at, len(texts)) for k in range(batch.num_columns - 1)]
+                at += len(texts)
+                u = np.frombuffer(b"".join(keys), dtype=np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary()), pa.array(u), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(sets, pa.binary())], names=names)
 
     return run
 
@@ -157,13 +173,56 @@ def _verify(threshold: float):
     return run
 
 
-def candidate_groups(sets: DataFrame) -> DataFrame:
-    """set_key, root: components over shared prefix nodes, each node tied to its least member."""
-    # one exchange by node serves both the groups and the join back to them
-    nodes = sets.select("set_key", F.explode("prefixes").alias("node")).repartition("node")
-    shared = nodes.groupBy("node").agg(F.min("set_key").alias("v"), F.max("set_key").alias("w")).where("v < w").select("node", "v")
-    edges = nodes.join(shared, "node").select(F.col("set_key").alias("u"), "v")
-    return cut(components(edges)).withColumnRenamed("u", "set_key")
+def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for a, b in zip(*(batch.column(k) for k in range(2))):
+            x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (a, b))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(common / (len(x) + len(y) - common))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["s"])
+
+
+def sampled_similarities(sets: DataFrame, shingles: DataFrame, trees: int, threshold: float, labels: int = 200_000, pairs: int = 1000) -> list[float]:
+    """Similarities (threshold or more) of at most `pairs` pairs of sets that share a top node.
+
+    Top nodes are drawn by their hash, whole, about as many as hold `labels` labels; each gives its least and its
+    greatest member. Both bounds hold at any size of the input.
+    """
+    every = max(1, sets.count() * trees // labels)
+    tops = sets.select("u", F.explode("labels.hi").alias("hi")).where(F.pmod("hi", F.lit(every)) == 0)
+    ends = tops.groupBy("hi").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b").select("a", "b").distinct()
+    drawn = cut(ends.orderBy(F.xxhash64("a", "b")).limit(pairs))
+    wanted = drawn.select(F.col("a").alias("u")).union(drawn.select("b")).distinct()
+    own = cut(shingles.join(F.broadcast(wanted), "u").groupBy("u").agg(F.min("shingles").alias("s")))
+    both = drawn.join(own.select(F.col("u").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("u").alias("b"), F.col("s").alias("y")), "b")
+    return [r["s"] for r in both.select("x", "y").mapInArrow(_similarity, "s double").where(F.col("s") >= threshold).collect()]
+
+
+def prefix_length(seen: list[float], threshold: float, trees: int, recall: float, at_threshold: float) -> int:
+    """Shorten the prefixes matched, a level at a time, until the recall is reached.
+
+    The recall is that of the pairs drawn, each weighted by 1 over its chance to share a top node, and one more at
+    the threshold; besides, a pair at the threshold must be found with chance at_threshold at any rate.
+    """
+    weights = np.array([1.0, *[1 / forest_recall(s, trees, TOP) for s in seen]])
+    for depth in range(LONGEST, TOP, -1):
+        chances = np.array([forest_recall(s, trees, depth) for s in (threshold, *seen)])
+        if chances[0] >= at_threshold and (weights @ chances) / weights.sum() >= recall:
+            return depth
+    return TOP
+
+
+def candidate_groups(sets: DataFrame, depth: int) -> DataFrame:
+    """u, root: components over shared trie nodes of this depth, each node tied to its least member.
+
+    Labels are dealt by top node, and sorted, once: a subtree's nodes of any depth are runs of its sorted labels.
+    """
+    tries = sets.select("u", F.explode("labels").alias("label")).select("u", "label.hi", "label.lo").repartition("hi").sortWithinPartitions("hi", "lo")
+    nodes = tries.select("u", "hi", F.shiftrightunsigned("lo", 16 * (LONGEST - depth)).alias("path") if depth > TOP else F.lit(0).cast("long").alias("path"))
+    shared = nodes.groupBy("hi", "path").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v < w").select("hi", "path", "v")
+    edges = nodes.join(shared, ["hi", "path"]).select("u", "v")
+    return cut(components(edges))
 
 
 def verify(of: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -195,51 +254,78 @@ def verify(of: DataFrame, threshold: float, block: int) -> DataFrame:
     return cut(work.mapInArrow(_verify(threshold), "u binary, v binary, links long"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, width: int = 5, trees: int = 24, longest: int = 8, recall: float = 0.999, block: int = 256) -> DataFrame:
+def _classes(slim: DataFrame, threshold: float, width: int, trees: int, recall: float, at_threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(slim without text, with set_key and n; linked sets with root and links): slim has doc_id, its own columns, and text last."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    feats = cut(slim.mapInArrow(_features(trees, width), f"{fields}, {FEATURES}"))
+    full = feats.where("n > 0")
+    sets = cut(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.first("u").alias("u"), F.first("labels", ignorenulls=True).alias("labels")))
+    carried = full.where("shingles is not null").select("set_key", "u", "n", "shingles")
+    depth = prefix_length(sampled_similarities(sets, carried.select("u", "shingles"), trees, threshold), threshold, trees, recall, at_threshold)
+    group = candidate_groups(sets.select("u", "labels"), depth)
+    sets = sets.select("set_key", "weight")
+    # shingles of a candidate set: one of its documents carries them; the others' never move
+    maybe, _ = split_by(carried, "u", group, "u")
+    of = maybe.dropDuplicates(["set_key"]).join(group, "u").drop("u").join(sets, "set_key")
+    found = verify(of, threshold, block)
+    classes = components(found.where("v is not null").select("u", "v")).select(F.col("u").alias("set_key"), "root")
+    degree = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "set_key")
+    known = sets.join(classes, "set_key", "left").join(degree, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    known = known.select("set_key", "root", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
+    return feats.drop("u", "labels", "shingles"), cut(known)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, width: int = 5, trees: int = 24, recall: float = 0.999, at_threshold: float = 0.99, block: int = 256) -> DataFrame:
     """One row per document: its doc_id, class_id (least doc_id of its class) and n_links.
 
     Documents link when the Jaccard similarity of their sets of width-word shingles (lower case, runs of letters,
     digits and underscores) reaches threshold; classes are the components of the links, and n_links counts the
     other documents that one links to, copies included.
 
-    Each text gets `trees` labels of minima. Labels match on a prefix, shortened from `longest` until the chance
-    that a pair at the threshold shares a node of some tree reaches `recall`. Equal sets are one node with a
-    weight. Nodes that share a trie node form candidate groups (components over least members); groups above
-    `block` sets are dealt into blocks by size, and block pairs that can reach the threshold are verified apart,
-    so a group of any size is compared in full in tasks of bounded size.
+    Each set of shingles gets a label of eight minima in each of `trees` prefix tries. Sets that share a node are
+    candidates. Nodes as deep as the labels come first; the prefixes are shortened level by level until the recall
+    estimated from a bounded sample of the pairs reaches `recall`, and that of a pair at the threshold itself
+    at_threshold (see prefix_length()). All queries of a join share the threshold, so they share the depth as well.
+    Equal sets are one node with a weight. Sets that share nodes form candidate groups; groups above `block` sets are
+    dealt into blocks by size, and block pairs that can reach the threshold are verified apart, so a group of any
+    size is compared in full in tasks of bounded size.
 
     A text shorter than a shingle is one shingle. Empty and null texts have no shingle: no links, own class.
     A null doc_id takes part and has null as its own class if no member of its class has an id. Repeated rows are
     documents of their own that link to one another. An empty table gives an empty table; other columns are left
     alone.
     """
-    depth = forest_depth(threshold, trees, longest, recall)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    feats = cut(slim.mapInArrow(_features(trees, depth, width), f"doc_id long, {FEATURES}"))
-    full = feats.where("n > 0")
-    sets = cut(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least_id"), F.first("prefixes").alias("prefixes")))
-    group = candidate_groups(sets.select("set_key", "prefixes"))
-    sets = sets.drop("prefixes")
-    # shingles of a candidate set: one of its documents carries them; the others' never move
-    maybe, _ = split_by(full.select("set_key", "n", "shingles"), "set_key", group, "set_key")
-    of = maybe.join(group, "set_key")
-    of = of.dropDuplicates(["set_key"]).join(sets, "set_key")
-    found = verify(of, threshold, block)
-    classes = components(found.where("v is not null").select("u", "v")).select(F.col("u").alias("set_key"), "root")
-    degree = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "set_key")
-    known = cut(sets.join(classes, "set_key", "left").join(degree, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))
-    named = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    known = known.join(named, "root").select("set_key", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = feats.select("doc_id", "set_key", "n").join(known.where((F.col("links") > 0)), "set_key", "left")
+    feats, known = _classes(slim, threshold, width, trees, recall, at_threshold, block)
+    least = feats.groupBy("set_key").agg(F.min("doc_id").alias("least_id")).join(known, "set_key")
+    named = cut(known.join(least.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("set_key", "class_id", "links"))
+    out = feats.select("doc_id", "set_key").join(named, "set_key", "left")
     linked = F.col("links").isNotNull()
     return out.select("doc_id", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each class kept: that with the least doc_id; rows without an id stay."""
-    mine, class_ = internal(docs, "_mine"), internal(docs, "_class")
-    found = cut(near_duplicates(docs, text, doc_id, **options).where("n_links > 0 and doc_id is not null"))
-    found = found.select(F.col("doc_id").alias(mine), F.col("class_id").alias(class_)).distinct()
-    maybe, alone = split_by(docs, doc_id, found, mine)
-    linked = maybe.join(found, F.col(doc_id) == F.col(mine), "left").where(F.col(mine).isNull() | (F.col(mine) == F.col(class_)))
-    return linked.select(*docs.columns).dropDuplicates([doc_id, text]).union(alone)
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, width: int = 5, trees: int = 24, recall: float = 0.999, at_threshold: float = 0.99, block: int = 256) -> DataFrame:
+    """docs with one row of each class of near_duplicates() kept: that with the least doc_id (null last), of rows with
+    the same id the one whose text has the least hash.
+
+    Rows are told apart by id and text, so a text without near copies stays whatever else has its id. Empty and null
+    texts are in no class and stay. Of repeated rows in a class one stays; an empty table gives an empty table;
+    other columns pass through.
+    """
+    ids, ka, kb = (internal(docs, x) for x in ("_id", "_ka", "_kb"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("ka"), F.hash(text).alias("kb"), F.col(text).alias("text"))
+    feats, known = _classes(slim, threshold, width, trees, recall, at_threshold, block)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ka", "kb")
+    rows = feats.groupBy("doc_id", "ka", "kb", "set_key").agg(F.count(F.lit(1)).alias("times")).join(known.select("set_key", "root"), "set_key")
+    rows = cut(rows.withColumn("row", row))
+    first = rows.groupBy("root").agg(F.min("row").alias("first"))
+    rows = rows.join(first, "root").withColumn("stays", F.col("row") == F.col("first")).where("not stays or times > 1")
+    rows = cut(rows.select(F.col("doc_id").alias(ids), F.col("ka").alias(ka), F.col("kb").alias(kb), "stays"))
+    keyed = docs.withColumn(ka, F.xxhash64(text)).withColumn(kb, F.hash(text))
+    maybe, alone = split_by(keyed, ka, rows, ka)
+    stays = internal(keyed, "stays")
+    rows = rows.select(ids, F.col(ka).alias("k1"), F.col(kb).alias("k2"), F.col("stays").alias(stays))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(ids)) & (F.col(ka) == F.col("k1")) & (F.col(kb) == F.col("k2"))
+    judged = maybe.join(rows, same, "left")
+    several = judged.where(F.col(stays)).dropDuplicates([doc_id, ka, kb])
+    return judged.where(F.col(stays).isNull()).select(*docs.columns).union(several.select(*docs.columns)).union(alone.select(*docs.columns))
