@@ -59,8 +59,11 @@ def targets(sizes: DataFrame, size: str, weight: str, most: float = 3.0) -> Data
     return sizes.withColumn("target", share.cast("double"))
 
 
-def plan_copies(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 20240601) -> DataFrame:
-    """Systematic sampling of rows that already carry their size: adds source_size, target and copies. See mix()."""
+def plan_copies(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 20240601, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Systematic sampling of rows that already carry their size: adds source_size, target and copies. See mix().
+
+    Rows are sorted whole, so they should be slim. ties are further columns that order rows of equal size and id.
+    """
     docs = docs.drop("source_size", "target", "copies")
     rank, number, of, w = (internal(docs, x) for x in ("_rank", "_number", "_of", "_weight"))
     sizes = docs.groupBy(source).agg(F.sum(size).alias("source_size"))
@@ -68,7 +71,7 @@ def plan_copies(docs: DataFrame, size: str = "size", source: str = "source", doc
     turn = ((F.col(number) - 1) % len(weights) + 1).cast("int")
     sizes = cut(sizes.withColumn(w, F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn)))
     plan = targets(sizes, "source_size", w, most).select(F.col(source).alias(of), "source_size", "target")
-    ranked = _ranked(docs, source, [F.col(size), F.col(doc_id).asc_nulls_last()], rank)
+    ranked = _ranked(docs, source, [F.col(size), F.col(doc_id).asc_nulls_last(), *[F.col(c) for c in ties]], rank)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.lit(offset_of(seed))
     crossed = F.floor(F.col(rank) * each + offset) - F.floor((F.col(rank) - 1) * each + offset)
@@ -83,19 +86,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     target by one document's size at most. Prefix sums of the expected copies plus one random offset are cut at
     the integers: a document is emitted once per integer that its span crosses.
 
-    Null text has size 0. Sources without words get target 0 and no copies. Null sources form one source. Repeated
-    rows are separate documents; which of two equal rows is emitted makes no difference. An empty table gives an
-    empty table. Columns of the input named size, source_size, target or copies are replaced. The same rows and
-    seed give the same copies on every run.
+    Only ids, sources, sizes and hashes of the texts are ranked; the rows meet their number of copies by a row number
+    that is written with them.
+
+    Null text has size 0. Sources without words get target 0 and no copies. Null sources form one source. Documents of
+    equal size and id stand in order of their texts' hashes. Repeated rows are separate documents; which of two equal
+    rows is emitted makes no difference. An empty table gives an empty table. Columns of the input named size,
+    source_size, target or copies are replaced. The same rows and seed give the same copies on every run.
     """
-    sized = docs.drop("size").withColumn("size", n_words(F.col(text)))
-    return plan_copies(sized, "size", source, doc_id, weights, most, seed)
+    docs = docs.drop("size", "source_size", "target", "copies")
+    row, tie, number = (internal(docs, x) for x in ("_row", "_tie", "_number"))
+    wide = cut(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(tie, F.xxhash64(text)).withColumn("size", n_words(F.col(text))))
+    slim = wide.select(F.col(row).alias(number), *{source: 0, doc_id: 0}, tie, "size")
+    plan = plan_copies(slim, "size", source, doc_id, weights, most, seed, (tie,)).select(number, "source_size", "target", "copies")
+    return wide.join(plan, F.col(row) == F.col(number)).drop(row, tie, number)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: the columns of docs, each row as many times as mix() emits it."""
-    out = mix(docs, **options)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*docs.columns)
+    """The mixed corpus itself: docs with copy (1, 2, ...), a row for each time that mix() emits the document.
+
+    Nulls, ties, repeated rows and empty tables as in mix(). A column of the input named copy is replaced; others pass
+    through.
+    """
+    out = mix(docs.drop("copy"), **options).where(F.col("copies") > 0)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[c for c in docs.columns if c != "copy"], "copy")
 
 
 def offset_of(seed: int = 20240601) -> float:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigflow.llm import decontaminate, extract, jaccard, language, lines, mixing, passages, topk, toxicity, warc
+from sigflow.llm.common import Words
 
 WORDS = [f"w{k}" for k in range(400)]
 DOCS = "doc_id long, text string, source string, n long, size string"
@@ -64,6 +65,41 @@ def test_jaccard_against_all_pairs(spark, corpus):
     assert kept.count() == len({find(k) for k in range(len(sets))})
 
 
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    rng = random.Random(9)
+    t, u = words(rng, 40), words(rng, 40)
+    rows = [(5, u), (5, t), (3, t), (3, t), (None, t), (7, None), (7, ""), (7, ""), (8, u + " end")]
+    out = jaccard.keep_one(make(spark, [(a, b, "s", 0, "x") for a, b in rows])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(5, u), (3, t), (7, None), (7, ""), (7, "")], key=str)
+    # no id at all: one of the copies stays
+    out = jaccard.keep_one(make(spark, [(None, t, "s", 0, "x")] * 3)).collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [(None, t)]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9])
+def test_forest_recall_against_all_pairs(spark, threshold):
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        base = words(rng, 90).split()
+        for copy in range(2):
+            mine = list(base)
+            for j in rng.sample(range(90), copy * rng.randint(0, 4)):
+                mine[j] = "other"
+            rows.append((2 * k + copy, " ".join(mine), "s", 0, "x"))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    want = {k for k in range(0, 300, 2) if len(sets[k] & sets[k + 1]) >= threshold * len(sets[k] | sets[k + 1])}
+    got = {r["class_id"] for r in jaccard.near_duplicates(make(spark, rows), threshold=threshold).where("n_links > 0").collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and 30 < len(want) < 150
+
+
+def test_prefixes_shorten_until_the_recall():
+    assert jaccard.prefix_length([], 0.8, 24, 0.999, 0.99) == 6
+    assert jaccard.prefix_length([0.97] * 50, 0.8, 24, 0.999, 0.99) == 7
+    assert jaccard.prefix_length([0.81] * 50, 0.8, 24, 0.999, 0.99) == 6
+    assert jaccard.prefix_length([0.97] * 50, 0.8, 24, 0.999, 0.0) == 8
+
+
 def test_lines(spark):
     rows = [(k, f"own {k}\nsame line \n\nlast", f"s{k}" if k else None, 0, "x") for k in range(4)] + [(9, None, "s1", 0, "x"), (8, "", "s1", 0, "x")]
     out = {r["doc_id"]: r for r in lines.dedup_lines(make(spark, rows), min_sites=4).collect()}
@@ -84,6 +120,15 @@ def test_mix(spark, corpus):
         assert abs(taken[r["source"]] - r["target"]) <= 121
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(make(spark, corpus).repartition(7)).collect()))
     assert mixing.mix(make(spark, [])).count() == 0
+    assert out[0].asDict().keys() == {*make(spark, []).columns, "source_size", "target", "copies"}
+    rows = collections.Counter(r["doc_id"] for r in mixing.sample(make(spark, corpus)).collect())
+    assert rows == collections.Counter({k: n for k, n in collections.Counter(r["doc_id"] for r in out for _ in range(r["copies"])).items() if n})
+
+
+def test_mix_orders_rows_of_one_id_by_their_texts(spark):
+    rows = [(None, words(random.Random(k), 10), "s", k, "x") for k in range(40)] + [(1, words(random.Random(k), 10), "t", k, "x") for k in range(40)]
+    out = [sorted((r["text"], r["copies"]) for r in mixing.mix(make(spark, x).repartition(n)).collect()) for n, x in ((1, rows), (6, rows[::-1]))]
+    assert out[0] == out[1]
 
 
 def test_leaks(spark):
@@ -103,15 +148,20 @@ def test_leaks(spark):
 def test_wand_finds_what_full_scoring_finds():
     rng = random.Random(2)
     items = [(k, words(rng, 15)) for k in range(50)]
-    index = decontaminate.Index(items, {w: rng.randint(1, 90) for w in WORDS}, 100, block=4)
-    for _ in range(50):
-        terms = np.unique([index.vocab[w] for w in rng.choices(sorted(index.vocab), k=60)])
-        full = collections.Counter()
-        for t in terms:
-            for p in index.lists[t].values():
-                for item, s in p:
-                    full[item] += s
-        assert dict(index.search(terms, 0.25)) == pytest.approx({k: s for k, s in full.items() if s >= 0.25})
+    hashes = Words(WORDS).ids.tolist()
+    index = decontaminate.Index(items, {w: rng.randint(1, 90) for w in hashes}, 100, block=4)
+    windows = [np.unique(rng.choices(range(len(index.terms)), k=60)) for _ in range(50)]
+    for room in (1 << 21, 40):
+        found = collections.defaultdict(dict)
+        for w, item, score in index.search(np.repeat(np.arange(50), [len(t) for t in windows]), np.concatenate(windows), 0.25, room):
+            found[w][item] = score
+        for w, terms in enumerate(windows):
+            full = collections.Counter()
+            for t in terms:
+                for p in index.lists[t].values():
+                    for item, s in p:
+                        full[item] += s
+            assert found[w] == pytest.approx({k: s for k, s in full.items() if s >= 0.25})
 
 
 def test_topk(spark):
