@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.common import components, cut, mix64, split_by
+from sigflow.llm.common import ODD, Words, components, cut, distinct, in_groups, mix64, shingles_in_order, split_by
 from sigflow.llm.jaccard import verify
 
+
 def bands_for(similarity: float, recall: float, rows: int = 2) -> int:
     """Bands of `rows` minima each until a pair at the similarity shares one with the recall wanted."""
     n = 1
@@ -22,52 +22,8 @@ def bands_for(similarity: float, recall: float, rows: int = 2) -> int:
     return n
 
 
-LEAST, MOST, WHOLE = 20, 40, 50
+LEAST, WHOLE, WIDTH = 20, 50, 5
 BITS = 1 << 25
-CODES = 0x110000
-ODD = np.uint64(1)
-
-
-@lru_cache(1)
-def _kinds() -> np.ndarray:
-    """Per code point: 1 in words (letters, digits, underscore), 2 at cuts, else 0."""
-    kinds = np.fromiter((c == 95 or chr(c).isalnum() for c in range(CODES)), dtype=np.uint8, count=CODES)
-    kinds[[ord(c) for c in ".!?\n"]] = 2
-    return kinds
-
-
-@lru_cache(1)
-def _factors() -> np.ndarray:
-    return mix64(np.arange(4096, dtype=np.uint64)) | ODD
-
-
-def tokens(text: str, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a text, the words' starts and ends in code points, and the cuts as numbers of words before them.
-
-    Words compare in lower case. They are hashed a block of words at a time, so a very long text needs little more
-    memory than its own code points.
-    """
-    lower = text.lower()
-    codes = np.frombuffer((lower if len(lower) == len(text) else text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = _kinds()[codes]
-    edges = np.flatnonzero(np.diff((kind == 1).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    starts, ends = edges[::2], edges[1::2]
-    ids = np.empty(len(starts), dtype=np.uint64)
-    for k in range(0, len(starts), block):
-        a, z = starts[k : k + block], ends[min(k + block, len(ends)) - 1]
-        at = np.arange(z - a[0]) - np.repeat(a - a[0], np.diff(a, append=z))
-        factor = _factors()[at] if at[-1] < 4096 and at.max() < 4096 else mix64(at.astype(np.uint64)) | ODD
-        ids[k : k + block] = np.add.reduceat((codes[a[0] : z].astype(np.uint64) + ODD) * factor * (kind[a[0] : z] == 1), a - a[0])
-    return mix64(ids), starts, ends, np.searchsorted(starts, np.flatnonzero(kind == 2))
-
-
-def ordered_shingles(ids: np.ndarray, width: int = 5) -> np.ndarray:
-    """Hashes of all runs of width words, in order."""
-    n = max(0, len(ids) - width + 1)
-    acc = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        acc += ids[k : k + n] * _factors()[k + 7]
-    return mix64(acc)
 
 
 def rolling(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -79,49 +35,48 @@ def rolling(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def paragraphs(text: str, least: int = LEAST, most: int = MOST, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shingles of a text and its paragraphs: start, end (code points), first word, word after the last, banded.
+def paragraphs(words: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last of each paragraph of the texts, in order.
 
-    Texts are cut at sentence and line ends. At every cut before a piece of five words or more a paragraph starts and
-    takes whole pieces until it has `least` words (up to `whole` // 2 words where that takes `least` + `most` or more).
-    Pieces may all be too short or too long for that: each run of `whole` words that holds no such paragraph gets one
-    of `least` to `whole` // 2 words, from a cut as above in the run's first half, else from the word whose shingle
-    has the least hash there. All of this depends on the words and cuts within the run only, so every run of `whole`
-    words holds a paragraph that all its copies have, whatever surrounds it. A text's first words make one, too.
-
-    Of paragraphs from the same word only the first kind is banded; the other serves equal words.
+    A line of `least` words or more is a paragraph. So is each sentence of that length; the sentences between those,
+    within a long line or within a run of short lines, join from the first on until they have `least` words.
+    """
+    n = words.bounds[-1]
+    fine = distinct(np.concatenate([words.cuts, words.bounds]))
+    line = distinct(np.concatenate([words.lines, words.bounds]))
+    long_line = np.flatnonzero(np.diff(line) >= least)
+    long_piece = np.flatnonzero(np.diff(fine) >= least)
+    at = distinct(np.concatenate([words.bounds, line[long_line], line[long_line + 1], fine[long_piece], fine[long_piece + 1]]))
+    now, end = at[:-1], at[1:]
+    first, after = [line[long_line]], [line[long_line + 1]]
+    while len(now):
+        stop = np.append(fine, n + 1)[np.searchsorted(fine, now + least)]
+        now, stop, end = (x[stop <= end] for x in (now, stop, end))
+        first.append(now)
+        after.append(stop)
+        now = stop
+    both = distinct(np.concatenate(first) * (n + 1) + np.concatenate(after))
+    return both // (n + 1), both % (n + 1)
+
+
+def anchors(words: Words, runs: np.ndarray, least: int = LEAST, whole: int = WHOLE) -> np.ndarray:
+    """First words of the windows of `least` words that each run of `whole` words in a text is sure to hold.
+
+    Of the words from which a window fits into such a run the one whose shingle has the least hash starts one. That
+    depends on the run alone, so all copies of a run hold the same window, wherever they stand.
     """
-    ids, starts, ends, cuts = tokens(text)
-    runs, n, half = ordered_shingles(ids), len(ids), whole // 2
-    none = np.empty(0, dtype=np.int64)
-    if n < least:
-        return runs, none, none, none, none, none.astype(bool)
-    fine = np.unique(np.concatenate([[0], cuts, [n]]))
-    first = fine[:-1][np.diff(fine) >= 5]
-    first = first[first + least <= n]
-    after = fine[np.searchsorted(fine, first + least)]
+    n, room = len(words.ids), whole - least + 1
+    last = np.repeat(words.bounds[1:], np.diff(words.bounds)) - whole
     at = np.arange(max(0, n - whole + 1))
-    bare = np.append(after, n + whole)[np.searchsorted(first, at + 1)] >= at + whole
-    rank = runs >> ODD | ODD << np.uint64(63)
-    rank[first] &= ~(ODD << np.uint64(63))
-    more = np.zeros(1, dtype=np.int64)
-    if bare.any():
-        # a word is chosen if it is the least of some run's half: then the greatest of those minima is its own rank
-        chosen = np.zeros(n + half, dtype=np.uint64)
-        chosen[half : half + len(at)] = np.where(bare, rolling(np.minimum, rank[1:], half)[: len(at)], np.uint64(0))
-        last = rolling(np.maximum, chosen, half)[1:]
-        more = np.union1d(more, np.flatnonzero(rank[1 : n - half + 1] == last[: n - half]) + 1)
-    after = np.where(after - first < least + most, after, first + half)
-    close = np.minimum(fine[np.searchsorted(fine, more + least)], more + half)
-    sole = ~np.isin(more, first)
-    fresh = sole | ~np.isin(more * (n + 1) + close, first * (n + 1) + after)
-    banded = np.concatenate([np.ones(len(first), dtype=bool), sole[fresh]])
-    first, after = np.concatenate([first, more[fresh]]), np.concatenate([after, close[fresh]])
-    return runs, starts[first], ends[after - 1], first, after, banded
+    if not len(at):
+        return at
+    chosen = np.zeros(n + room, dtype=np.uint64)
+    chosen[room - 1 : room - 1 + len(at)] = np.where(at <= last[: len(at)], rolling(np.minimum, runs, room)[: len(at)], np.uint64(0))
+    return np.flatnonzero(runs == rolling(np.maximum, chosen, room)[: len(runs)])
 
 
 def minima(shingles: np.ndarray, begin: np.ndarray, stop: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """MinHash of each stretch [begin, stop) of the shingles, all stretches of a text at once."""
+    """MinHash of each stretch [begin, stop) of the shingles, sorted by begin."""
     at = np.column_stack([begin, stop]).ravel()
     padded = np.append(shingles, np.uint64(0xFFFFFFFFFFFFFFFF))
     out = np.empty((len(begin), len(factors)), dtype=np.uint64)
@@ -130,16 +85,27 @@ def minima(shingles: np.ndarray, begin: np.ndarray, stop: np.ndarray, factors: n
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """doc_id, shingles and paragraphs of each text that has any, and which are banded; a paragraph's key is a digest of
-    its shingles in order."""
+def _texts(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[tuple]:
+    """Of some texts at a time: shingles, and per paragraph (and window, if wanted) its document, key, start and end in
+    code points, first and last shingle; and which are paragraphs. A key is a digest of the shingles in order."""
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            runs, start, end, first, after, banded = paragraphs(text.as_py() or "")
+        ids, at = batch.column(0).to_pylist(), 0
+        for texts in in_groups(batch.column(1)):
+            words = Words(texts)
+            runs = shingles_in_order(words.ids, WIDTH)
+            first, after = paragraphs(words)
+            banded = np.ones(len(first), dtype=bool)
+            if windows and len(runs):
+                more = anchors(words, runs)
+                n = len(words.ids) + 1
+                more = more[~np.isin(more * n + more + LEAST, first * n + after)]
+                first, after, banded = np.concatenate([first, more]), np.concatenate([after, more + LEAST]), np.append(banded, np.zeros(len(more), dtype=bool))
+            owner = np.searchsorted(words.bounds, first, side="right") - 1 + at
+            at += len(texts)
             if len(first):
-                raw, stop = memoryview(runs).cast("B"), after - 4
+                raw, stop = memoryview(runs).cast("B"), after - WIDTH + 1
                 keys = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((first * 8).tolist(), (stop * 8).tolist())]
-                yield doc_id, runs, keys, start, end, first, stop, banded
+                yield [ids[k] for k in owner.tolist()], runs, keys, words.starts[first], words.ends[after - 1], first, stop, banded
 
 
 def _short(keys: list[bytes]) -> np.ndarray:
@@ -151,107 +117,85 @@ def short(key: str) -> Column:
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
-def _units(bands: int, rows: int, most: int = 200_000):
-    """Place, key and band labels of each paragraph; labels that a task has just given for a document with a smaller id
-    are not repeated (null)."""
+def _units(bands: int, rows: int, most: int = 50_000):
+    """Place and key of each paragraph and window, and the paragraphs' band labels; labels that a task has just given for a
+    document with a smaller id are not repeated (null)."""
     rng = np.random.default_rng(11)
     factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + ODD
     salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        ids, starts, ends, keys, fresh, labels = [], [], [], [], [], []
-
-        def table() -> pa.RecordBatch:
-            none = [np.empty(0, np.int64)]
-            has = np.concatenate(fresh or [np.empty(0, bool)])
-            flat = np.concatenate(labels).ravel().view(np.int64) if labels else none[0]
-            at = pa.array(np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32), mask=np.append(~has, False)) if len(has) else pa.array([0], pa.int32())
-            lists = pa.ListArray.from_arrays(at, pa.array(flat, pa.int64()))
-            cols = [pa.array(ids, pa.int64()), pa.array(np.concatenate(starts or none), pa.int64()), pa.array(np.concatenate(ends or none), pa.int64()), pa.array(keys, pa.binary()), lists]
-            for x in (ids, starts, ends, keys, fresh, labels):
-                x.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "set_key", "prefixes"])
-
-        for doc_id, runs, own, start, end, first, stop, banded in _texts(batches):
-            owner = -1 if doc_id is None else doc_id
-            has = banded & np.fromiter((seen.get(key, owner + 1) > owner for key in own), dtype=bool, count=len(own))
+        for ids, runs, keys, start, end, first, stop, banded in _texts(batches, True):
+            has = np.zeros(len(keys), dtype=bool)
+            for k in np.flatnonzero(banded).tolist():
+                owner = -1 if ids[k] is None else ids[k]
+                if seen.get(keys[k], owner + 1) > owner:
+                    if len(seen) >= most:
+                        seen.clear()
+                    seen[keys[k]] = owner
+                    has[k] = True
             new = np.flatnonzero(has)
-            if len(new):
-                if len(seen) > most:
-                    seen.clear()
-                seen.update((own[k], owner) for k in new.tolist())
-                m = minima(runs, first[new], stop[new], factors).reshape(len(new), bands, rows)
-                h = np.broadcast_to(salt, (len(new), bands)).copy()
-                for k in range(rows):
-                    h = mix64(h ^ m[:, :, k])
-                labels.append(h)
-            ids.extend([doc_id] * len(own))
-            starts.append(start)
-            ends.append(end)
-            keys.extend(own)
-            fresh.append(has)
-            if len(ids) > 20_000:
-                yield table()
-        yield table()
+            m = minima(runs, first[new], stop[new], factors).reshape(len(new), bands, rows)
+            h = np.broadcast_to(salt, (len(new), bands)).copy()
+            for k in range(rows):
+                h = mix64(h ^ m[:, :, k])
+            at = pa.array(np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32), mask=np.append(~has, False))
+            lists = pa.ListArray.from_arrays(at, pa.array(h.ravel().view(np.int64)))
+            cols = [pa.array(ids, pa.int64()), pa.array(start), pa.array(end), pa.array(keys, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "set_key", "prefixes"])
 
     return run
 
 
-def _sets(wanted, most: int = 200_000):
+def _sets(wanted, most: int = 50_000):
     """Key and distinct shingles of the paragraphs whose bit is set in the bitmap, once in a while a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(wanted.value, dtype=np.uint8)
         seen: set[bytes] = set()
-        keys, sizes, sets = [], [], []
-
-        def table() -> pa.RecordBatch:
-            cols = [pa.array(keys, pa.binary()), pa.array(_short(keys), pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())]
-            for x in (keys, sizes, sets):
-                x.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["set_key", "u", "n", "shingles"])
-
-        for _, runs, own, _, _, first, stop, _ in _texts(batches):
+        for _, runs, own, _, _, first, stop, _ in _texts(batches, False):
+            keys, sizes, sets = [], [], []
             h = _short(own) % BITS
             for k in np.flatnonzero(marks[h >> 3] >> (h & 7).astype(np.uint8) & 1).tolist():
                 if own[k] not in seen:
-                    if len(seen) > most:
+                    if len(seen) >= most:
                         seen.clear()
                     seen.add(own[k])
-                    s = np.unique(runs[first[k] : stop[k]])
+                    s = distinct(runs[first[k] : stop[k]])
                     keys.append(own[k])
                     sizes.append(len(s))
                     sets.append(s.tobytes())
-            if len(keys) > 20_000:
-                yield table()
-        yield table()
+            if keys:
+                cols = [pa.array(keys, pa.binary()), pa.array(_short(keys), pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["set_key", "u", "n", "shingles"])
 
     return run
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """u, root, owner: paragraphs that share a label, one group for each label, and a document that has the paragraph. Labels of paragraphs that all are first seen in
-    one document are left out (overlapping parts of one text), and of labels with the same members one stays.
+    """u, root, owner: paragraphs that share a label, one group for each label, and a document that has the paragraph. Of
+    labels with the same members one stays.
 
     One exchange by label serves the grouping and the join back; the copies of a paragraph merge within it."""
-    node = nodes.select("u", "owner", F.explode("prefixes").alias("node")).where("node is not null").repartition("node")
+    node = nodes.select("u", "owner", F.explode("prefixes").alias("node")).repartition("node")
     node = node.groupBy("node", "u").agg(F.min("owner").alias("owner"))
-    shared = node.groupBy("node").agg(F.min("u").alias("v"), F.max("u").alias("w"), F.min("owner").alias("a"), F.max("owner").alias("z"), F.bit_xor("u").alias("x"), F.count(F.lit(1)).alias("k"))
-    shared = shared.where("v < w and a < z").groupBy("v", "w", "x", "k").agg(F.min("node").alias("node"), F.min("a").alias("a"))
-    # a member's owner is never below the least one; this and "not null" keep both sides, and so the exchange, alike
-    grouped = node.join(shared, "node").where("owner >= a")
-    return cut(grouped.select("u", F.col("node").alias("root"), "owner"))
+    shared = node.groupBy("node").agg(F.min("u").alias("v"), F.max("u").alias("w"), F.bit_xor("u").alias("x"), F.count(F.lit(1)).alias("k"))
+    shared = shared.where("v < w").groupBy("v", "w", "x", "k").agg(F.min("node").alias("node"))
+    return cut(node.join(shared, "node").select("u", F.col("node").alias("root"), "owner"))
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, recall: float = 0.99, block: int = 256) -> DataFrame:
     """doc_id, spans, n_removed: for each document the stretches that repeat a passage of an earlier one.
 
-    Paragraphs of 20 words or more (see paragraphs()) with equal words are one node; others, first seen in
-    different documents, collide when one of the bands of two minima is equal, with as many bands as the recall at the threshold takes,
-    and colliding ones are verified by exact Jaccard similarity. A component of equal or linked paragraphs keeps its
-    first occurrence, by doc_id (null last) and start; all others are removed. Overlapping removals of a document
-    merge into spans of code points; n_removed is their total length. Documents without removals have no row.
+    Paragraphs of 20 words or more (lines, long sentences, groups of short sentences, see paragraphs()) collide when one
+    of the bands of two minima is equal, with as many bands as the recall at the threshold takes, and colliding ones,
+    within a document and across documents, are verified by exact Jaccard similarity. So that no verbatim repeat is
+    lost where lines and sentences are cut otherwise, each run of 50 words also holds a window of 20 words that all
+    its copies hold (see anchors()); windows repeat only as they are. A component of equal or linked paragraphs keeps
+    its first occurrence, by doc_id (null last) and start; all others are removed, but for those that overlap it.
+    Overlapping removals of a document merge into spans of code points; n_removed is their total length. Documents
+    without removals have no row.
 
     Null and short texts have no paragraphs. Rows with a repeated doc_id count as one document of several texts.
     Other columns are ignored; an empty table gives no rows.
@@ -279,14 +223,9 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end")
     maybe, _ = split_by(units, "set_key", several, "set_key")
     occurs = cut(maybe.join(several, "set_key"))
-    firsts = occurs.groupBy("set_key", "root").agg(F.min(place).alias("first"))
-    heads = firsts.groupBy("root").agg(F.min("first").alias("head"))
-    repeated = cut(firsts.join(heads, "root").select("set_key", "first", "head"))
-    gone = occurs.select("doc_id", "start", "end", "set_key").join(repeated, "set_key")
-    # in the head's own document only a set's own later occurrences go: its other paragraphs may overlap the head
-    elsewhere = ~F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
-    again = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") >= F.col("first.end"))
-    gone = gone.where(elsewhere | again)
+    heads = cut(occurs.groupBy("root").agg(F.min(place).alias("head")))
+    gone = occurs.select("doc_id", "start", "end", "root").join(heads, "root")
+    gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("head.doc_id")) | (F.col("start") >= F.col("head.end")))
     spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     kind = "array<struct<start: bigint, end: bigint>>"
 
