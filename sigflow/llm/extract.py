@@ -1,4 +1,4 @@
-"""Main text of web pages: tokens that many pages of a host share go, then the slots that remain."""
+"""Main text of web pages: a template per host from classes of tokens with equal occurrence vectors, and its slots."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.common import cut, internal, split_by
@@ -35,13 +35,12 @@ def _furniture(name: str, tag: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, int]]:
-    """(path, in the article, page furniture, text) of each text block in page order, and the counts of tag tokens.
+def blocks(page: str) -> list[tuple[str, bool, bool, str | None]]:
+    """(path, in the article, page furniture, text) of each block element's start (text None) and text block in page order.
 
     A token's path is that of its block elements with their class names, so the same tag in two places has two roles.
     """
-    out: list[tuple[str, bool, bool, str]] = []
-    tags: dict[str, int] = {}
+    out: list[tuple[str, bool, bool, str | None]] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, article, furniture
     text: list[str] = []
     at = 0
@@ -89,82 +88,152 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, int]
             top = stack[-1]
             kind = "." + ".".join(sorted("".join(v) for k, *v in ATTR.findall(tag) if k.lower() == "class")) if "class" in tag else ""
             path = f"{top[1]}/{name}{kind}"
-            tags[path] = tags.get(path, 0) + 1
+            inside, aside = top[2] or name in ("article", "main"), top[3] or _furniture(name, tag, top[2])
+            out.append((path, inside, aside, None))
             if name != "hr":
-                stack.append((name, path, top[2] or name in ("article", "main"), top[3] or _furniture(name, tag, top[2])))
+                stack.append((name, path, inside, aside))
         else:
             top = stack[-1]
             stack.append((name, top[1], top[2], top[3]))
     close()
-    return out, tags
+    return out
 
 
 def token(path: str, text: str | None = None) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}" if text is not None else path) >> 1
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums per host and token: pages, a fingerprint of the occurrence vector, least and most occurrences.
+def _tokens():
+    """Partial sums per host and token: pages, a fingerprint of the occurrence vector, summed place in the page, words (0 for
+    an element), and whether it is a text of the article.
 
     The fingerprint adds a hash of (page, occurrences) over the pages, so equal vectors have equal fingerprints
     however the pages are dealt out.
     """
-    held: dict[tuple[str, int], list[int]] = {}
-
-    def table() -> pa.RecordBatch:
-        cols = list(zip(*((h, t, *v) for (h, t), v in held.items()))) or [()] * 6
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["host", "token", "pages", "vector", "low", "high"])
-
-    for batch in batches:
-        for host, page_key, page in zip(*(c.to_pylist() for c in batch.columns)):
-            found, tags = blocks(page or "")
-            counts = {token(p): n for p, n in tags.items()}
-            for path, article, _, text in found:
-                if not article:  # within the article's slot nothing is template
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+
+        def table() -> pa.RecordBatch:
+            cols = list(zip(*((h, t, *v) for (h, t), v in held.items()))) or [()] * 7
+            held.clear()
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "token", "pages", "vector", "place", "words", "inner"])
+
+        for batch in batches:
+            for host, page_key, page in zip(*(batch.column(k) for k in range(3))):
+                host, page_key, found = host.as_py(), page_key.as_py(), blocks(page.as_py() or "")
+                counts: dict[int, list] = {}
+                for at, (path, article, _, text) in enumerate(found):
                     t = token(path, text)
-                    counts[t] = counts.get(t, 0) + 1
-            for t, n in counts.items():
-                add = xxhash.xxh3_64_intdigest(f"{page_key}:{n}") % 2**40
-                old = held.get((host, t))
-                held[host, t] = [1, add, n, n] if old is None else [old[0] + 1, (old[1] + add) % 2**40, min(old[2], n), max(old[3], n)]
-            if len(held) > 100_000:
-                yield table()
-    yield table()
-
-
-def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.5) -> DataFrame:
-    """host, template: the tokens of each host's template. pages has host, page_key and html.
-
-    A token is template if it stands on least_pages different pages and on the share `support` of the host's. Its
-    class of equal occurrence vectors is neither ordered nor nested, so this is not a full template deduction.
-    Copies of a page (equal page_key) are one page.
+                    if t in counts:
+                        counts[t][0] += 1
+                    else:
+                        counts[t] = [1, at / len(found), len(text.split()) if text is not None else 0, article and text is not None]
+                for t, (n, at, size, inner) in counts.items():
+                    add = xxhash.xxh3_64_intdigest(f"{page_key}:{n}") % 2**40
+                    old = held.get((host, t))
+                    held[host, t] = [1, add, at, size, inner] if old is None else [old[0] + 1, (old[1] + add) % 2**40, old[2] + at, size, inner]
+                if len(held) > 50_000:
+                    yield table()
+        yield table()
+
+    return run
+
+
+def evidence(html: Column) -> Column:
+    """What tells pages apart: the article (or main) element with its content if there is one, else the page."""
+    whole = F.regexp_extract(html, r"(?is)<(?:article|main)\b.*</(?:article|main)\s*>", 0)
+    open_ = F.regexp_extract(html, r"(?is)<(?:article|main)\b.*", 0)
+    return F.xxhash64(F.when(whole != "", whole).when(open_ != "", open_).otherwise(html))
+
+
+def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.5, least_tokens: int = 2, least_inside: int = 10) -> DataFrame:
+    """host, template: the equivalence classes of each host's tokens, larger ones first. pages has host and html.
+
+    Tokens (block elements by their path, texts of blocks by path and text) of a host that occur equally often on each
+    of its pages are a class. A class is valid if it stands on least_pages different pages and on the share `support`
+    of the host's and has least_tokens elements and words. Texts in articles count from least_inside pages on, and
+    only in a class with an element (those that repeat by themselves are data). Tokens of a class stand in the order of their mean places.
+
+    Pages with equal articles (see evidence()) are one page, that of the least hash, so copies of an article in other
+    surroundings do not make it a template. Hosts without a valid class, and empty tables, have no row.
     """
-    pages = pages.select("host", "page_key", "html")
-    copies = cut(pages.groupBy("host", "page_key").agg(F.count(F.lit(1)).alias("rows")))
+    pages = pages.select("host", evidence(F.col("html")).alias("page_key"), F.xxhash64("html").alias("own"), "html")
+    copies = cut(pages.groupBy("host", "page_key").agg(F.count(F.lit(1)).alias("rows"), F.min("own").alias("least")))
     # only pages with copies are moved to drop these
     several, single = split_by(pages, "page_key", copies.where("rows > 1"), "page_key")
-    sums = single.unionByName(several.dropDuplicates(["host", "page_key"])).mapInArrow(_tokens, "host string, token long, pages long, vector long, low long, high long")
-    sums = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.pmod(F.sum("vector"), F.lit(1 << 40)).alias("vector"), F.min("low").alias("low"), F.max("high").alias("high"))
-    sums = sums.where(F.col("pages") >= least_pages)
+    one = copies.select(F.col("host").alias("h"), F.col("page_key").alias("k"), "least")
+    first = several.join(one, F.col("host").eqNullSafe(F.col("h")) & F.col("page_key").eqNullSafe(F.col("k")) & F.col("own").eqNullSafe(F.col("least"))).dropDuplicates(["host", "page_key"])
+    used = single.select("host", "page_key", "html").unionByName(first.select("host", "page_key", "html"))
+    sums = used.mapInArrow(_tokens(), "host string, token long, pages long, vector long, place double, words long, inner boolean")
+    sums = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.pmod(F.sum("vector"), F.lit(1 << 40)).alias("vector"), F.sum("place").alias("place"), F.max("words").alias("words"), F.max("inner").alias("inner"))
+    sums = sums.where((F.col("pages") >= least_pages) & (~F.col("inner") | (F.col("pages") >= least_inside)))
     sizes = copies.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    classes = sums.join(sizes, "host").where(F.col("pages") >= support * F.col("all"))
-    classes = classes.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"), F.max(F.col("high")).alias("high"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    found = sums.join(sizes, "host").where(F.col("pages") >= support * F.col("all"))
+    # places in steps, so that the order does not hang on how the sums were added up
+    place = F.round(F.col("place") / F.col("pages"), 6)
+    classes = found.groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "token"))).alias("frame"), F.sum(F.greatest("words", F.lit(1))).alias("words"), F.min("words").alias("least"), F.max("inner").alias("inner"))
+    classes = classes.where((F.col("words") >= least_tokens) & ((F.col("least") == 0) | ~F.col("inner")))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.size("frame")).alias("size"), "vector", "pages", F.col("frame.token").alias("tokens"))))
+    return classes.groupBy("host").agg(ordered["tokens"].alias("template"))
+
+
+def slots(events: list[int], template: list[list[int]]) -> tuple[list[int], set[int]]:
+    """The slot of each event of a page, and the events that are template.
+
+    Classes come larger ones first. A class holds on a page if its tokens stand there in its order, whole runs of them
+    one after the other, and if each run lies within one slot of the classes before: it nests there, and the gaps
+    between its tokens become slots of their own. Tokens of classes that do not hold are data.
+    """
+    slot, fixed, fresh = [0] * len(events), set(), 1
+    where: dict[int, list[int]] = {}
+    for k, t in enumerate(events):
+        where.setdefault(t, []).append(k)
+    for tokens in template:
+        times = {len(where.get(t, ())) for t in tokens}
+        if len(times) != 1 or times == {0}:
+            continue
+        order = sorted(range(len(tokens)), key=lambda j: where[tokens[j]][0])
+        runs = list(zip(*(where[tokens[j]] for j in order)))
+        flat = [k for run in runs for k in run]
+        if flat != sorted(flat) or any(len({slot[k] for k in run}) > 1 for run in runs):
+            continue
+        for run in runs:
+            for a, b in zip(run[:-1], run[1:]):
+                if b > a + 1:
+                    outer = slot[a]
+                    for k in range(a + 1, b):
+                        if slot[k] == outer:
+                            slot[k] = fresh
+                    fresh += 1
+        fixed.update(flat)
+    return slot, fixed
+
+
+def main_text(page: str, template: list[list[int]], share: float = 0.25) -> str:
+    """The data of a page's slots, but for page furniture (by element, role or class name).
+
+    Slots with text of an article or main element are preferred to the others, if they hold `share` of the words of
+    the largest slot.
+    """
+    found = blocks(page)
+    slot, fixed = slots([token(path, text) for path, _, _, text in found], template)
+    data = [k for k, (_, _, aside, text) in enumerate(found) if text is not None and not aside and k not in fixed]
+    size: dict[int, int] = {}
+    for k in data:
+        size[slot[k]] = size.get(slot[k], 0) + len(found[k][3].split())
+    inner = {slot[k] for k in data if found[k][1]}
+    if inner and sum(size[x] for x in inner) >= share * max(size.values()):
+        data = [k for k in data if found[k][1]]
+    return "\n\n".join(found[k][3] for k in data)
 
 
 def _extract(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.num_columns - 2
-            texts = []
-            for page, template in zip(batch.column(k), batch.column(k + 1)):
-                found, _ = blocks(page.as_py() or "")
-                fixed = set(template.as_py() or ())
-                main = [b for b in found if b[1] and not b[2]]
-                if not main:
-                    main = [b for b in found if not b[2] and token(b[0], b[3]) not in fixed]
-                texts.append("\n".join(b[3] for b in main))
+            texts = [main_text(page.as_py() or "", template.as_py() or []) for page, template in zip(batch.column(k), batch.column(k + 1))]
             yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(k)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
     return run
@@ -173,11 +242,11 @@ def _extract(names: list[str]):
 def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = 3, support: float = 0.5, most_tokens: int = 1_000_000) -> DataFrame:
     """pages without html, with text (the main text) and n_chars (its code points).
 
-    Blocks in an article or main element are that slot's content; on pages without one, the blocks that are neither
-    template of their host nor page furniture (by element, role or class name). Character references are decoded,
-    white space in a block becomes one space, blocks are joined by a line end in page order. Nothing else is
-    dropped. Null html and pages without text give ''. Pages without a host form one group. Repeated rows are
-    treated alike. An empty table gives an empty table; columns named text or n_chars are replaced.
+    Each host's pages give a template: equivalence classes of tokens, ordered and nested (see templates() and slots()).
+    What stands in its slots, less page furniture, is the text (see main_text()); a host with too few pages has one
+    slot, the page. Character references are decoded, white space in a block becomes one space, blocks are joined by
+    two line ends in page order. Null html and pages without text give ''. Pages without a host form one group.
+    Repeated rows are treated alike. An empty table gives an empty table; columns named text or n_chars are replaced.
 
     Templates are broadcast only while they hold most_tokens tokens or fewer (8 bytes each), else joined.
     """
@@ -185,9 +254,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", least_pages:
     host, page, template = (internal(pages, x) for x in ("_host", "_page", "_template"))
     keep = [c for c in pages.columns if c != html]
     at = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][\w+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    own = pages.select(at.alias("host"), F.xxhash64(html).alias("page_key"), F.col(html).alias("html"))
+    own = pages.select(at.alias("host"), F.col(html).alias("html"))
     found = cut(templates(own, least_pages, support).select(F.col("host").alias(host), F.col("template").alias(template)))
-    small = (found.agg(F.sum(F.size(template))).first()[0] or 0) <= most_tokens
+    small = (found.agg(F.sum(F.size(F.flatten(template)))).first()[0] or 0) <= most_tokens
     rows = pages.select(*keep, at.alias(page), html)
     joined = rows.join(F.broadcast(found) if small else found, F.col(page) == F.col(host), "left").select(*keep, html, template)
     fields = ", ".join(f"`{pages.schema[c].name}` {pages.schema[c].dataType.simpleString()}" for c in keep)

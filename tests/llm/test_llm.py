@@ -252,7 +252,7 @@ def test_extract(spark):
     rows = [(k, f"http://h/{k}", page.format(f"<article><h1>T{k} &amp; co</h1><p><b>one\n two<br><p>three &eacute;</article>"), "c") for k in range(3)]
     rows += [(10 + k, f"http://g/{k}", f"<body><div>Same words here</div><div>Text {k}</div></body>", "c") for k in range(4)] + [(20, None, None, "c"), (21, None, "plain &lt;b", "c")]
     out = {r["page_id"]: r for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
-    assert out[1]["text"] == "T1 & co\none two\nthree é" and out[1]["n_chars"] == len(out[1]["text"])
+    assert out[1]["text"] == "T1 & co\n\none two\n\nthree é" and out[1]["n_chars"] == len(out[1]["text"])
     assert out[12]["text"] == "Text 2" and out[20]["text"] == "" and out[21]["text"] == html.unescape("plain &lt;b")
 
 
@@ -298,6 +298,85 @@ def test_each_run_of_50_words_holds_a_paragraph(spark):
     assert [r["doc_id"] for r in passages.find_repeats(make(spark, near)).collect()] == [1]
 
 
+def test_template_alone_decides(spark):
+    """No article, no telling class names: what stands in the same place of all pages goes, the rest stays."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for k in range(6):
+        menu = "".join(f"<li>{x}" for x in ("Home", "News", "About"))
+        body = [words(rng, rng.randint(5, 20)) for _ in range(rng.randint(1, 4))]
+        extra = "<div>We use biscuits</div>" if k % 3 else ""
+        rows.append((k, f"http://h/{k}", f"<body><div><ul>{menu}</ul></div>{extra}<div>{''.join(f'<p>{x}</p>' for x in body)}</div><div>All rights</div></body>"))
+        want[k] = "\n\n".join(body)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract.extract(df).collect()} == want
+    # one page of the same host alone has no template
+    assert "Home" in extract.extract(df.where("page_id = 1")).first()["text"]
+    assert extract.extract(df.limit(0)).count() == 0
+
+
+def test_template_classes_by_brute_force(spark):
+    rng = random.Random(33)
+    pages = []
+    for k in range(8):
+        parts = ["<body>"] + [f"<div class=c{j}>{'fixed ' + str(j) if rng.random() < 0.8 else words(rng, 3)}</div>" for j in range(5)] + ["<p>row</p>" * (k % 3)]
+        pages.append("".join(parts))
+    df = spark.createDataFrame([("h", p) for p in pages + pages[:3]], "host string, html string")
+    got = {frozenset(c) for r in extract.templates(df).collect() for c in r["template"]}
+    vectors, size = collections.defaultdict(dict), {}
+    for k, p in enumerate(dict.fromkeys(pages)):
+        for path, _, _, text in extract.blocks(p):
+            t = extract.token(path, text)
+            vectors[t][k] = vectors[t].get(k, 0) + 1
+            size[t] = max(1, len((text or '').split()))
+    classes = collections.defaultdict(set)
+    for t, v in vectors.items():
+        if len(v) >= 3 and len(v) >= 0.5 * len(set(pages)):
+            classes[tuple(sorted(v.items()))].add(t)
+    assert got == {frozenset(c) for c in classes.values() if sum(size[t] for t in c) > 1}
+
+
+def test_slots_nest():
+    # class 1 2 3 frames the page; class 7 8 nests twice in its second gap; class 4 5 is out of order
+    slot, fixed = extract.slots([1, 9, 2, 7, 10, 8, 7, 11, 8, 3, 5, 4], [[1, 2, 3], [7, 8], [5, 4], [6, 12]])
+    assert fixed == {0, 2, 3, 5, 6, 8, 9, 10, 11} and slot[1] not in (slot[4], slot[7], 0) and slot[4] != slot[7]
+    assert extract.slots([1, 2, 2, 1], [[1, 2]])[1] == set()
+
+
+def test_near_copies_within_one_document_go(spark):
+    rng = random.Random(21)
+    sentence = words(rng, 38).split()
+    text = f"{words(rng, 30)}. {' '.join(sentence)}. {words(rng, 30)}. {' '.join(sentence[:-1])} other. {words(rng, 9)}."
+    out = passages.find_repeats(make(spark, [(1, text, "s", 0, "x"), (2, words(rng, 60), "s", 0, "x")])).collect()
+    assert [r["doc_id"] for r in out] == [1]
+    first = text.index(" ".join(sentence))
+    assert all(x["start"] >= first + len(" ".join(sentence)) for x in out[0]["spans"])
+
+
+def test_passages_against_all_pairs_of_paragraphs(spark):
+    """Removed are all paragraphs equal or similar (0.8) to an earlier one, and nothing else."""
+    rng = random.Random(23)
+    lines_ = [words(rng, rng.randint(60, 90)) for _ in range(40)]
+    for k in range(0, 40, 2):  # a near copy: one to three words changed in a row, or two apart
+        w = lines_[k].split()
+        at = rng.randint(0, len(w) - 20)
+        for j in rng.choice([(0,), (0, 1, 2), (0, 9, 18)]):
+            w[at + j] = "changed"
+        lines_.append(" ".join(w))
+    rng.shuffle(lines_)
+    rows = [(k, "\n".join(lines_[5 * k : 5 * k + 5]), "s", 0, "x") for k in range(12)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (x.split() for x in lines_)]
+    twin = {b for b in range(60) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = {r["doc_id"]: r["spans"] for r in passages.find_repeats(make(spark, rows)).collect()}
+    gone = set()
+    for b in range(60):
+        text = rows[b // 5][1]
+        at = len("\n".join(lines_[b - b % 5 : b])) + (b % 5 > 0)
+        if any(x["start"] <= at and x["end"] >= at + len(lines_[b]) for x in found.get(b // 5, [])):
+            gone.add(b)
+    assert gone == twin and 5 <= len(twin) < 20
+
+
 def test_copies_of_a_page_are_one_page_of_evidence(spark):
     page = "<body><div>Menu of h</div><div>{}</div></body>"
     rows = [(k, f"http://h/{k}", page.format("One story"), "c") for k in range(4)] + [(10 + k, f"http://h/{10 + k}", page.format(f"Story {k}"), "c") for k in range(3)]
