@@ -35,11 +35,12 @@ def rolling(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def paragraphs(words: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """First word and word after the last of each paragraph of the texts, in order.
+def paragraphs(words: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and word after the last of each paragraph of the texts, in order, and its kinds: 1 passage, 2 line, 3 both.
 
-    A line of `least` words or more is a paragraph. So is each sentence of that length; the sentences between those,
-    within a long line or within a run of short lines, join from the first on until they have `least` words.
+    A line of `least` words or more is a paragraph. Passages are smaller: each sentence of that length is one; the
+    sentences between those, within a long line or within a run of short lines, join from the first on until they have
+    `least` words. Paragraphs of one kind never overlap.
     """
     n = words.bounds[-1]
     fine = distinct(np.concatenate([words.cuts, words.bounds]))
@@ -48,15 +49,15 @@ def paragraphs(words: Words, least: int = LEAST) -> tuple[np.ndarray, np.ndarray
     long_piece = np.flatnonzero(np.diff(fine) >= least)
     at = distinct(np.concatenate([words.bounds, line[long_line], line[long_line + 1], fine[long_piece], fine[long_piece + 1]]))
     now, end = at[:-1], at[1:]
-    first, after = [line[long_line]], [line[long_line + 1]]
+    lines = line[long_line] * (n + 1) + line[long_line + 1]
+    passages = [np.empty(0, dtype=np.int64)]
     while len(now):
         stop = np.append(fine, n + 1)[np.searchsorted(fine, now + least)]
         now, stop, end = (x[stop <= end] for x in (now, stop, end))
-        first.append(now)
-        after.append(stop)
+        passages.append(now * (n + 1) + stop)
         now = stop
-    both = distinct(np.concatenate(first) * (n + 1) + np.concatenate(after))
-    return both // (n + 1), both % (n + 1)
+    both = distinct(np.concatenate([lines, *passages]))
+    return both // (n + 1), both % (n + 1), np.isin(both, np.concatenate(passages)) + 2 * np.isin(both, lines)
 
 
 def anchors(words: Words, runs: np.ndarray, least: int = LEAST, whole: int = WHOLE) -> np.ndarray:
@@ -87,63 +88,72 @@ def minima(shingles: np.ndarray, begin: np.ndarray, stop: np.ndarray, factors: n
 
 def _texts(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[tuple]:
     """Of some texts at a time: shingles, and per paragraph (and window, if wanted) its document, key, start and end in
-    code points, first and last shingle; and which are paragraphs. A key is a digest of the shingles in order."""
+    code points, first and last shingle; and the kind (0: window). A key is a digest of the shingles in order."""
     for batch in batches:
         ids, at = batch.column(0).to_pylist(), 0
         for texts in in_groups(batch.column(1)):
             words = Words(texts)
             runs = shingles_in_order(words.ids, WIDTH)
-            first, after = paragraphs(words)
-            banded = np.ones(len(first), dtype=bool)
+            first, after, kind = paragraphs(words)
             if windows and len(runs):
                 more = anchors(words, runs)
                 n = len(words.ids) + 1
                 more = more[~np.isin(more * n + more + LEAST, first * n + after)]
-                first, after, banded = np.concatenate([first, more]), np.concatenate([after, more + LEAST]), np.append(banded, np.zeros(len(more), dtype=bool))
+                first, after, kind = np.concatenate([first, more]), np.concatenate([after, more + LEAST]), np.append(kind, np.zeros(len(more), dtype=kind.dtype))
             owner = np.searchsorted(words.bounds, first, side="right") - 1 + at
             at += len(texts)
             if len(first):
                 raw, stop = memoryview(runs).cast("B"), after - WIDTH + 1
                 keys = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((first * 8).tolist(), (stop * 8).tolist())]
-                yield [ids[k] for k in owner.tolist()], runs, keys, words.starts[first], words.ends[after - 1], first, stop, banded
+                yield [ids[k] for k in owner.tolist()], runs, keys, words.starts[first], words.ends[after - 1], first, stop, kind
 
 
-def _short(keys: list[bytes]) -> np.ndarray:
-    """The first half of each key, as the number that stands for it in the candidate search (see short())."""
-    return np.frombuffer(b"".join(keys), dtype=">i8")[::2].astype(np.int64)
+def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of each key as whole numbers. The first stands for the key where a mix-up only costs time."""
+    both = np.frombuffer(b"".join(keys), dtype=">i8").astype(np.int64)
+    return both[::2], both[1::2]
 
 
-def short(key: str) -> Column:
-    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+def _half(key: str, first: int) -> Column:
+    return F.conv(F.hex(F.substring(key, first, 8)), 16, -10).cast("long")
+
+
+def _whole(k1: str, k2: str) -> Column:
+    return F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in (k1, k2)]))
 
 
 def _units(bands: int, rows: int, most: int = 50_000):
-    """Place and key of each paragraph and window, and the paragraphs' band labels; labels that a task has just given for a
-    document with a smaller id are not repeated (null)."""
+    """Place and key of each paragraph and window, and the paragraphs' band labels, by kind; labels that a task has just
+    given for a document with a smaller id are not repeated (null)."""
     rng = np.random.default_rng(11)
     factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + ODD
-    salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
+    salts = mix64(np.arange(1, 2 * bands + 1, dtype=np.uint64)).reshape(2, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        for ids, runs, keys, start, end, first, stop, banded in _texts(batches, True):
-            has = np.zeros(len(keys), dtype=bool)
-            for k in np.flatnonzero(banded).tolist():
-                owner = -1 if ids[k] is None else ids[k]
-                if seen.get(keys[k], owner + 1) > owner:
-                    if len(seen) >= most:
-                        seen.clear()
-                    seen[keys[k]] = owner
-                    has[k] = True
-            new = np.flatnonzero(has)
-            m = minima(runs, first[new], stop[new], factors).reshape(len(new), bands, rows)
-            h = np.broadcast_to(salt, (len(new), bands)).copy()
-            for k in range(rows):
-                h = mix64(h ^ m[:, :, k])
-            at = pa.array(np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32), mask=np.append(~has, False))
-            lists = pa.ListArray.from_arrays(at, pa.array(h.ravel().view(np.int64)))
-            cols = [pa.array(ids, pa.int64()), pa.array(start), pa.array(end), pa.array(keys, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "set_key", "prefixes"])
+        held: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+        for ids, runs, keys, start, end, first, stop, kind in _texts(batches, True):
+            places, labels = [], []
+            for seen, salt, bit in zip(held, salts, (1, 2)):
+                new = []
+                for k in np.flatnonzero(kind & bit).tolist():
+                    owner = -1 if ids[k] is None else ids[k]
+                    if seen.get(keys[k], owner + 1) > owner:
+                        if len(seen) >= most:
+                            seen.clear()
+                        seen[keys[k]] = owner
+                        new.append(k)
+                places.append(np.array(new, dtype=np.int64))
+                m = minima(runs, first[new], stop[new], factors).reshape(len(new), bands, rows)
+                h = np.broadcast_to(salt, (len(new), bands)).copy()
+                for k in range(rows):
+                    h = mix64(h ^ m[:, :, k])
+                labels.append(h)
+            place = np.concatenate(places)
+            has = np.bincount(place, minlength=len(keys))
+            at = pa.array(np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32), mask=np.append(has == 0, False))
+            flat = np.concatenate(labels)[np.argsort(place, kind="stable")].ravel()
+            cols = [pa.array(ids, pa.int64()), pa.array(start), pa.array(end), *map(pa.array, _halves(keys)), pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "k1", "k2", "prefixes"])
 
     return run
 
@@ -156,7 +166,7 @@ def _sets(wanted, most: int = 50_000):
         seen: set[bytes] = set()
         for _, runs, own, _, _, first, stop, _ in _texts(batches, False):
             keys, sizes, sets = [], [], []
-            h = _short(own) % BITS
+            h = _halves(own)[0] % BITS
             for k in np.flatnonzero(marks[h >> 3] >> (h & 7).astype(np.uint8) & 1).tolist():
                 if own[k] not in seen:
                     if len(seen) >= most:
@@ -167,7 +177,7 @@ def _sets(wanted, most: int = 50_000):
                     sizes.append(len(s))
                     sets.append(s.tobytes())
             if keys:
-                cols = [pa.array(keys, pa.binary()), pa.array(_short(keys), pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())]
+                cols = [pa.array(keys, pa.binary()), pa.array(_halves(keys)[0]), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["set_key", "u", "n", "shingles"])
 
     return run
@@ -188,9 +198,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, recall: float = 0.99, block: int = 256) -> DataFrame:
     """doc_id, spans, n_removed: for each document the stretches that repeat a passage of an earlier one.
 
-    Paragraphs of 20 words or more (lines, long sentences, groups of short sentences, see paragraphs()) collide when one
-    of the bands of two minima is equal, with as many bands as the recall at the threshold takes, and colliding ones,
-    within a document and across documents, are verified by exact Jaccard similarity. So that no verbatim repeat is
+    Paragraphs of 20 words or more (lines; and within them long sentences and groups of short ones, see paragraphs())
+    collide with others of their kind when one of the bands of two minima is equal, with as many bands as the recall at
+    the threshold takes, and colliding ones, within a document and across documents, are verified by exact Jaccard
+    similarity. So that no verbatim repeat is
     lost where lines and sentences are cut otherwise, each run of 50 words also holds a window of 20 words that all
     its copies hold (see anchors()); windows repeat only as they are. A component of equal or linked paragraphs keeps
     its first occurrence, by doc_id (null last) and start; all others are removed, but for those that overlap it.
@@ -203,8 +214,8 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     owner = F.coalesce("doc_id", F.lit(-1)).alias("owner")
-    units = cut(slim.mapInArrow(_units(bands_for(threshold, recall), 2), "doc_id long, start long, end long, set_key binary, prefixes array<long>"))
-    group = _candidates(units.where("prefixes is not null").select(short("set_key").alias("u"), owner, "prefixes"))
+    units = cut(slim.mapInArrow(_units(bands_for(threshold, recall), 2), "doc_id long, start long, end long, k1 long, k2 long, prefixes array<long>"))
+    group = _candidates(units.where("prefixes is not null").select(F.col("k1").alias("u"), owner, "prefixes"))
     units = units.drop("prefixes")
     h = F.pmod(F.col("u"), F.lit(BITS))
     marked = group.select(h.alias("h")).groupBy((F.col("h") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("m"))
@@ -216,13 +227,16 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     shingled = owners.drop("owner").mapInArrow(_sets(spark.sparkContext.broadcast(bytes(bitmap))), "set_key binary, u long, n long, shingles binary")
     of = shingled.dropDuplicates(["set_key"]).join(group.drop("owner"), "u").drop("u").withColumn("weight", F.lit(1).cast("long"))
     found = verify(of, threshold, block)
-    classes = cut(components(found.where("v is not null").select("u", "v")).select(F.col("u").alias("set_key"), "root"))
-    # paragraphs that occur more than once or are linked to others
-    several = units.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1").select("set_key")
-    several = cut(several.join(classes, "set_key", "full").select("set_key", F.coalesce("root", "set_key").alias("root")))
+    linked = components(found.where("v is not null").select("u", "v"))
+    linked = cut(linked.select(_half("u", 1).alias("k1"), _half("u", 9).alias("k2"), "root"))
+    # only paragraphs that occur more than once or are linked to others move on
+    again = units.groupBy("k1").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1")
+    maybe, _ = split_by(units, "k1", cut(again.union(linked.select("k1")).distinct()), "k1")
+    maybe = cut(maybe)
+    several = maybe.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).join(linked, ["k1", "k2"], "left").where("times > 1 or root is not null")
+    several = several.select("k1", "k2", F.coalesce("root", _whole("k1", "k2")).alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end")
-    maybe, _ = split_by(units, "set_key", several, "set_key")
-    occurs = cut(maybe.join(several, "set_key"))
+    occurs = cut(maybe.join(several, ["k1", "k2"]))
     heads = cut(occurs.groupBy("root").agg(F.min(place).alias("head")))
     gone = occurs.select("doc_id", "start", "end", "root").join(heads, "root")
     gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("head.doc_id")) | (F.col("start") >= F.col("head.end")))
