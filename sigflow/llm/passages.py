@@ -234,7 +234,8 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     maybe, _ = split_by(units, "k1", cut(again.union(linked.select("k1")).distinct()), "k1")
     maybe = cut(maybe)
     several = maybe.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).join(linked, ["k1", "k2"], "left").where("times > 1 or root is not null")
-    several = several.select("k1", "k2", F.coalesce("root", _whole("k1", "k2")).alias("root"))
+    # written by itself, so that the join below is free to split a passage that very many documents hold
+    several = cut(several.select("k1", "k2", F.coalesce("root", _whole("k1", "k2")).alias("root")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end")
     occurs = cut(maybe.join(several, ["k1", "k2"]))
     heads = cut(occurs.groupBy("root").agg(F.min(place).alias("head")))
