@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.common import cut, internal
+from sigflow.llm.common import cut, internal, lowered
 
 TOKEN = re.compile(r"\w+|[.!?\n]")
 PREFIXES = (4, 5, 6)
@@ -42,7 +42,7 @@ class Model:
 class Marker(dict):
     """Word -> 1 if it has a marked feature; bounded."""
 
-    def __init__(self, marks: frozenset[str], most: int = 500_000):
+    def __init__(self, marks: frozenset[str], most: int = 100_000):
         super().__init__()
         self.marks, self.most = marks, most
 
@@ -54,7 +54,8 @@ class Marker(dict):
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    """Words and sentence ends, in lower case that keeps every code point's place."""
+    return TOKEN.findall(lowered(text))
 
 
 def sentences(flags: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +186,7 @@ class Scorer:
         if p is None or not (p >= least).any():
             return []
         out: list[tuple[int, int]] = []
-        lower = text if len(text.lower()) != len(text) else text.lower()
-        for k, m in enumerate(TOKEN.finditer(lower)):
+        for k, m in enumerate(TOKEN.finditer(lowered(text))):
             if k < len(p) and p[k] >= least:
                 if out and out[-1][2] == k - 1:
                     out[-1] = (out[-1][0], m.end(), k)
@@ -243,8 +243,8 @@ def _contexts(candidates: frozenset[str]):
     return run
 
 
-def _chains(marks: frozenset[str]):
-    """Labelled token chains of the sample: every chain with a marked token, a fixed part (by content) of the others."""
+def _chains(marks: frozenset[str], plain: int):
+    """Labelled token chains of the sample: every chain with a marked token, one in `plain` (by place) of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = Marker(marks)
@@ -256,7 +256,7 @@ def _chains(marks: frozenset[str]):
                 starts, lens = sentences(flags, np.array([t in ".!?\n" for t in toks], dtype=bool))
                 for s, n in zip(starts, lens):
                     f = flags[s : s + n]
-                    if f.any() or (s * 7919 + n) % 61 == 0:
+                    if f.any() or (s * 7919 + n) % plain == 0:
                         out.append((f.tobytes(), (f * y).astype(np.int8).tobytes(), int((s * 2654435761 + n * 97 + len(toks)) % 2**31)))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["flags", "labels", "draw"])
@@ -274,9 +274,11 @@ def _evidence(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", sample: int = 5000, chains: int = 5000, least_share: float = 0.01, ratio: float = 15.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", sample: int = 5000, chains: int = 5000, least_share: float = 0.01, ratio: float = 15.0, features: int = 5000, plain: int = 61) -> Model:
     """Fit on the labelled rows that are not held out: at most `sample` texts of either label (those of least hash,
-    exact copies once), at most `chains` token chains. Both bounds keep the driver's share fixed at any size.
+    exact copies once), at most `chains` token chains, of which those without a marked token are one in `plain` of all,
+    and at most `features` candidate features, those that most toxic texts of the sample have. The bounds keep the
+    driver's share fixed at any size; they hold for the sample only, every text is scored whole.
 
     Tokens get their labels from the documents': a word, or a beginning of words, that at least least_share of the
     toxic texts have, ratio times as often as clean ones do, in at least as many different contexts, is marked; marked tokens of toxic texts are toxic, all
@@ -296,12 +298,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return Model(frozenset())
     counts = picked.mapInArrow(_count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     rare = lambda t, c: (F.col(t) >= max(3, least_share * got[1])) & ((F.col(t) + 0.5) / (got[1] + 1) >= ratio * (F.col(c) + 0.5) / (got[0] + 1))
-    first = counts.where(rare("t", "c")).orderBy(F.col("t").desc(), "feature").limit(5000).collect()
+    first = counts.where(rare("t", "c")).orderBy(F.col("t").desc(), "feature").limit(features).collect()
     near = picked.mapInArrow(_contexts(frozenset(r["feature"] for r in first)), "feature string, toxic int, near long").distinct()
     near = near.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     marks = frozenset(r["feature"] for r in near.where(rare("t", "c")).collect())
     model = Model(marks)
-    rows = picked.select("text", "y").mapInArrow(_chains(marks), "flags binary, labels binary, draw long").orderBy("draw", "flags").limit(chains).collect()
+    rows = picked.select("text", "y").mapInArrow(_chains(marks, plain), "flags binary, labels binary, draw long").orderBy("draw", "flags").limit(chains).collect()
     flags = np.concatenate([np.frombuffer(r["flags"], np.int8) for r in rows]) if rows else np.zeros(0, np.int8)
     ys = np.concatenate([np.frombuffer(r["labels"], np.int8) for r in rows]) if rows else flags
     lens = np.array([len(r["flags"]) for r in rows], dtype=np.int64)
