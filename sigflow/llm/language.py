@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sigflow.llm.common import cut, internal
+from sigflow.llm.common import cut
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
@@ -71,8 +72,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = 2000, grams: int = 60_000, most_langs: int = 200) -> TextModel:
-    """Fit on at most `sample` labelled texts of each of the most_langs commonest languages (those of least hash) and
-    the `grams` commonest trigrams; the bounds keep the driver's share fixed at any size."""
+    """Fit on about `sample` labelled texts of each of the most_langs commonest languages (those of least hash) and
+    the `grams` commonest trigrams; the bounds, for fitting only, keep the driver's share fixed at any size. Raise
+    most_langs if the labels have more languages. Null texts and labels are left out; without any label the one
+    language is "und"."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
@@ -108,9 +111,10 @@ def _table(df: DataFrame, by: str, langs: int, name: str) -> DataFrame:
 def fuse(rows: DataFrame, model: TextModel, strength: float = 5.0) -> DataFrame:
     """Posterior of each row from text_ll and the columns declared, suffix, host and domain (null where unknown).
 
-    The text's verdicts, counted by grouped aggregation over all rows, tell how far each declared language and
+    The text's verdicts, counted by grouped aggregation over all other rows, tell how far each declared language and
     address suffix goes with each language. A host's prior is smoothed towards its domain's, that towards the
-    overall shares, with the weight of `strength` rows each.
+    overall shares, with the weight of `strength` rows each. A row's own verdict is left out of its own counts: its
+    text speaks once, through its likelihood.
     """
     n = len(model.langs)
     best = F.array_position(F.col("text_ll"), F.array_max("text_ll")).cast("int") - 1
@@ -120,10 +124,11 @@ def fuse(rows: DataFrame, model: TextModel, strength: float = 5.0) -> DataFrame:
     share = share / share.sum()
     base = F.array(*[F.lit(float(x)) for x in share])
     zeros = F.array(*[F.lit(0.0)] * n)
+    others = lambda by: lambda x, k: x - F.when(F.col(by).isNotNull() & (k == F.col("verdict")), 1.0).otherwise(0.0)
     out = rows
     for by in ("declared", "suffix", "domain", "host"):
         sums = _table(rows, by, n, f"n_{by}").withColumnRenamed(by, f"_{by}")
-        out = out.join(sums, F.col(by) == F.col(f"_{by}"), "left").drop(f"_{by}").withColumn(f"n_{by}", F.coalesce(f"n_{by}", zeros))
+        out = out.join(sums, F.col(by) == F.col(f"_{by}"), "left").drop(f"_{by}").withColumn(f"n_{by}", F.transform(F.coalesce(f"n_{by}", zeros), others(by)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     domain = F.zip_with("n_domain", base, lambda x, p: x + strength * p)
     domain = F.transform(domain, lambda x: x / (total(F.col("n_domain")) + strength))
@@ -156,13 +161,11 @@ def identify_pages(pages: DataFrame, model: TextModel, html: str = "html", url:
     with the output's names are replaced.
     """
     pages = pages.drop("lang", "posterior", "declared", "suffix", "host", "domain")
-    own = internal(pages, "_html")
-    keep = [c for c in pages.columns if c != html]
     declared = F.lower(F.regexp_extract(F.col(html), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     host = host_of(F.col(url))
     labels = F.split(host, r"\.")
-    rows = pages.select(*keep, F.when(declared != "", declared).alias("declared"), F.element_at(labels, -1).alias("suffix"), host.alias("host"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"), F.col(html).alias(own))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != own)
-    return fuse(rows.mapInArrow(_likelihood(model, True, temper), f"{fields}, text_ll array<double>"), model)
-
-
+    # the page's own columns travel as one, so none of their names can clash with those used here
+    own = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html])
+    rows = pages.select(own.alias("page"), F.when(declared != "", declared).alias("declared"), F.element_at(labels, -1).alias("suffix"), host.alias("host"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"), F.col(html).alias("html"))
+    kept = T.StructType([rows.schema["page"], *[T.StructField(c, T.StringType()) for c in ("declared", "suffix", "host", "domain")], T.StructField("text_ll", T.ArrayType(T.DoubleType()))])
+    return fuse(rows.mapInArrow(_likelihood(model, True, temper), kept), model).select("page.*", "declared", "suffix", "host", "domain", "lang", "posterior")
