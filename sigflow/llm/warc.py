@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import os
 import re
@@ -21,6 +20,7 @@ from sigflow.llm.common import cut, internal, shared_dir
 
 CHUNK = 1 << 18
 SEGMENT = 4 << 20
+HEAD = 16 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "path string, start long, end long, records long"
@@ -53,11 +53,12 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x1F\x7F]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
-    """One record as a gzip member. A revisit holds no payload: its headers name the digest, the length and the original."""
+def write_record(out, page_id, url, payload: memoryview, digest: str, refers_to, date: str) -> int:
+    """Write one record as a gzip member, the payload a chunk at a time; returns its bytes. A revisit holds no payload: its
+    headers name the digest, the length and the original."""
     kind = "response" if refers_to is None else "revisit"
     ident = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{digest}')}>"
-    block = HTTP + (payload if kind == "response" else b"")
+    held = payload if kind == "response" else payload[:0]
     head = [("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
@@ -65,9 +66,13 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, date: str
         head.append(("WARC-Target-URI", _clean(url)))
     if kind == "revisit":
         head += [("WARC-Profile", REVISIT), ("X-Refers-To-Page-ID", str(refers_to))]
-    head.append(("Content-Length", str(len(block))))
+    head.append(("Content-Length", str(len(HTTP) + len(held))))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
-    return gzip.compress(text.encode() + block + b"\r\n\r\n", 1, mtime=0)
+    member, n = zlib.compressobj(1, zlib.DEFLATED, 31), 0
+    n += out.write(member.compress(text.encode() + HTTP))
+    for k in range(0, len(held), CHUNK):
+        n += out.write(member.compress(held[k : k + CHUNK]))
+    return n + out.write(member.compress(b"\r\n\r\n") + member.flush())
 
 
 def _writer(folder: str, date: str):
@@ -76,13 +81,13 @@ def _writer(folder: str, date: str):
         for batch in batches:
             cols = [batch.column(k) for k in range(5)]
             for i in range(batch.num_rows):
-                page_id, url, payload, digest, refers_to = (c[i].as_py() for c in cols)
+                page_id, url, digest, refers_to = (cols[k][i].as_py() for k in (0, 1, 3, 4))
+                payload = memoryview(cols[2][i].as_buffer())  # no copy: a view of the batch
                 if out is None:  # a name of its own for each attempt: what a lost attempt wrote is never read
                     path = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
                     out = open_stream(path, "wb")
-                data = record_bytes(page_id, url, payload, base32_sha1(bytes.fromhex(digest)), refers_to, date)
-                out.write(data)
-                at, n = at + len(data), n + 1
+                at += write_record(out, page_id, url, payload, base32_sha1(bytes.fromhex(digest)), refers_to, date)
+                n += 1
                 if at - start >= SEGMENT:
                     done.append((path, start, at, n))
                     start, n = at, 0
@@ -147,6 +152,8 @@ def read_records(stream, size: int, chunk: int = CHUNK) -> Iterator[tuple[dict[s
 
     def head() -> dict[str, str] | None:
         while (end := state["buf"].find(b"\r\n\r\n")) < 0:
+            if len(state["buf"]) > HEAD:
+                raise ValueError("a record's header does not end")
             if not fill():
                 if state["buf"]:
                     raise ValueError("the archive ends inside a header")
@@ -195,7 +202,8 @@ def _reader(chunk: int):
                         fixed = (h["warc-type"], h.get("warc-target-uri"), int(page) if page else None, int(ref) if ref else None)
                         key = f"{seg['path'].rsplit('/', 1)[1]}:{seg['start']}:{k}"
                         if h["warc-type"] == "revisit":
-                            rows.append((key, 0, b"", int(h["x-payload-length"]), h["warc-payload-digest"].partition(":")[2], True, *fixed))
+                            size, digest = h.get("x-payload-length"), h.get("warc-payload-digest", "")
+                            rows.append((key, 0, b"", int(size) if size else None, digest.partition(":")[2] or None, True, *fixed))
                             continue
                         piece = next(body, b"")
                         while True:  # one piece is held back to know which is the last
@@ -221,7 +229,9 @@ def read_chunks(segments: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     data holds at most chunk bytes; payload_bytes and payload_digest (bare base32 SHA-1) cover the payload up to and
     with that chunk, so the last row of a record has its full length and digest. A revisit is one row without data
-    whose length and digest come from its headers. No task holds a whole payload.
+    whose length and digest come from its headers (null where an archive from elsewhere has none). Nulls and empty
+    payloads are one chunk of no bytes; a table without segments gives none. A damaged archive raises ValueError. No
+    task holds a whole payload.
     """
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return segments.repartition(n).mapInArrow(_reader(chunk), CHUNKS)
