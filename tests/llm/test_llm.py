@@ -216,6 +216,57 @@ def test_toxicity(spark):
     assert toxicity.train(make(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int")).marks == frozenset()
 
 
+def test_spans_keep_their_places_where_case_changes_lengths(spark):
+    text = "İstanbul güzel vile end"
+    model = toxicity.Model(frozenset({"w:vile"}), emit=np.array([-5.0, 10.0, 0.0, 0.0]))
+    row = toxicity.score(make(spark, [(1, text, "s", 0, "x")]), model).first()
+    assert [text[x["start"] : x["end"]] for x in row["toxic_spans"]] == ["vile"]
+
+
+def test_leave_one_out_fusion_by_hand(spark):
+    """Posteriors of ten pages, computed straight from the definition."""
+    rng = random.Random(41)
+    model = language.TextModel(["aa", "bb"], {})
+    rows = [(k, rng.choice([None, "aa", "bb"]), rng.choice(["com", "bb"]), f"h{k % 3}", f"d{k % 2}", [rng.uniform(-3, 0), rng.uniform(-3, 0)]) for k in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, declared string, suffix string, host string, domain string, text_ll array<double>")
+    got = {r["page_id"]: (r["lang"], r["posterior"]) for r in language.fuse(df, model).collect()}
+    verdict = [int(r[5][1] > r[5][0]) for r in rows]
+    base = [(verdict.count(k) + 1) / 12 for k in (0, 1)]
+    for r in rows:
+        n = lambda col: [sum(verdict[q[0]] == k for q in rows if q[0] != r[0] and q[col] == r[col]) for k in (0, 1)]  # noqa: E731,B023
+        domain = [(x + 5 * p) / (sum(n(4)) + 5) for x, p in zip(n(4), base)]
+        host = [(x + 5 * p) / (sum(n(3)) + 5) for x, p in zip(n(3), domain)]
+        log = [a + np.log(p) for a, p in zip(r[5], host)]
+        for col in (1, 2):
+            if r[col] is not None:
+                log = [a + np.log((x + 5 * p) / p) for a, x, p in zip(log, n(col), base)]
+        want = 1 / (1 + np.exp(-abs(log[0] - log[1])))
+        assert got[r[0]] == (("aa", "bb")[int(log[1] > log[0])], pytest.approx(want))
+
+
+def test_language_lets_any_column_pass(spark):
+    model = language.TextModel(["aa"], {})
+    df = spark.createDataFrame([(1, "http://x.y/", "<p>a", 7, 8, 9)], "page_id long, url string, html string, verdict int, text_ll int, n_host int")
+    row = language.identify_pages(df, model).first()
+    assert (row["verdict"], row["text_ll"], row["n_host"], row["host"], row["lang"]) == (7, 8, 9, "x.y", "aa")
+    assert language.identify_pages(df.limit(0), model).count() == 0
+
+
+def test_damaged_archives_raise():
+    import io
+    import zlib
+
+    out = io.BytesIO()
+    assert warc.write_record(out, 1, "u", memoryview(b"x" * 1000), "D", None, "d") == len(out.getvalue())
+    data = out.getvalue()
+    (head, body), = ((h, b"".join(b)) for h, b in warc.read_records(io.BytesIO(data), len(data), 64))
+    assert body == b"x" * 1000 and head["x-page-id"] == "1"
+    for bad in (data[:-30], data[: len(data) // 2]):
+        with pytest.raises((ValueError, zlib.error)):
+            for _, body in warc.read_records(io.BytesIO(bad), len(bad)):
+                b"".join(body)
+
+
 def test_chain_marginals_by_enumeration():
     import itertools
 
