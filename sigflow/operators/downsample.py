@@ -194,6 +194,17 @@ def lttb_critical(df: DataFrame, key: list[str], order: list[str], t: str, v: st
     return with_row_index(df, key, order).join(picked, [*key, "row_idx"], "left_semi").select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"))
 
 
+def auto(df: DataFrame, key: list[str], order: list[str], t: str, v: str, width: int = 1920, limits: list[float] | None = None, critical: int = 500) -> DataFrame:
+    """Reduce to twice the screen's width: whole where there are no more rows, by LTTB and critical points if limits are
+    given, else by LTTB."""
+    points = 2 * width
+    if df.count() <= points:
+        return with_row_index(df, key, order).select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"))
+    if limits:
+        return lttb_critical(df, key, order, t, v, points, critical, limits)
+    return lttb(df, key, order, t, v, points).select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"))
+
+
 def spikes(df: DataFrame, key: list[str], order: list[str], v: str, low: float | None = None, high: float | None = None, k: float = 3.0) -> DataFrame:
     """Rows outside given bounds, by default mean plus and minus k sample deviations."""
     w = Window.partitionBy(*key)

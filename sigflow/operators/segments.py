@@ -22,7 +22,7 @@ def segments(df: DataFrame, key: list[str], order: list[str], t: str, predicate:
 
 def violations(df: DataFrame, limits: DataFrame, key: list[str], order: list[str], t: str, v: str) -> DataFrame:
     """Runs outside their series' limits (limits: key, lo, hi), with the least and greatest value."""
-    with_limits = df.join(F.broadcast(limits), key)
+    with_limits = df.join(limits, key)
     bad = F.coalesce((F.col(v) < F.col("lo")) | (F.col(v) > F.col("hi")), F.lit(False)) & ~F.isnan(F.col(v).cast("double"))
     return segments(with_limits, key, order, t, bad, [F.min(v).alias("vmin"), F.max(v).alias("vmax")])
 
@@ -45,24 +45,37 @@ def merge_regions(regions: DataFrame, key: list[str], start: str, end: str) -> D
     return grouped.groupBy(*key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
+def _with_latest(df: DataFrame, segs: DataFrame, key: list[str], x: str, start: str, latest: Column) -> DataFrame:
+    """Rows of df with _at: `latest` over the segments of their series that start at or before x.
+
+    Rows and segment starts go through one sort by x, so no row is compared with every segment.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)], F.col(x).cast("double").alias("_x"), F.lit(1).alias("_p"), row.alias("_row"), F.lit(None).cast(segs.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_seg"))
+    starts = segs.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)], F.col(start).cast("double").alias("_x"), F.lit(0).alias("_p"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct("*").alias("_seg"))
+    w = Window.partitionBy(*[f"_k{j}" for j in range(len(key))]).orderBy("_x", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.lit(True)
+    for j in range(len(key)):
+        known &= F.col(f"_k{j}").isNotNull()
+    both = rows.unionByName(starts).withColumn("_at", F.when(known, latest.over(w)))
+    return both.where("_p = 1").select("_row.*", "_x", "_at")
+
+
 def in_segments(df: DataFrame, segs: DataFrame, key: list[str], x: str, start: str, end: str, how: str = "left_semi") -> DataFrame:
-    """Rows inside (left_semi) or outside (left_anti) any segment; end inclusive."""
-    s = segs.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = F.col(x).between(F.col("_s"), F.col("_e"))
-    for k in key:
-        on &= F.col(k) == F.col(f"_{k}")
-    return df.join(s, on, how)
+    """Rows inside (left_semi) or outside (left_anti) any segment; end inclusive. Segments may overlap: a row is inside if
+    the furthest end of those begun is not before it. Rows with a null key or x are inside none."""
+    found = _with_latest(df, segs, key, x, start, F.max(F.col(f"_seg.{end}").cast("double")))
+    inside = F.coalesce(F.col("_at") >= F.col("_x"), F.lit(False))
+    return found.where(inside if how == "left_semi" else ~inside).select(*df.columns)
 
 
 def concatenate(df: DataFrame, segs: DataFrame, key: list[str], t: str, gap: float = 0.01) -> DataFrame:
-    """Rows inside segments on a continuous time t_cat: each segment starts (1 + gap) spans after the one before."""
+    """Rows inside segments (that do not overlap) on a continuous time t_cat: each segment starts (1 + gap) spans after the
+    one before."""
     before = Window.partitionBy(*key).orderBy("start_t").rowsBetween(Window.unboundedPreceding, -1)
     s = segs.withColumn("_off", F.coalesce(F.sum((F.col("end_t") - F.col("start_t")) * (1 + gap)).over(before), F.lit(0.0)))
-    s = s.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("start_t").alias("_s"), F.col("end_t").alias("_e"), "_off")
-    on = F.col(t).between(F.col("_s"), F.col("_e"))
-    for k in key:
-        on &= F.col(k) == F.col(f"_{k}")
-    return df.join(s, on).withColumn("t_cat", F.col(t) - F.col("_s") + F.col("_off")).select(*df.columns, "t_cat")
+    found = _with_latest(df, s, key, t, "start_t", F.last("_seg", True)).where(F.col("_x") <= F.col("_at.end_t"))
+    return found.withColumn("t_cat", F.col(t) - F.col("_at.start_t") + F.col("_at._off")).select(*df.columns, "t_cat")
 
 
 def with_gaps(df: DataFrame, segs: DataFrame, key: list[str], t: str, v: str) -> DataFrame:

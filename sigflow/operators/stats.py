@@ -86,8 +86,9 @@ def range_stats(pre: DataFrame, df: DataFrame, key: list[str], idx: str, v: str,
     edge = df.where(F.col(idx).between(a, b - 1) & ~F.floor(F.col(idx) / size).between(first, last - 1))
     edge = preaggregate(edge, key, idx, v, size).select(*key, "s1", "s2", "vmin", "vmax", "valid")
     total = inner.unionByName(edge).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "valid")], F.min("vmin").alias("min"), F.max("vmax").alias("max"))
-    mean = F.try_divide(F.col("s1"), F.col("valid"))
-    return total.select(*key, "valid", mean.alias("mean"), F.sqrt(F.greatest(F.try_divide(F.col("s2"), F.col("valid")) - mean * mean, F.lit(0.0))).alias("std"), "min", "max")
+    # sums of decimals stay exact however the rows were cut into chunks
+    mean, square = (F.try_divide(F.col(c).cast("double"), F.col("valid")) for c in ("s1", "s2"))
+    return total.select(*key, "valid", mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"))
 
 
 def reduce_blocks(df: DataFrame, key: list[str], idx: str, v: str, size: int = 500) -> DataFrame:

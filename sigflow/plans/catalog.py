@@ -344,9 +344,9 @@ def _(s, d):
     return rounded(rounded(stats.preaggregate(_idx(s, d), KEY, "row_idx", "value", 100), "s1", n=3), "s2", n=2)
 
 
-@query("a15_range_from_chunks", "+SELECT event_type, count(value) AS valid, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, min(value) AS min, max(value) AS max FROM ev WHERE i >= 130 AND i < 1570 GROUP BY event_type")
+@query("a15_range_from_chunks", "+SELECT event_type, count(value) AS valid, round(CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) / count(value), 4) AS mean, round(stddev_pop(value), 4) AS std, min(value) AS min, max(value) AS max FROM ev WHERE i >= 130 AND i < 1570 GROUP BY event_type")
 def _(s, d):
-    x = _idx(s, d)
+    x = _idx(s, d).withColumn("value", F.col("value").cast("decimal(18,4)"))
     return rounded(stats.range_stats(stats.preaggregate(x, KEY, "row_idx", "value", 100), x, KEY, "row_idx", "value", 130, 1570, 100), "mean", "std")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,30 +12,49 @@ from pyspark.sql import types as T
 from sigflow.operators.quality import NULL_TOKENS
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", header: bool = True, encoding: str = "UTF-8", repair_quotes: bool = False, header_row: int = 0, start_row: int | None = None) -> DataFrame:
-    """CSV with ragged rows dropped, names trimmed and null tokens read as null.
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """value, _i: the lines that are not blank, with numbers that grow in file order."""
+    plain = spark.read.option("sep", "\u0001").option("quote", "").option("encoding", encoding).schema("value string").csv(path)
+    return plain.withColumn("_i", F.monotonically_increasing_id()).where(F.trim("value") != "")
+
+
+def infer_types(df: DataFrame, sample: int = 10_000) -> DataFrame:
+    """Text columns as long or double where all values of the first `sample` rows are; later ones that are not become null."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df
+    fits = lambda c, kind: F.count(F.col(f"`{c}`").try_cast(kind))
+    counts = df.limit(sample).agg(*[f.alias(f"{k}{j}") for j, c in enumerate(text) for k, f in (("n", F.count(F.col(f"`{c}`"))), ("l", fits(c, "long")), ("d", fits(c, "double")))]).first()
+    kinds = {c: "long" if counts[f"l{j}"] == counts[f"n{j}"] else "double" for j, c in enumerate(text) if counts[f"n{j}"] and counts[f"d{j}"] == counts[f"n{j}"]}
+    return df.withColumns({c: F.col(f"`{c}`").try_cast(k) for c, k in kinds.items()}) if kinds else df
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", header: bool = True, encoding: str = "UTF-8", repair_quotes: bool = False, header_row: int = 0, start_row: int | None = None, infer: bool = False) -> DataFrame:
+    """CSV with ragged rows dropped, names trimmed and null tokens read as null; infer gives columns types (infer_types()).
 
-    With a header_row or start_row, or lines wrapped whole in quotes, the lines are read as text and parsed by
-    Spark's own CSV function.
+    With a header_row or start_row (line numbers from 0, blank lines left out), or lines wrapped whole in quotes, the
+    lines are read as text and parsed by Spark's own CSV function.
     """
     if not repair_quotes and not header_row and start_row is None:
-        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-        reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("mode", "DROPMALFORMED")
+        reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("mode", "DROPMALFORMED").option("columnPruning", "false")
         df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
         df = df.toDF(*[c.strip().strip('"') for c in df.columns])
     else:
-        lines = spark.read.text(path).withColumn("_i", F.monotonically_increasing_id()).where(F.trim("value") != "")
-        first = lines.orderBy("_i").limit(header_row + 5).select("value", "_i").collect()
+        lines = _lines(spark, path, encoding)
+        begin = start_row if start_row is not None else header_row + 1
+        first = lines.orderBy("_i").limit(max(begin, header_row + 4) + 1).select("value", "_i").collect()
         wrapped = lambda s: len(s) > 1 and s[0] == s[-1] == '"' and s.count('"') == 2
         if repair_quotes and sum(wrapped(r["value"]) for r in first) * 2 > len(first):
             lines = lines.withColumn("value", F.regexp_replace("value", '^"(.*)"$', "$1"))
-        names = [c.strip().strip('"') for c in first[header_row]["value"].strip('"').split(sep)]
-        begin = first[min(len(first) - 1, (start_row if start_row is not None else header_row + 1))]["_i"]
+            first = [{"value": r["value"][1:-1] if wrapped(r["value"]) else r["value"], "_i": r["_i"]} for r in first]
+        names = [c.strip() for c in next(csv.reader([first[header_row]["value"]], delimiter=sep))] if len(first) > header_row else ["value"]
         kind = schema if isinstance(schema, str) else ", ".join(f"`{n}` string" for n in names)
-        rows = lines.where(F.col("_i") >= begin).where(F.size(F.split("value", f"[{sep}]")) == len(names))
-        df = rows.select(F.from_csv("value", kind, {"sep": sep}).alias("r")).select("r.*")
+        rows = lines.where(F.col("_i") >= first[begin]["_i"]) if begin < len(first) else lines.limit(0)
+        parsed = F.from_csv("value", f"{kind}, `_ragged` string", {"sep": sep, "columnNameOfCorruptRecord": "_ragged"})
+        df = rows.select(parsed.alias("r")).where("r._ragged is null").select("r.*").drop("_ragged")
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(~F.trim(F.col(f"`{c}`")).isin(NULL_TOKENS), F.col(f"`{c}`")) for c in text})
+    df = df.withColumns({c: F.when(~F.trim(F.col(f"`{c}`")).isin(NULL_TOKENS), F.col(f"`{c}`")) for c in text})
+    return infer_types(df) if infer else df
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -59,6 +81,12 @@ def limits(df: DataFrame) -> DataFrame:
     return df.select(F.col("Parameter").alias("series_id"), num("Warning_Min").alias("lo"), num("Warning_Max").alias("hi"))
 
 
+def bit_definitions(spark: SparkSession, paths: dict[str, str], sep: str = ",") -> DataFrame:
+    """series_id, bit, description from one table of (bit, description) per signal; rows without a bit number are left out."""
+    parts = [read_csv(spark, path, sep=sep).select(F.lit(name).alias("series_id"), F.col("bit").try_cast("int").alias("bit"), F.col("description")) for name, path in sorted(paths.items())]
+    return reduce(DataFrame.unionByName, parts).where("bit is not null")
+
+
 def write_derived(df: DataFrame, out: str, blocks: DataFrame) -> None:
     """A derived signal and its reduced blocks beside it."""
     df.write.mode("overwrite").parquet(f"{out}/signal")
