@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigflow.operators.rolling import extrema, limit_crossings, sudden_changes
@@ -112,38 +111,83 @@ def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points
     return rows.groupBy(*key).applyInPandas(walk, f"{kinds}, row_idx long, t double, v double")
 
 
-def prominence(v: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Depth of each extremum above the higher of the lowest points on either side, up to the first higher sample."""
-    out = np.zeros(len(peaks))
-    for k, p in enumerate(peaks):
-        left = np.flatnonzero(v[:p] > v[p])
-        right = np.flatnonzero(v[p + 1 :] > v[p])
-        a = left[-1] + 1 if len(left) else 0
-        b = p + 1 + right[0] if len(right) else len(v)
-        out[k] = min(v[p] - v[a : p + 1].min(), v[p] - v[p:b].min())
+def _null_safe(key: list[str]) -> Column:
+    """Equal keys, nulls included, beside a table whose key columns are named _k0, _k1, ..."""
+    out = F.lit(True)
+    for i, k in enumerate(key):
+        out &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return out
 
 
-def with_prominence(df: DataFrame, key: list[str], order: list[str], v: str, w: int = 10, least_sigma: float = 0.3) -> DataFrame:
-    """Extrema with their prominence (least depth of both sides), those below least_sigma deviations left out."""
-    found = extrema(df, key, order, v, w).select(*key, "row_idx", "kind")
-    x = with_row_index(df, key, order).join(found, [*key, "row_idx"], "left").select(*key, "row_idx", F.col(v).cast("double").alias("v"), "kind")
-    kinds = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in key)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx").reset_index(drop=True)
-        out = []
-        for kind, sign in (("peak", 1.0), ("valley", -1.0)):
-            at = np.flatnonzero((pdf["kind"] == kind).to_numpy())
-            part = pdf.iloc[at].copy()
-            part["prominence"] = prominence(sign * pdf["v"].to_numpy(), at)
-            out.append(part)
-        both = pd.concat(out)
-        least = least_sigma * pdf["v"].std(ddof=0)
-        both["significance"] = np.minimum(1.0, both["prominence"] / max(3 * least, 1e-300))
-        return both[both["prominence"] >= least]
-
-    return x.groupBy(*key).applyInPandas(run, f"{kinds}, row_idx long, v double, kind string, prominence double, significance double")
+def _blocks(rows: DataFrame, key: list[str], fan: int, most: int) -> list[DataFrame]:
+    """A pyramid over (row_idx, v): level 0 holds the rows of each block of `fan`, level k + 1 the bounds of level k's blocks."""
+    names = [f"_k{i}" for i in range(len(key))]
+    parts = rows.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("row_idx").alias("_p"), F.col("v").alias("_hi"), F.col("v").alias("_lo"))
+    out: list[DataFrame] = []
+    while True:
+        held = F.array_sort(F.collect_list(F.struct("_p", "_hi", "_lo")))
+        out.append(parts.groupBy(*names, F.floor(F.col("_p") / fan).alias("_node")).agg(held.alias("_parts"), F.max("_hi").alias("_max"), F.min("_lo").alias("_min")))
+        most = -(-most // fan)
+        if most <= 1:
+            return out
+        parts = out[-1].select(*names, F.col("_node").alias("_p"), F.col("_max").alias("_hi"), F.col("_min").alias("_lo"))
+
+
+def _look(asked: DataFrame, key: list[str], level: DataFrame, node: Column, near: Column) -> DataFrame:
+    """Walk the parts of a block outwards from an extremum: _hit is the first one beyond its value (0: none), _low takes in
+    the parts passed."""
+    x = asked.withColumn("_at", node).join(level, (F.col("_at") == F.col("_node")) & _null_safe(key)).withColumn("_near", near)
+    peak = F.col("_sign") > 0
+    beyond = F.transform("_near", lambda e: F.when(peak, e["_hi"]).otherwise(-e["_lo"]) > F.col("_h"))
+    x = x.withColumn("_hit", F.array_position(beyond, F.lit(True)))
+    passed = F.when(F.col("_hit") > 0, F.slice("_near", F.lit(1), (F.col("_hit") - 1).cast("int"))).otherwise(F.col("_near"))
+    lows = F.transform(passed, lambda e: F.when(peak, e["_lo"]).otherwise(-e["_hi"]))
+    x = x.withColumn("_low", F.least("_low", F.array_min(lows))).withColumn("_n", F.size("_parts"))
+    return x.select(*asked.columns, "_hit", "_n")
+
+
+def with_prominence(df: DataFrame, key: list[str], order: list[str], v: str, w: int = 10, least_sigma: float | None = None, variant: str = "B", fan: int = 256) -> DataFrame:
+    """Extrema with their prominence, those below least_sigma deviations (0.3 for B, 0.5 for A) left out.
+
+    A side of a peak reaches to the first higher sample (of a valley: lower) or the end of the series. Variant B is the
+    lesser of the two sides' depths, variant A the depth to the lowest point of both. Null and NaN values are no extrema
+    and stop nothing; null keys are a series. Empty tables give no rows.
+
+    No task holds a series: each extremum looks through its own block of `fan` rows, then through the bounds of the blocks
+    around it, level by level, and goes down again into the one block that stops it.
+    """
+    value = F.col(v).cast("double")
+    value = F.when(~F.isnan(value), value)
+    rows = with_row_index(df, key, order).select(*key, "row_idx", value.alias("v"))
+    most = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = _blocks(rows, key, fan, most)
+
+    found = extrema(df, key, order, v, w).select(*key, "row_idx", value.alias("v"), "kind").where(F.col("v").isNotNull())
+    found = found.withColumn("_sign", F.when(F.col("kind") == "peak", 1.0).otherwise(-1.0)).withColumn("_h", F.col("_sign") * F.col("v"))
+    open_ = found.withColumn("_low", F.col("_h")).withColumn("_pos", F.col("row_idx")).withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    left = F.col("_side") < 0
+
+    stopped: list[DataFrame] = []
+    for level in levels:
+        off = (F.col("_pos") % fan).cast("int")
+        near = F.when(left, F.reverse(F.slice("_parts", F.lit(1), off))).otherwise(F.slice("_parts", off + 2, F.lit(fan)))
+        x = _look(open_, key, level, F.floor(F.col("_pos") / fan), near)
+        stopped.append(x.where("_hit > 0").withColumn("_pos", F.col("_pos") + F.col("_side") * F.col("_hit")).drop("_hit", "_n"))
+        open_ = x.where("_hit = 0").withColumn("_pos", F.floor(F.col("_pos") / fan)).drop("_hit", "_n")
+    inside = stopped[-1]
+    for k in range(len(levels) - 1, 0, -1):
+        x = _look(inside, key, levels[k - 1], F.col("_pos"), F.when(left, F.reverse("_parts")).otherwise(F.col("_parts")))
+        at = F.col("_pos") * fan + F.when(left, F.col("_n") - F.col("_hit")).otherwise(F.col("_hit") - 1)
+        inside = stopped[k - 1].unionByName(x.withColumn("_pos", at).drop("_hit", "_n"))
+    ends = inside.unionByName(open_)
+
+    low = F.max("_low") if variant == "B" else F.min("_low")
+    both = ends.groupBy(*key, "row_idx", "kind").agg(F.max("v").alias("v"), (F.max("_h") - low).alias("prominence"))
+    least = (0.3 if variant == "B" else 0.5) if least_sigma is None else least_sigma
+    sigma = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg((least * F.stddev_pop("v")).alias("_least"))
+    both = both.join(sigma, _null_safe(key)).where(F.col("prominence") >= F.col("_least"))
+    share = F.col("prominence") / F.greatest(3 * F.col("_least"), F.lit(1e-300))
+    return both.select(*key, "row_idx", "v", "kind", "prominence", F.least(F.lit(1.0), share).alias("significance"))
 
 
 def proximity_dedup(points: DataFrame, key: list[str], distance: int = 5) -> DataFrame:
@@ -214,13 +258,15 @@ def spikes(df: DataFrame, key: list[str], order: list[str], v: str, low: float |
 
 
 def smart(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, low: float | None = None, high: float | None = None, near: int = 3) -> DataFrame:
-    """Spikes, extrema and changes, filled with LTTB rows (70 % of the target) that are not within `near` rows of them."""
+    """Spikes, extrema and changes, filled with LTTB rows (70 % of the target) that are not within `near` rows of them or
+    of an LTTB row taken before."""
     s = spikes(df, key, order, v, low, high).select(*key, "row_idx", F.lit("spike").alias("kind"))
     c = critical_points(df, key, order, t, v).select(*key, "row_idx", "kind")
     best = s.unionByName(c).groupBy(*key, "row_idx").agg(F.max("kind").alias("kind"))
     fill = lttb(df, key, order, t, v, max(100, int(points * 0.7))).select(*key, "row_idx")
     around = best.withColumn("row_idx", F.explode(F.sequence(F.col("row_idx") - near, F.col("row_idx") + near))).select(*key, "row_idx").distinct()
     fill = fill.join(around, [*key, "row_idx"], "left_anti").withColumn("kind", F.lit("lttb"))
+    fill = proximity_dedup(fill.withColumn("significance", F.lit(0.0)), key, near).drop("significance")
     return with_row_index(df, key, order).join(best.unionByName(fill), [*key, "row_idx"]).select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"), "kind")
 
 
@@ -266,5 +312,3 @@ def view(lods: dict[int, DataFrame], df: DataFrame, key: list[str], t: str, sign
 def apply_series(df: DataFrame, key: list[str], fn, schema: str) -> DataFrame:
     """A user's whole-series function; each series must fit a task."""
     return df.groupBy(*key).applyInPandas(fn, schema)
-
-

@@ -518,9 +518,19 @@ def _(s, d):
     return downsample.smart(ev(s, d), KEY, ORDER, "t", "value", 300)
 
 
-@query("w16_prominence")
-def _(s, d):
-    return downsample.with_prominence(ev(s, d), KEY, ORDER, "value")
+def _prominence(depth: str, least: float) -> str:
+    return f"""+, x AS (SELECT *, max(value) OVER l AS lx, min(value) OVER l AS ln, max(value) OVER q AS rx, min(value) OVER q AS rn, count(*) OVER l AS lc, count(*) OVER q AS rc
+ FROM ev WINDOW l AS ({WIN} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), q AS ({WIN} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
+ c AS (SELECT event_type, i, value AS v, CASE WHEN value > lx AND value > rx THEN 1 ELSE -1 END AS g FROM x WHERE lc = 10 AND rc = 10 AND ((value > lx AND value > rx) OR (value < ln AND value < rn))),
+ a AS (SELECT c.event_type, c.i, c.v, c.g, max(e.i) FILTER (e.i < c.i AND g * e.value > g * v) AS l, min(e.i) FILTER (e.i > c.i AND g * e.value > g * v) AS r FROM c JOIN ev e USING (event_type) GROUP BY ALL),
+ p AS (SELECT event_type, i, v, g, g * v - ml AS dl, g * v - mr AS dr FROM (SELECT a.event_type, a.i, a.v, a.g, min(g * e.value) FILTER (e.i <= a.i AND e.i > coalesce(l, -1)) AS ml, min(g * e.value) FILTER (e.i >= a.i AND (r IS NULL OR e.i < r)) AS mr FROM a JOIN ev e USING (event_type) GROUP BY ALL)),
+ s AS (SELECT event_type, {least} * stddev_pop(value) AS low FROM ev GROUP BY event_type)
+ SELECT event_type, i AS row_idx, v, CASE WHEN g = 1 THEN 'peak' ELSE 'valley' END AS kind, round({depth}(dl, dr), 4) AS prominence, round(least(1.0, {depth}(dl, dr) / (3 * low)), 4) AS significance
+ FROM p JOIN s USING (event_type) WHERE {depth}(dl, dr) >= low"""
+
+
+for _n, _v, _f, _m in (("w16_prominence", "B", "least", 0.3), ("w16_prominence_lowest", "A", "greatest", 0.5)):
+    query(_n, _prominence(_f, _m))(lambda s, d, v=_v: rounded(downsample.with_prominence(ev(s, d), KEY, ORDER, "value", variant=v), "prominence", "significance"))
 
 
 @query("w18_critical_points")

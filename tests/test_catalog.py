@@ -56,3 +56,43 @@ def test_spikes_survive_smart(spark):
     df = spark.createDataFrame([("a", float(k), float(x)) for k, x in enumerate(v)], "k string, t double, v double")
     got = {r["row_idx"] for r in downsample.smart(df, ["k"], ["t"], "t", "v", 400, -50, 50).collect()}
     assert {1000, 2500} <= got and len(got) < 800
+
+
+def straight_prominence(v, at, lowest):
+    left = [k for k in range(at) if v[k] > v[at]]
+    right = [k for k in range(at + 1, len(v)) if v[k] > v[at]]
+    a, b = (left[-1] + 1 if left else 0), (right[0] if right else len(v))
+    depths = v[at] - np.nanmin(v[a : at + 1]), v[at] - np.nanmin(v[at:b])
+    return max(depths) if lowest else min(depths)
+
+
+@pytest.mark.parametrize(("fan", "variant", "parts"), [(3, "B", 1), (4, "A", 16), (256, "B", 4)])
+def test_prominence_is_the_straight_scan(spark, fan, variant, parts):
+    rng = np.random.default_rng(5)
+    k = np.arange(400)
+    series = {"walk": np.cumsum(rng.normal(size=400)), "ramp": k * 0.1 + (k % 6) * 1.0, "fall": -k * 0.1 + (k % 6) * 1.0, "level": np.where(k % 5 == 0, 3.0, 1.0), "short": np.array([1.0, 2.0]), None: rng.integers(0, 5, 300).astype(float)}
+    series["gaps"] = np.where(k % 41 == 7, np.nan, series["walk"][::-1])
+    rows = [(name, i, float(x) if x == x or i % 2 else None) for name, v in series.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(parts)
+    got = {(r["k"], r["row_idx"], r["kind"]): r["prominence"] for r in downsample.with_prominence(df, ["k"], ["t"], "v", 2, 0.0, variant, fan).collect()}
+    want = {}
+    for name, v in series.items():
+        for r in downsample.extrema(df.where(df["k"].eqNullSafe(name)), ["k"], ["t"], "v", 2).collect():
+            if r["v"] == r["v"]:
+                sign = 1 if r["kind"] == "peak" else -1
+                want[name, r["row_idx"], r["kind"]] = straight_prominence(sign * v, r["row_idx"], variant == "A")
+    assert len(want) > 200 and got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_prominence_of_no_rows(spark):
+    df = spark.createDataFrame([], "k string, t int, v double")
+    assert downsample.with_prominence(df, ["k"], ["t"], "v").count() == 0
+    flat = spark.range(50).selectExpr("'a' AS k", "id AS t", "CAST(id % 5 AS double) AS v")
+    assert downsample.with_prominence(flat, [], ["t"], "v", 2, 0.0).count() > 0
+
+
+def test_smart_fill_keeps_its_distance(spark):
+    df = spark.range(3000).selectExpr("'a' AS k", "CAST(id AS double) AS t", "sin(id / 50.0) AS v")
+    rows = sorted((r["row_idx"], r["kind"]) for r in downsample.smart(df, ["k"], ["t"], "t", "v", 2000).collect())
+    assert all(b[0] - a[0] > 3 for a, b in zip(rows, rows[1:]) if "lttb" in (a[1], b[1]))
