@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sigflow.llm.common import internal
 
 BLANK = " \t\r"
+#: Tasks that the texts of one very common line are dealt to.
+SPREAD = 16
 
 
 def _lines(text: Column) -> Column:
@@ -49,10 +51,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_s
     docs = docs.drop("n_lines", "n_removed")
     ka, kb, gone = (internal(docs, x) for x in ("_ka", "_kb", "_gone"))
     bad = boilerplate(docs, text, site, min_sites, log_k, margin)
-    keyed = docs.withColumn(ka, F.xxhash64(text)).withColumn(kb, F.hash(text))
+    # null texts match nothing; keys of their own keep them from meeting in one task
+    keyed = docs.withColumn(ka, F.when(F.col(text).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(text))).withColumn(kb, F.hash(text))
     # what goes from a text depends on the text alone: exact copies share one row here
     own = keyed.where(F.col(text).isNotNull()).select(ka, kb, F.explode(F.transform(_lines(F.col(text)), _key)).alias("k")).where("k is not null")
-    hit = own.select(ka, kb, "k.a", "k.b").join(bad, ["a", "b"])
+    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    hit = own.select(ka, kb, "k.a", "k.b", F.pmod(ka, F.lit(SPREAD)).cast("int").alias("salt")).join(bad, ["a", "b", "salt"])
     hit = hit.groupBy(ka, kb).agg(F.collect_set(F.struct("a", "b")).alias(gone))
     out = keyed.join(hit, [ka, kb], "left")
     lines = _lines(F.col(text))
