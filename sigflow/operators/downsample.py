@@ -270,6 +270,19 @@ def smart(df: DataFrame, key: list[str], order: list[str], t: str, v: str, point
     return with_row_index(df, key, order).join(best.unionByName(fill), [*key, "row_idx"]).select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"), "kind")
 
 
+def quick(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, threshold: float) -> DataFrame:
+    """smart() with spikes beyond plus and minus the threshold."""
+    return smart(df, key, order, t, v, points, -threshold, threshold)
+
+
+def smart_stats(picked: DataFrame, df: DataFrame, key: list[str]) -> DataFrame:
+    """Per series of smart()'s result: its rows by kind, rows before and after, and how many times fewer they are."""
+    kinds = ("spike", "peak", "valley", "change", "lttb")
+    own = picked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("picked"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    both = df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).join(own, _null_safe(key))
+    return both.select(*key, "rows", "picked", *kinds, (F.col("rows") / F.col("picked")).alias("ratio"))
+
+
 def build_lod(df: DataFrame, key: list[str], order: list[str], t: str, signals: list[str], sizes: tuple[int, ...] = (100, 10_000, 100_000)) -> dict[int, DataFrame]:
     """Per size the least and greatest time and values of each bucket; coarser levels come from the finer one."""
     x = with_row_index(df, key, order)

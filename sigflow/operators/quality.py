@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 # Null tokens, boolean tokens and date patterns with their weights.
 NULL_TOKENS = ["", "NULL", "null", "None", "NA", "N/A", "nan", "NaN", "-"]
 BOOLEAN_TOKENS = ["true", "false", "1", "0", "yes", "no", "y", "n", "t", "f"]
-DATE_PATTERNS = [(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$", 1.0), (r"^\d{1,2}\.\d{1,2}\.\d{4}", 0.9), (r"^\d{1,2}/\d{1,2}/\d{4}", 0.8)]
+DATE_PATTERNS = {
+    "iso_datetime": (r"^\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}", 0.95),
+    "iso_date": (r"^\d{4}-\d{2}-\d{2}$", 0.90),
+    "us_datetime": (r"^\d{1,2}/\d{1,2}/\d{4}\s\d{1,2}:\d{2}:\d{2}", 0.85),
+    "eu_datetime": (r"^\d{1,2}/\d{1,2}/\d{4}\s\d{1,2}:\d{2}:\d{2}", 0.80),
+    "turkish_datetime": (r"^\d{1,2}\.\d{1,2}\.\d{4}\s\d{1,2}:\d{2}:\d{2}", 0.85),
+    "timestamp": (r"^\d{10}(\.\d+)?$", 0.90),
+    "excel_serial": (r"^\d{5}(\.\d+)?$", 0.70),
+}
 
 
 def number(c: Column) -> Column:
@@ -26,16 +34,26 @@ def profile(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def detect_types(df: DataFrame, cols: list[str]) -> DataFrame:
-    """column, numeric, dated, boolean (shares of non-null values) and the type they speak for."""
+    """column, the confidences numeric, dated and boolean, the best date format, the type they speak for and its confidence.
+
+    numeric is the share of non-null values that are numbers, times 0.9 from 0.9 down and 0.5 from 0.7 down; dated the best
+    share of a date pattern times its weight, or 0.8 if that is below 0.7 and every value parses as a time. Numbers come
+    before dates and dates before booleans; mixed columns hold a tenth of numbers or dates at least. Without values: string.
+    """
     aggs = []
     for k, c in enumerate(cols):
         s = F.trim(F.col(c).cast("string"))
         n = F.greatest(F.count(s), F.lit(1))
-        dated = F.greatest(*[F.count_if(s.rlike(p)) / n * w for p, w in DATE_PATTERNS])
-        aggs.append(F.struct(F.lit(c).alias("column"), (F.count(number(s)) / n).alias("numeric"), dated.alias("dated"), (F.count_if(F.lower(s).isin(BOOLEAN_TOKENS)) / n).alias("boolean")).alias(f"c{k}"))
+        fits = [F.struct((F.count_if(s.rlike(p)) / n * w).alias("dated"), F.lit(-at).alias("order"), F.lit(name).alias("format")) for at, (name, (p, w)) in enumerate(DATE_PATTERNS.items())]
+        parsed = (F.count(s) > 0) & (F.count(F.try_to_timestamp(s)) == F.count(s))
+        aggs.append(F.struct(F.lit(c).alias("column"), (F.count(number(s)) / n).alias("share"), F.greatest(*fits).alias("best"), parsed.alias("parsed"), (F.count_if(F.lower(s).isin(BOOLEAN_TOKENS)) / n).alias("boolean")).alias(f"c{k}"))
     x = df.agg(*aggs).select(F.explode(F.array(*[f"c{k}" for k in range(len(cols))])).alias("x")).select("x.*")
-    kind = F.when(F.col("boolean") > 0.8, "boolean").when(F.col("numeric") > 0.8, "numeric").when(F.col("dated") > 0.7, "datetime").when((F.col("numeric") > 0.1) | (F.col("dated") > 0.1), "mixed").otherwise("string")
-    return x.withColumn("type", kind)
+    share, loose = F.col("share"), (F.col("best.dated") < 0.7) & F.col("parsed")
+    numeric = share * F.when(share > 0.9, 1.0).when(share > 0.7, 0.9).otherwise(0.5)
+    x = x.withColumns({"numeric": numeric, "dated": F.when(loose, 0.8).otherwise(F.col("best.dated")), "format": F.when(F.col("best.dated") > 0, F.col("best.format")).when(loose, "auto")})
+    kind = F.when(F.col("numeric") > 0.8, "numeric").when(F.col("dated") > 0.7, "datetime").when(F.col("boolean") > 0.8, "boolean").when((share > 0.1) | (F.col("dated") > 0.1), "mixed").otherwise("string")
+    sure = F.when(F.col("type").isin("numeric", "datetime", "boolean"), F.greatest(*[F.when(F.col("type") == t, F.col(v)) for t, v in (("numeric", "numeric"), ("datetime", "dated"), ("boolean", "boolean"))])).when(F.col("type") == "mixed", 0.6).otherwise(0.5)
+    return x.withColumn("type", kind).withColumn("confidence", sure).select("column", "numeric", "dated", "boolean", "format", "type", "confidence")
 
 
 def iqr_outliers(df: DataFrame, c: str) -> DataFrame:
@@ -55,7 +73,7 @@ def issues(profiled: DataFrame) -> DataFrame:
 
 def value_types(df: DataFrame, c: str) -> DataFrame:
     s = F.trim(F.col(c).cast("string"))
-    kind = F.when(s.isNull() | s.isin(NULL_TOKENS), "null").when(number(s).isNotNull(), "numeric").when(s.rlike(DATE_PATTERNS[0][0]), "datetime").otherwise("string")
+    kind = F.when(s.isNull() | s.isin(NULL_TOKENS), "null").when(number(s).isNotNull(), "numeric").when(s.rlike("|".join(p for p, _ in DATE_PATTERNS.values())), "datetime").otherwise("string")
     return df.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -91,14 +109,33 @@ def normalize_time(df: DataFrame, c: str, unit: str = "s", t0: float = 0.0) -> D
     return df.withColumn("t", t + t0)
 
 
-def datetime_checks(df: DataFrame, c: str, now: Column | None = None) -> DataFrame:
-    """Texts that fail to parse, dates before 1900 and more than 365 days ahead of now, and the span in days."""
+def instant(c: Column, kind: str = "text") -> Column:
+    """A time from text, from seconds of the epoch ('epoch') or from days since 1899-12-30 ('serial'); null if it is none."""
+    if kind == "text":
+        return F.try_to_timestamp(c)
+    n = number(c)
+    return F.timestamp_seconds(n if kind == "epoch" else (n - 25569) * 86400)
+
+
+def datetime_checks(df: DataFrame, c: str, now: Column | None = None, kind: str = "text") -> DataFrame:
+    """Values that fail to parse, dates before 1900 and more than 365 days ahead of now, and the span in days; kind as in
+    instant()."""
     s = F.trim(F.col(c).cast("string"))
-    at = F.try_to_timestamp(s)
+    at = instant(s, kind)
     ahead = (F.current_timestamp() if now is None else now) + F.expr("interval 365 days")
     return df.agg(F.count_if(s.isNotNull() & at.isNull()).alias("failed"), F.count_if(F.year(at) < 1900).alias("before_1900"), F.count_if(at > ahead).alias("ahead"), F.datediff(F.max(at), F.min(at)).alias("span_days"))
 
 
+def type_counts(detected: DataFrame) -> DataFrame:
+    """Columns of each type in the result of detect_types()."""
+    return detected.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def issue_counts(found: DataFrame) -> DataFrame:
+    """Columns that have each issue in the result of issues()."""
+    return found.select(F.explode(F.split("issues", ",")).alias("issue")).where("issue <> ''").groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
 def report(df: DataFrame, plan: dict[str, str]) -> DataFrame:
     """Per column of the plan (see auto_fix()): valid and invalid values and the percentage of values that are valid."""
     fixed = auto_fix(df.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(plan)]), {f"c{k}": kind for k, kind in enumerate(plan.values())})

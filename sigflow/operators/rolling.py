@@ -125,14 +125,23 @@ def normalize(df: DataFrame, key: list[str], v: str, method: str) -> DataFrame:
     return df.withColumn("v_norm", F.coalesce(F.try_divide(c - F.avg(c).over(w), F.stddev_pop(c).over(w)), F.lit(0.0)))
 
 
-def outliers(df: DataFrame, key: list[str], v: str, method: str = "std", cut: float = 3.0) -> DataFrame:
-    """Rows further than cut scales from the baseline: std, mad (median absolute deviation) or iqr."""
-    w, c = Window.partitionBy(*key), F.col(v)
-    if method == "std":
-        base, scale = F.avg(c).over(w), F.stddev_pop(c).over(w)
-        x = df.withColumn("_b", base).withColumn("_s", scale)
-    elif method == "mad":
-        x = df.withColumn("_b", F.median(c).over(w)).withColumn("_s", F.median(F.abs(c - F.col("_b"))).over(w))
+def outliers(df: DataFrame, key: list[str], v: str, method: str = "std", cut: float = 3.0, baseline: str | None = None, order: list[str] | None = None, w: int = 50) -> DataFrame:
+    """Rows further than cut scales from the baseline, with their score.
+
+    Scales: std, aad and mad (mean and median absolute deviation from the baseline) or iqr. Baselines: mean (std, aad) and
+    median (mad, iqr) of the series, or, given an order, rolling (mean of the last w rows) and trend (least squares).
+    """
+    whole, c = Window.partitionBy(*key), F.col(v)
+    base = baseline or ("mean" if method in ("std", "aad") else "median")
+    if base == "trend":
+        x = trend(df, key, order, v).withColumnRenamed("trend", "_b").drop("row_idx", "slope", "intercept")
+    elif base == "rolling":
+        x = df.withColumn("_b", F.avg(c).over(ordered(key, order).rowsBetween(-(w - 1), 0)))
+    else:
+        x = df.withColumn("_b", (F.avg(c) if base == "mean" else F.median(c)).over(whole))
+    off = F.abs(c - F.col("_b"))
+    if method == "iqr":
+        scale = F.percentile(c, F.lit(0.75)).over(whole) - F.percentile(c, F.lit(0.25)).over(whole)
     else:
-        x = df.withColumn("_b", F.median(c).over(w)).withColumn("_s", F.percentile(c, F.lit(0.75)).over(w) - F.percentile(c, F.lit(0.25)).over(w))
-    return x.withColumn("score", F.try_divide(F.abs(c - F.col("_b")), F.col("_s"))).where(F.col("score") > cut).drop("_b", "_s")
+        scale = {"std": F.stddev_pop(c), "aad": F.avg(off), "mad": F.median(off)}[method].over(whole)
+    return x.withColumn("_s", scale).withColumn("score", F.try_divide(off, F.col("_s"))).where(F.col("score") > cut).drop("_b", "_s")

@@ -482,6 +482,15 @@ def _(s, d):
     return rolling.outliers(table(s, d, "events"), KEY, "value").select("event_id", r("score").alias("score"))
 
 
+def _outliers(base: str, scale: str, cut: float) -> str:
+    return f"+, b AS (SELECT event_id, event_type, value, {base} AS b FROM ev) SELECT event_id, round(score, 4) AS score FROM (SELECT event_id, abs(value - b) / ({scale}) AS score FROM b WINDOW k AS (PARTITION BY event_type)) WHERE score > {cut}"
+
+
+_LINE = "regr_intercept(value, i) OVER (PARTITION BY event_type) + regr_slope(value, i) OVER (PARTITION BY event_type) * i"
+for _n, _m, _b, _f, _q in (("aad", "aad", "mean", "avg(value) OVER (PARTITION BY event_type)", "avg(abs(value - b)) OVER k"), ("mad", "mad", "median", "median(value) OVER (PARTITION BY event_type)", "median(abs(value - b)) OVER k"), ("iqr", "iqr", "median", "median(value) OVER (PARTITION BY event_type)", "quantile_cont(value, 0.75) OVER k - quantile_cont(value, 0.25) OVER k"), ("rolling", "std", "rolling", f"avg(value) OVER ({WIN} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)", "stddev_pop(value) OVER k"), ("trend", "std", "trend", _LINE, "stddev_pop(value) OVER k")):
+    query(f"n06_outliers_{_n}", _outliers(_f, _q, 2.5))(lambda s, d, m=_m, b=_b: rolling.outliers(ev(s, d), KEY, "value", m, 2.5, b, ORDER).select("event_id", r("score").alias("score")))
+
+
 # --- downsampling and level of detail
 
 
@@ -660,6 +669,41 @@ def _(s, d):
     return quality.datetime_checks(table(s, d, "orders"), "o_orderdate", F.lit("1998-01-01").cast("timestamp"))
 
 
+ODD_ID = "CASE WHEN c_custkey % 5 = 0 THEN 'x' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END"
+
+
+@query("q02_confidence", f"""WITH x AS (SELECT {ODD_ID} AS id FROM customer), n AS (SELECT count(TRY_CAST(id AS DOUBLE)) / count(id) AS share, count(*) FILTER (WHERE regexp_matches(id, '^[0-9]{{5}}([.][0-9]+)?$')) / count(id) * 0.7 AS dated FROM x),
+ o AS (SELECT count(*) FILTER (WHERE regexp_matches(strftime(o_orderdate, '%Y-%m-%d'), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')) / count(o_orderdate) * 0.9 AS dated FROM orders)
+ SELECT 'id' AS "column", round(share * CASE WHEN share > 0.9 THEN 1 WHEN share > 0.7 THEN 0.9 ELSE 0.5 END, 4) AS numeric, round(dated, 4) AS dated, CASE WHEN share > 0.9 THEN 'numeric' ELSE 'mixed' END AS type, CASE WHEN share > 0.9 THEN round(share, 4) ELSE 0.6 END AS confidence FROM n
+ UNION ALL SELECT 'day', 0.0, round(dated, 4), 'datetime', round(dated, 4) FROM o""")
+def _(s, d):
+    ids = quality.detect_types(table(s, d, "customer").select(F.expr("if(c_custkey % 5 = 0, concat('x', c_custkey), string(c_custkey))").alias("id")), ["id"])
+    days = quality.detect_types(table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), ["day"])
+    return rounded(ids.union(days), "numeric", "dated", "confidence").select("column", "numeric", "dated", "type", "confidence")
+
+
+@query("q05_epoch_checks", "SELECT count(*) FILTER (WHERE event_id % 7 = 0) AS failed, 0::BIGINT AS before_1900, count(*) FILTER (WHERE event_id % 7 <> 0 AND ts > TIMESTAMP '2023-01-15' + INTERVAL 365 DAY) AS ahead, CAST(date_diff('day', min(ts) FILTER (WHERE event_id % 7 <> 0), max(ts) FILTER (WHERE event_id % 7 <> 0)) AS INTEGER) AS span_days FROM events")
+def _(s, d):
+    x = ev(s, d).withColumn("at", F.expr("if(event_id % 7 = 0, 'none', string(cast(t AS decimal(20, 6))))"))
+    return quality.datetime_checks(x, "at", F.lit("2023-01-15").cast("timestamp"), "epoch")
+
+
+@query("q05_serial_checks", "SELECT 0::BIGINT AS failed, count(*) FILTER (WHERE o_orderkey % 9 = 0) AS before_1900, count(*) FILTER (WHERE o_orderkey % 9 <> 0 AND CAST(o_orderdate AS DATE) > DATE '1998-01-01' + 365) AS ahead, CAST(date_diff('day', min(CAST(o_orderdate AS DATE) - CASE WHEN o_orderkey % 9 = 0 THEN 50000 ELSE 0 END), max(CAST(o_orderdate AS DATE) - CASE WHEN o_orderkey % 9 = 0 THEN 50000 ELSE 0 END)) AS INTEGER) AS span_days FROM orders")
+def _(s, d):
+    x = table(s, d, "orders").withColumn("at", F.expr("datediff(o_orderdate, date'1899-12-30') - if(o_orderkey % 9 = 0, 50000, 0)"))
+    return quality.datetime_checks(x, "at", F.lit("1998-01-01").cast("timestamp"), "serial")
+
+
+@query("q09_type_counts", "SELECT 'numeric' AS type, 2::BIGINT AS n FROM (SELECT count(c_custkey) AS k FROM customer) WHERE k > 0 UNION ALL SELECT 'string', 2 FROM (SELECT count(c_name) AS k FROM customer) WHERE k > 0")
+def _(s, d):
+    return quality.type_counts(quality.detect_types(table(s, d, "customer"), ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]))
+
+
+@query("q09_issue_counts", "SELECT 'id_like' AS issue, count(*) AS n FROM (SELECT count(DISTINCT o_orderkey) / count(*) AS u, count(*) AS k FROM orders UNION ALL SELECT count(DISTINCT o_orderstatus) / count(*), count(*) FROM orders UNION ALL SELECT count(DISTINCT o_totalprice) / count(*), count(*) FROM orders) WHERE u > 0.95 AND k > 100")
+def _(s, d):
+    return quality.issue_counts(quality.issues(quality.profile(table(s, d, "orders"), ["o_orderkey", "o_orderstatus", "o_totalprice"])))
+
+
 @query("q09_report", "SELECT 'event_type' AS \"column\", count(TRY_CAST(event_type AS DOUBLE)) AS valid, count(*) - count(TRY_CAST(event_type AS DOUBLE)) AS invalid, 100.0::DOUBLE * count(TRY_CAST(event_type AS DOUBLE)) / count(*) AS success_pct FROM events UNION ALL SELECT 'value', count(value), count(*) - count(value), 100.0::DOUBLE * count(value) / count(*) FROM events UNION ALL SELECT 'ts', count(ts), count(*) - count(ts), 100.0::DOUBLE * count(ts) / count(*) FROM events")
 def _(s, d):
     return quality.report(table(s, d, "events"), {"event_type": "numeric", "value": "numeric", "ts": "datetime"})

@@ -96,3 +96,11 @@ def test_smart_fill_keeps_its_distance(spark):
     df = spark.range(3000).selectExpr("'a' AS k", "CAST(id AS double) AS t", "sin(id / 50.0) AS v")
     rows = sorted((r["row_idx"], r["kind"]) for r in downsample.smart(df, ["k"], ["t"], "t", "v", 2000).collect())
     assert all(b[0] - a[0] > 3 for a, b in zip(rows, rows[1:]) if "lttb" in (a[1], b[1]))
+
+
+def test_smart_stats(spark):
+    df = spark.range(3000).selectExpr("if(id < 2900, 'a', null) AS k", "CAST(id AS double) AS t", "sin(id / 50.0) + if(id = 1500, 9, 0) AS v")
+    picked = downsample.quick(df.where("k = 'a'"), ["k"], ["t"], "t", "v", 300, 5.0)
+    (row,) = downsample.smart_stats(picked, df, ["k"]).collect()
+    assert row["spike"] == 1 and row["picked"] == picked.count() == sum(row[x] for x in ("spike", "peak", "valley", "change", "lttb"))
+    assert row["rows"] == 2900 and abs(row["ratio"] - 2900 / row["picked"]) < 1e-12
