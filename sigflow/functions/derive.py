@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigflow.operators.series import with_totals
+
 ORDER_BOUND = re.compile(r"\b(cumsum|cumprod|diff|correlate|convolve|gradient|rolling|shift|lag|lead|over)\b", re.I)
 
 
@@ -17,7 +19,7 @@ def derive(df: DataFrame, exprs: dict[str, str], aggregates: dict[str, str] | No
     aggregates are computed per key first (over all rows without one) and can be named in the expressions.
     """
     for name, text in (aggregates or {}).items():
-        df = df.withColumn(name, F.expr(text).over(Window.partitionBy(*(key or [F.lit(0)]))))
+        df = with_totals(df, key or [], **{name: F.expr(text)})
     words = {n: set(re.findall(r"[A-Za-z_]\w*", e)) for n, e in exprs.items()}
     try:
         turn = list(TopologicalSorter({n: words[n] & exprs.keys() for n in exprs}).static_order())

@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigflow.operators import series
 from sigflow.operators.rolling import extrema, limit_crossings, sudden_changes
-from sigflow.operators.series import with_row_index
+from sigflow.operators.series import with_row_index, with_totals
 
 
 def uniform(df: DataFrame, key: list[str], order: list[str], max_points: int, last: bool = False) -> DataFrame:
     """Every nth row, n = rows // max_points."""
-    x = with_row_index(df, key, order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    x = with_row_index(df, key, order, total="_n")
     step = F.greatest(F.floor(F.col("_n") / max_points), F.lit(1))
     keep = F.col("row_idx") % step == 0
     if last:
@@ -22,7 +23,7 @@ def uniform(df: DataFrame, key: list[str], order: list[str], max_points: int, la
 
 
 def _bucketed(df: DataFrame, key: list[str], order: list[str], buckets: int) -> DataFrame:
-    x = with_row_index(df, key, order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    x = with_row_index(df, key, order, total="_n")
     size = F.greatest(F.ceil(F.col("_n") / buckets), F.lit(1))
     return x.withColumn("bucket", F.floor(F.col("row_idx") / size)).drop("_n")
 
@@ -83,32 +84,31 @@ def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points
     """Largest-triangle-three-buckets to `points` rows a series; shorter series pass whole.
 
     The triangle's area is linear in the candidate up to its sign, so only the hull of a bucket can win: buckets
-    are reduced to their hulls in parallel, and the sequential pass sees those few rows of a series.
+    are reduced to their hulls in parallel, large ones in pieces of CHUNK rows, and the sequential pass sees those few rows
+    of a series.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    x = with_row_index(df.where(F.col(v).isNotNull()), key, order).withColumn("_n", n)
+    x = with_row_index(df.where(F.col(v).isNotNull()), key, order, total="_n")
     width = (F.col("_n") - 2) / F.lit(float(points - 2))
     inner = F.least(F.floor((F.col("row_idx") - 1) / width) + 1, F.lit(points - 2))
     bucket = F.when(F.col("row_idx") == 0, 0).when(F.col("row_idx") == F.col("_n") - 1, points - 1).otherwise(inner)
     x = x.withColumn("_b", F.when(F.col("_n") <= points, F.col("row_idx")).otherwise(bucket).cast("long")).select(*key, "row_idx", F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v"), "_b")
-    means = x.groupBy(*key, "_b").agg(F.avg("t").alias("_mt"), F.avg("v").alias("_mv"))
-    kinds = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in key)
+    x = x.withColumn("_q", F.floor(F.col("row_idx") / series.CHUNK))
+    kinds = "".join(f"`{k}` {dict(df.dtypes)[k]}, " for k in key)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
-        return pdf.iloc[hull_rows(pdf["t"].to_numpy(), pdf["v"].to_numpy())]
+        out = pdf.iloc[hull_rows(pdf["t"].to_numpy(), pdf["v"].to_numpy())]
+        return out.assign(_st=pdf["t"].sum(), _sv=pdf["v"].sum(), _rows=len(pdf))
 
-    hulls = x.groupBy(*key, "_b").applyInPandas(reduce, f"{kinds}, row_idx long, t double, v double, _b long")
-    rows = hulls.join(means, [*key, "_b"])
+    hulls = x.groupBy(*key, "_b", "_q").applyInPandas(reduce, f"{kinds}row_idx long, t double, v double, _b long, _q long, _st double, _sv double, _rows long")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
-        b = pdf["_b"].to_numpy()
-        first = np.unique(b, return_index=True)[1]
-        at = lttb_pick(np.searchsorted(np.unique(b), b), pdf["t"].to_numpy(), pdf["v"].to_numpy(), pdf["_mt"].to_numpy()[first], pdf["_mv"].to_numpy()[first])
+        sums = pdf.drop_duplicates(["_b", "_q"]).groupby("_b")[["_st", "_sv", "_rows"]].sum()
+        at = lttb_pick(np.searchsorted(sums.index, pdf["_b"]), pdf["t"].to_numpy(), pdf["v"].to_numpy(), (sums["_st"] / sums["_rows"]).to_numpy(), (sums["_sv"] / sums["_rows"]).to_numpy())
         return pdf.iloc[at][[*key, "row_idx", "t", "v"]]
 
-    return rows.groupBy(*key).applyInPandas(walk, f"{kinds}, row_idx long, t double, v double")
+    return hulls.groupBy(*key).applyInPandas(walk, f"{kinds}row_idx long, t double, v double")
 
 
 def _null_safe(key: list[str]) -> Column:
@@ -251,10 +251,12 @@ def auto(df: DataFrame, key: list[str], order: list[str], t: str, v: str, width:
 
 def spikes(df: DataFrame, key: list[str], order: list[str], v: str, low: float | None = None, high: float | None = None, k: float = 3.0) -> DataFrame:
     """Rows outside given bounds, by default mean plus and minus k sample deviations."""
-    w = Window.partitionBy(*key)
-    m, s = F.avg(v).over(w), F.stddev_samp(v).over(w)
-    x = with_row_index(df, key, order).withColumn("_lo", F.lit(low) if low is not None else m - k * s).withColumn("_hi", F.lit(high) if high is not None else m + k * s)
-    return x.where((F.col(v) < F.col("_lo")) | (F.col(v) > F.col("_hi"))).drop("_lo", "_hi")
+    x = with_row_index(df, key, order)
+    if low is None or high is None:
+        x = with_totals(x, key, _m=F.avg(v), _s=F.stddev_samp(v))
+    least = F.lit(low) if low is not None else F.col("_m") - k * F.col("_s")
+    most = F.lit(high) if high is not None else F.col("_m") + k * F.col("_s")
+    return x.where((F.col(v) < least) | (F.col(v) > most)).drop("_m", "_s")
 
 
 def smart(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, low: float | None = None, high: float | None = None, near: int = 3) -> DataFrame:

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigflow.operators.series import ordered, with_row_index
+from sigflow.operators.series import in_cells, with_carry, with_row_index
 
 
 def segments(df: DataFrame, key: list[str], order: list[str], t: str, predicate: Column, extra: list[Column] | None = None) -> DataFrame:
     """Maximal runs of passing rows: start_t, end_t, start_idx, end_idx (inclusive), n and extra aggregates.
 
-    A run has one value of row index minus rank among the passing rows.
+    A run has one value of row index minus rank among the passing rows; the ranks are counted per cell and carried on.
     """
-    passing = with_row_index(df, key, order).where(predicate)
-    w = ordered(key, ["row_idx"])
-    runs = passing.withColumn("_run", F.col("row_idx") - F.row_number().over(w))
+    passing = with_row_index(df, key, order, passing=predicate).where(predicate)
+    runs = passing.withColumn("_run", F.col("row_idx") - F.col("_rank"))
     base = [F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.min("row_idx").alias("start_idx"), F.max("row_idx").alias("end_idx"), F.count(F.lit(1)).alias("n")]
     return runs.groupBy(*key, "_run").agg(*base, *(extra or [])).drop("_run")
 
@@ -45,26 +44,36 @@ def merge_regions(regions: DataFrame, key: list[str], start: str, end: str) -> D
     return grouped.groupBy(*key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
-def _with_latest(df: DataFrame, segs: DataFrame, key: list[str], x: str, start: str, latest: Column) -> DataFrame:
-    """Rows of df with _at: `latest` over the segments of their series that start at or before x.
+def _with_latest(df: DataFrame, segs: DataFrame, key: list[str], x: str, start: str, end: str | None = None) -> DataFrame:
+    """Rows of df with _at: the last segment of their series that starts at or before x, or, given an end column, the
+    greatest end of all those.
 
-    Rows and segment starts go through one sort by x, so no row is compared with every segment.
+    Rows and segment starts go through one order by x, in cells, so no row is compared with every segment and no task
+    sorts a series.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)], F.col(x).cast("double").alias("_x"), F.lit(1).alias("_p"), row.alias("_row"), F.lit(None).cast(segs.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_seg"))
-    starts = segs.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)], F.col(start).cast("double").alias("_x"), F.lit(0).alias("_p"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct("*").alias("_seg"))
-    w = Window.partitionBy(*[f"_k{j}" for j in range(len(key))]).orderBy("_x", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"_k{j}" for j in range(len(key))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(x).cast("double").alias("_x"), F.lit(1).alias("_p"), row.alias("_row"), F.lit(None).cast(segs.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_seg"))
+    starts = segs.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(start).cast("double").alias("_x"), F.lit(0).alias("_p"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct("*").alias("_seg"))
+    both, w = in_cells(rows.unionByName(starts), names, ["_x", "_p"])
+    f = w.rowsBetween(Window.unboundedPreceding, 0)
+    if end is None:
+        both = with_carry(both, _old=(F.max_by(F.col("_seg"), F.when(F.col("_seg").isNotNull(), F.col("_x"))), lambda c: F.last(c, True)))
+        latest = F.coalesce(F.last("_seg", True).over(f), F.col("_old"))
+    else:
+        ends = F.col(f"_seg.{end}").cast("double")
+        both = with_carry(both, _old=(F.max(ends), F.max))
+        latest = F.greatest(F.max(ends).over(f), F.col("_old"))
     known = F.lit(True)
-    for j in range(len(key)):
-        known &= F.col(f"_k{j}").isNotNull()
-    both = rows.unionByName(starts).withColumn("_at", F.when(known, latest.over(w)))
-    return both.where("_p = 1").select("_row.*", "_x", "_at")
+    for n in names:
+        known &= F.col(n).isNotNull()
+    return both.withColumn("_at", F.when(known, latest)).where("_p = 1").select("_row.*", "_x", "_at")
 
 
 def in_segments(df: DataFrame, segs: DataFrame, key: list[str], x: str, start: str, end: str, how: str = "left_semi") -> DataFrame:
     """Rows inside (left_semi) or outside (left_anti) any segment; end inclusive. Segments may overlap: a row is inside if
     the furthest end of those begun is not before it. Rows with a null key or x are inside none."""
-    found = _with_latest(df, segs, key, x, start, F.max(F.col(f"_seg.{end}").cast("double")))
+    found = _with_latest(df, segs, key, x, start, end)
     inside = F.coalesce(F.col("_at") >= F.col("_x"), F.lit(False))
     return found.where(inside if how == "left_semi" else ~inside).select(*df.columns)
 
@@ -74,7 +83,7 @@ def concatenate(df: DataFrame, segs: DataFrame, key: list[str], t: str, gap: flo
     one before."""
     before = Window.partitionBy(*key).orderBy("start_t").rowsBetween(Window.unboundedPreceding, -1)
     s = segs.withColumn("_off", F.coalesce(F.sum((F.col("end_t") - F.col("start_t")) * (1 + gap)).over(before), F.lit(0.0)))
-    found = _with_latest(df, s, key, t, "start_t", F.last("_seg", True)).where(F.col("_x") <= F.col("_at.end_t"))
+    found = _with_latest(df, s, key, t, "start_t").where(F.col("_x") <= F.col("_at.end_t"))
     return found.withColumn("t_cat", F.col(t) - F.col("_at.start_t") + F.col("_at._off")).select(*df.columns, "t_cat")
 
 

@@ -3,18 +3,75 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows of a series that one task of a row window works on, besides those that its frame needs.
+CHUNK = 65_536
 
 
 def ordered(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order) if key else Window.partitionBy(F.lit(0)).orderBy(*order)
 
 
-def with_row_index(df: DataFrame, key: list[str], order: list[str], name: str = "row_idx") -> DataFrame:
-    """0-based position of each row in its series, by the order columns."""
-    return df.withColumn(name, (F.row_number().over(ordered(key, order)) - 1).cast("long"))
+def _number(df: DataFrame, c: str) -> Column:
+    """A number that never falls as the column rises; other types than numbers and times give 0."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_date(F.col(c).cast("date")) * F.lit(86400.0) + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    return F.when(F.col(c).isNotNull(), F.lit(0.0))
+
+
+def in_cells(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, WindowSpec]:
+    """df with the cell (_chunk) of each row, and a cell's window in the series' order, for `with_carry`.
+
+    The first order column's span is cut into cells of about CHUNK / 4 rows, so that no task sorts a series, unless all its
+    rows share one cell (one time, or an order column that is neither a number nor a time). Null keys are a series; null
+    times come first, NaN last.
+    """
+    at = _number(df, order[0])
+    finite = F.when(~F.isnan(at) & (F.abs(at) < float("inf")), at)
+    span = df.select(finite.alias("x")).agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.greatest(F.ceil(F.count(F.lit(1)) * 4 / F.lit(CHUNK)), F.lit(1)).alias("n")).alias("_s"))
+    x = df.crossJoin(F.broadcast(span))  # one row
+    place = F.try_divide(at - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo")) * F.col("_s.n")
+    place = F.floor(F.least(F.greatest(F.coalesce(place, F.lit(0.0)), F.lit(0.0)), F.col("_s.n").cast("double")))
+    cell = F.when(at.isNull(), F.lit(-1)).when(F.isnan(at), F.col("_s.n") + 1).when(at == float("inf"), F.col("_s.n")).when(at == float("-inf"), F.lit(0)).otherwise(place)
+    x = x.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), cell.cast("long").alias("n"))).drop("_s")
+    return x, Window.partitionBy("_chunk").orderBy(*order)
+
+
+def with_carry(x: DataFrame, ahead: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None, whole: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None, **before: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+    """What the chunks before a row's own (`ahead`: those after it, `whole`: all of its series) amount to: per name an
+    aggregate of one chunk and the aggregate that unites those of several, null if there are none. The chunks of a series,
+    not its rows, are sorted."""
+    w = Window.partitionBy("_c.k").orderBy("_c.n")
+    frames = [(before, w.rowsBetween(Window.unboundedPreceding, -1)), (ahead or {}, w.orderBy(F.col("_c.n").desc()).rowsBetween(Window.unboundedPreceding, -1)), (whole or {}, Window.partitionBy("_c.k"))]
+    sums = x.groupBy(F.col("_chunk").alias("_c")).agg(*[one.alias(n) for parts, _ in frames for n, (one, _) in parts.items()])
+    carried = sums.select("_c", *[many(F.col(n)).over(f).alias(n) for parts, f in frames for n, (_, many) in parts.items()])
+    return x.join(carried, F.col("_chunk") == F.col("_c")).drop("_c")
+
+
+def with_row_index(df: DataFrame, key: list[str], order: list[str], name: str = "row_idx", total: str | None = None, passing: Column | None = None, rank: str = "_rank") -> DataFrame:
+    """0-based position of each row in its series, by the order columns; total: also the series' row count; passing: also
+    the number of passing rows up to and with this one. Rows are numbered within their cell, the rows of the cells before
+    are added."""
+    rows = (F.count(F.lit(1)), F.sum)
+    parts = {"_before": rows} | ({"_seen": (F.count_if(passing), F.sum)} if passing is not None else {})
+    x, w = in_cells(df, key, order)
+    x = with_carry(x, whole={total: rows} if total else None, **parts)
+    x = x.withColumn(name, (F.row_number().over(w) - 1 + F.coalesce("_before", F.lit(0))).cast("long"))
+    if passing is not None:
+        x = x.withColumn(rank, F.count_if(passing).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_seen", F.lit(0)))
+    return x.drop("_chunk", *parts)
 
 
 def with_row_index_wide(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
@@ -24,7 +81,11 @@ def with_row_index_wide(df: DataFrame, order: list[str], name: str = "row_idx")
     The partitioned rows are written once (shared checkpoint folder), so both reads see the same partitions.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/sigflow-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"/tmp/sigflow-{uuid.uuid4().hex}"
     path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     placed.write.parquet(path)
@@ -65,14 +126,40 @@ def chunked_with_halo(df: DataFrame, rows: str, size: int, before: int, after: i
     return df.withColumn("_home", own).withColumn(chunk, F.explode(F.sequence(first, last))).withColumn("_own", F.col("_home") == F.col(chunk)).drop("_home")
 
 
+def in_chunks(df: DataFrame, key: list[str], order: list[str], before: int = 0, after: int = 0, total: str | None = None) -> tuple[DataFrame, WindowSpec]:
+    """df with row_idx, dealt into chunks, and a chunk's window by row index, good for frames of `before` rows back and
+    `after` rows ahead; `own` drops the copied neighbours again."""
+    x = with_row_index(df, key, order, total=total)
+    x = chunked_with_halo(x, "row_idx", max(CHUNK, 4 * (before + after)), before, after, "_n_")
+    x = x.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), F.col("_n_").alias("n"))).drop("_n_")
+    return x, Window.partitionBy("_chunk").orderBy("row_idx")
+
+
+def own(x: DataFrame, keep: bool = False) -> DataFrame:
+    """A chunk's own rows; keep: with their chunk, for `with_carry`."""
+    return x.where("_own").drop("_own", *([] if keep else ["_chunk"]))
+
+
+def with_totals(df: DataFrame, key: list[str], **aggs: Column) -> DataFrame:
+    """Aggregates of a series beside each of its rows: grouped, then joined, so that no task holds a series."""
+    if not key:
+        return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in aggs.items()])))  # one row
+    names = [f"_k{j}" for j in range(len(key))]
+    sums = df.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)]).agg(*[c.alias(n) for n, c in aggs.items()])
+    same = F.lit(True)
+    for k, n in zip(key, names):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return df.join(sums, same).drop(*names)
+
+
 def summary(df: DataFrame, key: list[str], t: str, v: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.min(v).alias("min_v"), F.max(v).alias("max_v"))
 
 
 def rate(df: DataFrame, key: list[str], order: list[str], t: str, rows: int = 100) -> DataFrame:
     """1 / median time step over the first rows of each series."""
-    w = ordered(key, order)
-    x = with_row_index(df, key, order).withColumn("_dt", F.col(t) - F.lag(t).over(w)).where(F.col("row_idx") < rows)
+    x = with_row_index(df, key, order).where(F.col("row_idx") < rows)
+    x = x.withColumn("_dt", F.col(t) - F.lag(t).over(ordered(key, ["row_idx"])))
     return x.groupBy(*key).agg((1 / F.median("_dt")).alias("hz"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigflow.operators.series import ordered
+from sigflow.operators.series import in_chunks, own, with_row_index, with_totals
 
 
 def statistics(v: str) -> list[Column]:
@@ -23,7 +23,8 @@ def light_stats(df: DataFrame, key: list[str], v: str) -> DataFrame:
 
 def threshold_stats(df: DataFrame, key: list[str], order: list[str], t: str, v: str, threshold: float) -> DataFrame:
     """Counts, percentages and times above and not above; a step belongs to its later sample."""
-    x = df.withColumn("_dt", F.col(t) - F.lag(t).over(ordered(key, order)))
+    x, o = in_chunks(df, key, order, before=1)
+    x = own(x.withColumn("_dt", F.col(t) - F.lag(t).over(o)))
     above = F.col(v) > threshold
     valid = F.count(v)
     return x.groupBy(*key).agg(
@@ -34,8 +35,7 @@ def threshold_stats(df: DataFrame, key: list[str], order: list[str], t: str, v:
 
 def percentile_rank(df: DataFrame, key: list[str], v: str, p: float) -> DataFrame:
     """The value at index floor(p/100 * (n-1)) of the sorted values."""
-    w = Window.partitionBy(*key)
-    x = df.where(F.col(v).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(v)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    x = with_row_index(df.where(F.col(v).isNotNull()), key, [v], "_i", total="_n")
     return x.where(F.col("_i") == F.floor(F.lit(p / 100.0) * (F.col("_n") - 1))).select(*key, F.col(v).alias("value"))
 
 
@@ -63,9 +63,9 @@ def shape(df: DataFrame, key: list[str], v: str) -> DataFrame:
 
 def duty_cycle(df: DataFrame, key: list[str], order: list[str], t: str, v: str, threshold: float | None = None) -> DataFrame:
     """Percent of the duration above the threshold (default: the series' mean)."""
-    w = Window.partitionBy(*key)
-    level = F.avg(v).over(w) if threshold is None else F.lit(threshold)
-    x = df.withColumn("_dt", F.col(t) - F.lag(t).over(ordered(key, order))).withColumn("_on", F.col(v) > level)
+    x, o = in_chunks(df if threshold is not None else with_totals(df, key, _level=F.avg(v)), key, order, before=1)
+    level = F.col("_level") if threshold is None else F.lit(threshold)
+    x = own(x.withColumn("_dt", F.col(t) - F.lag(t).over(o))).withColumn("_on", F.col(v) > level)
     return x.groupBy(*key).agg(F.try_divide(F.lit(100.0) * F.coalesce(F.sum(F.when(F.col("_on"), F.col("_dt"))), F.lit(0.0)), F.max(t) - F.min(t)).alias("duty"), F.avg(F.when(F.col("_on"), 100.0).otherwise(0.0)).alias("duty_samples"))
 
 

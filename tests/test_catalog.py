@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 import compare
-from sigflow.operators import downsample
+from sigflow.operators import asof, downsample, rolling, series, stats
+from sigflow.operators import segments as S
 from sigflow.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -26,7 +27,8 @@ def duck():
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
-def test_same_as_sql(spark, duck, name):
+def test_same_as_sql(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(series, "CHUNK", 64)  # several cells and chunks a series, even here
     got = compare.plain(catalog.QUERIES[name](spark, DATA).toPandas())
     want = compare.plain(duck.execute(catalog.ORACLE[name]).fetchdf())
     assert list(got.columns) == list(want.columns)
@@ -104,3 +106,67 @@ def test_smart_stats(spark):
     (row,) = downsample.smart_stats(picked, df, ["k"]).collect()
     assert row["spike"] == 1 and row["picked"] == picked.count() == sum(row[x] for x in ("spike", "peak", "valley", "change", "lttb"))
     assert row["rows"] == 2900 and abs(row["ratio"] - 2900 / row["picked"]) < 1e-12
+
+
+ODD = "k string, t double, v double"
+
+
+def odd_rows():
+    rng = np.random.default_rng(11)
+    t = np.cumsum(rng.exponential(size=400)).round(1)
+    t[300:] += 5000  # a gap: most cells are empty
+    rows = [("a", float(x), float(y)) for x, y in zip(t, rng.normal(size=400).cumsum())]
+    rows += [(None, float(x), float(x % 7)) for x in range(150)]
+    return rows + [("b", None, 1.0), ("b", float("-inf"), 2.0), ("b", 3.0, 3.0), ("b", float("inf"), 4.0), ("b", float("nan"), 5.0), ("one", 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_row_index_in_cells(spark, monkeypatch, parts):
+    rows = odd_rows()
+    place = lambda t: (0, 0.0) if t is None else (2, 0.0) if t != t else (1, t)
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (place(r[1]), r[2]))
+        want |= {(k, r[2], str(r[1])): (i, len(mine)) for i, r in enumerate(mine)}
+    monkeypatch.setattr(series, "CHUNK", 40)
+    df = spark.createDataFrame(rows, ODD).repartition(parts)
+    got = series.with_row_index(df, ["k"], ["t", "v"], total="n").collect()
+    assert {(r["k"], r["v"], str(r["t"])): (r["row_idx"], r["n"]) for r in got} == want and len(got) == len(rows)
+    assert series.with_row_index(df.limit(0), ["k"], ["t"]).count() == 0
+    assert sorted(r["row_idx"] for r in series.with_row_index(df, [], ["k", "t", "v"]).collect()) == list(range(len(rows)))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_chunks_change_no_result(spark, monkeypatch, parts):
+    df = spark.createDataFrame([r for r in odd_rows() if r[1] is not None and abs(r[1]) < 1e9], ODD).repartition(parts)
+    key, order = ["k"], ["t", "v"]
+    limits = spark.createDataFrame([("a", -2.0, 2.0)], "k string, lo double, hi double")
+    probes = spark.createDataFrame([("a", x * 37.7) for x in range(-2, 160)], "k string, probe_t double")
+    forms = {
+        "rolling": lambda: rolling.rolling_stats(df, key, order, "v", 7), "running": lambda: rolling.running(df, key, order, "v"), "deviation": lambda: rolling.deviation(df, key, order, "v", 5),
+        "previous": lambda: rolling.deviation(df, key, order, "v", 5, "previous"), "smooth": lambda: rolling.smooth(df, key, order, "v", 6), "slopes": lambda: rolling.derivative(df, key, order, "t", "v"),
+        "inflections": lambda: rolling.inflections(df, key, order, "t", "v"), "extrema": lambda: rolling.extrema(df, key, order, "v", 3), "threshold": lambda: stats.threshold_stats(df, key, order, "t", "v", 1.0),
+        "duty": lambda: stats.duty_cycle(df, key, order, "t", "v"), "rank": lambda: stats.percentile_rank(df, key, "v", 30), "violations": lambda: S.violations(df, limits, key, order, "t", "v"),
+        "inside": lambda: S.in_segments(df, S.violations(df, limits, key, order, "t", "v"), key, "t", "start_t", "end_t", "left_anti"), "at": lambda: asof.value_at(df, probes, key, "t", "v"),
+        "snap": lambda: asof.snap(df, probes, key, "t", "v"), "lttb": lambda: downsample.lttb(df.where("k = 'a'"), key, order, "t", "v", 20),
+    }
+    flat = lambda rows: sorted(str([round(x, 6) + 0.0 if isinstance(x, float) else x for x in r]) for r in rows)
+    for name, form in forms.items():
+        monkeypatch.setattr(series, "CHUNK", 1_000_000)
+        want = flat(form().collect())
+        monkeypatch.setattr(series, "CHUNK", 30)
+        got = form()
+        assert flat(got.collect()) == want and want, name
+        assert "windowspecdefinition(k#" not in plan_of(got), name
+
+
+def test_snap_takes_the_nearest_of_all_series(spark):
+    df = spark.createDataFrame([("a", 1.0, 10.0), ("b", 1.0, 11.0), ("b", 4.0, 12.0), ("a", 4.0, None), (None, 9.0, 13.0)], ODD)
+    probes = spark.createDataFrame([(0.0,), (2.5,), (2.6,), (8.0,), (99.0,), (2.6,), (None,)], "probe_t double")
+    got = {r["probe_t"]: (r["k"], r["at"], r["value"]) for r in asof.snap(df, probes, ["k"], "t", "v").collect()}
+    assert got == {0.0: ("a", 1.0, 10.0), 2.5: ("a", 1.0, 10.0), 2.6: ("b", 4.0, 12.0), 8.0: (None, 9.0, 13.0), 99.0: (None, 9.0, 13.0)}
+    assert asof.snap(df.limit(0), probes, ["k"], "t", "v").count() == 0
