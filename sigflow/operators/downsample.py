@@ -84,8 +84,7 @@ def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points
     """Largest-triangle-three-buckets to `points` rows a series; shorter series pass whole.
 
     The triangle's area is linear in the candidate up to its sign, so only the hull of a bucket can win: buckets
-    are reduced to their hulls in parallel, large ones in pieces of CHUNK rows, and the sequential pass sees those few rows
-    of a series.
+    are reduced to their hulls in parallel, CHUNK rows of a series at a time, and the sequential pass sees those few rows.
     """
     x = with_row_index(df.where(F.col(v).isNotNull()), key, order, total="_n")
     width = (F.col("_n") - 2) / F.lit(float(points - 2))
@@ -97,10 +96,15 @@ def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
-        out = pdf.iloc[hull_rows(pdf["t"].to_numpy(), pdf["v"].to_numpy())]
-        return out.assign(_st=pdf["t"].sum(), _sv=pdf["v"].sum(), _rows=len(pdf))
-
-    hulls = x.groupBy(*key, "_b", "_q").applyInPandas(reduce, f"{kinds}row_idx long, t double, v double, _b long, _q long, _st double, _sv double, _rows long")
+        t, v = pdf["t"].to_numpy(), pdf["v"].to_numpy()
+        starts = np.unique(pdf["_b"].to_numpy(), return_index=True)[1]
+        sizes = np.diff(np.append(starts, len(pdf)))
+        at = [a + hull_rows(t[a : a + n], v[a : a + n]) for a, n in zip(starts, sizes)]
+        each = [len(x) for x in at]
+        sums = {"_st": np.add.reduceat(t, starts), "_sv": np.add.reduceat(v, starts), "_rows": sizes}
+        return pdf.iloc[np.concatenate(at)].assign(**{n: np.repeat(x, each) for n, x in sums.items()})
+
+    hulls = x.groupBy(*key, "_q").applyInPandas(reduce, f"{kinds}row_idx long, t double, v double, _b long, _q long, _st double, _sv double, _rows long")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
