@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigflow.llm import decontaminate, extract, jaccard, language, lines, mixing, passages, topk, toxicity, warc
+from sigflow.llm import decontaminate, extract, fingerprints, jaccard, language, lines, mixing, passages, repeats, topk, toxicity, variants, warc
 from sigflow.llm.common import cut
 
 
@@ -65,7 +67,57 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_passages": op7_passages, "op8_language": op8_language, "op9_extract": op9_extract, "op10_line_dedup": op10_line_dedup}
+def with_third_of(text: str, after: str) -> str:
+    """The text with its last third replaced by the beginning of the next one."""
+    third = len(text) // 3
+    return text[: len(text) - third] + after[:third]
+
+
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, sf_dir, "documents"), with_third_of)
+
+
+def with_period(doc_id: Column, text: Column) -> Column:
+    """The texts of a tenth of the documents, by the CRC of the id, become periodic from some word on; the others stay, those
+    without an id too."""
+    n, g = F.size, F.floor(F.crc32(doc_id.cast("string").cast("binary")) / 10)
+
+    def periodic(words: Column, g: Column) -> Column:
+        a = g % n(words)
+        p = 1 + F.floor((n(words) - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n(words) - 1), lambda i: F.element_at(words, (place(i) + 1).cast("int"))), " ")
+
+    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)")).alias("words"), g.alias("g")))  # made once, not for each word
+    made = F.transform(once, lambda x: F.when(n(x["words"]) > 0, periodic(x["words"], x["g"])))[0]
+    return F.coalesce(F.when(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, made), text)
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    runs = F.col("runs")
+    by_length = F.transform(runs, lambda x: F.struct(-x["length"], x["start"], x["period"]))
+    best = F.array_min(by_length)
+    lines = F.array_join(F.transform(runs, lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    out = repeats.find_runs(docs).withColumn("best", F.struct(best["start"].alias("start"), (-best["col1"]).alias("length"), best["period"].alias("period")))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", exponent, F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+def spoiled(doc_id: object, run: str) -> str:
+    """The run less one letter, if 199 divides the CRC of the id and the run; runs of documents without an id stay."""
+    if doc_id is None:
+        return run
+    h = zlib.crc32(f"{doc_id}:{run}".encode())
+    return run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(table(spark, sf_dir, "documents"), "A-Za-z\u00C0-\u00FF", 6, spoiled)
+    return variants.spelling_variants(words.where("n >= 5"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_passages": op7_passages, "op8_language": op8_language, "op9_extract": op9_extract, "op10_line_dedup": op10_line_dedup, "op11_fingerprints": op11_fingerprints, "op12_repeats": op12_repeats, "op13_variants": op13_variants}
 
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
