@@ -1,4 +1,4 @@
-"""Conditions, multi-condition filters and named filter sets; null and NaN pass nothing."""
+"""Conditions, multi-condition filters and named filter sets, which reach the scan; null and NaN pass nothing."""
 
 from __future__ import annotations
 
@@ -8,23 +8,28 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.operators.series import present
-
 OPS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 
 
 def cond(col: str, op: str, value: float, high: float | None = None, tolerance: float = 1e-10) -> Column:
-    """One condition: between, > >= < <= = !=; equality has the tolerance."""
+    """One condition: between, > >= < <= = !=; equality has the tolerance.
+
+    The comparison stands by itself, so that it reaches the scan, and NaN, the greatest value, is ruled out beside it where
+    it would pass. Null for a null value, as comparisons are: no row passes where(), count_if() or a segment. `mask` makes
+    that false.
+    """
     c = F.col(col)
     if op == "between":
-        test = c.between(value, high)
-    elif op == "=":
-        test = F.abs(c - value) < tolerance
-    elif op == "!=":
-        test = F.abs(c - value) >= tolerance
-    else:
-        test = OPS[op](c, F.lit(value))
-    return F.coalesce(present(col) & test, F.lit(False))
+        return c.between(value, high)
+    if op == "=":
+        return c.between(value - tolerance, value + tolerance) & (F.abs(c - value) < tolerance)
+    test = F.abs(c - value) >= tolerance if op == "!=" else OPS[op](c, F.lit(value))
+    return test & ~F.isnan(c) if op in (">", ">=", "!=") else test
+
+
+def mask(condition: Column) -> Column:
+    """True or false for every row."""
+    return F.coalesce(condition, F.lit(False))
 
 
 def fold(conditions: list[tuple[str, Column]]) -> Column:
@@ -46,7 +51,8 @@ def parameter_filter(spec: list[dict], within: str = "all") -> Column:
 
 def outside(col: str, low: float, high: float) -> Column:
     """Inverse range."""
-    return F.coalesce(present(col) & ~F.col(col).between(low, high), F.lit(False))
+    c = F.col(col)
+    return ((c < low) | (c > high)) & ~F.isnan(c)
 
 
 def apply_filters(df: DataFrame, named: dict[str, Column], enabled: list[str] | None = None) -> DataFrame:

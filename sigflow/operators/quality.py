@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigflow.operators.cells import quantiles
+
 # Null tokens, boolean tokens and date patterns with their weights.
 NULL_TOKENS = ["", "NULL", "null", "None", "NA", "N/A", "nan", "NaN", "-"]
 BOOLEAN_TOKENS = ["true", "false", "1", "0", "yes", "no", "y", "n", "t", "f"]
@@ -57,9 +59,9 @@ def detect_types(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, c: str) -> DataFrame:
-    q = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(df, [], c, [0.25, 0.75])
     low, high = F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
-    return df.crossJoin(F.broadcast(q)).agg(F.count_if((F.col(c) < low) | (F.col(c) > high)).alias("outliers"), F.count_if(F.abs(c) == float("inf")).alias("infinite"))
+    return df.crossJoin(q).agg(F.count_if((F.col(c) < low) | (F.col(c) > high)).alias("outliers"), F.count_if(F.abs(c) == float("inf")).alias("infinite"))
 
 
 def string_checks(df: DataFrame, c: str) -> DataFrame:

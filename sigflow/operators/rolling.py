@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sigflow.operators.series import in_cells, in_chunks, own, with_carry, with_row_index, with_totals
+from sigflow.operators.cells import quantiles
+from sigflow.operators.series import beside, in_cells, in_chunks, own, with_carry, with_row_index, with_totals
 
 
 def rolling_stats(df: DataFrame, key: list[str], order: list[str], v: str, w: int) -> DataFrame:
@@ -146,11 +147,17 @@ def outliers(df: DataFrame, key: list[str], v: str, method: str = "std", cut: fl
         x, o = in_chunks(df, key, order, before=w - 1)
         x = own(x.withColumn("_b", F.avg(c).over(o.rowsBetween(-(w - 1), 0)))).select(*df.columns, "_b")
     else:
-        x = with_totals(df, key, _b=F.avg(c) if base == "mean" else F.median(c))
+        x = with_totals(df, key, _b=F.avg(c)) if base == "mean" else _with_quantiles(df, key, c, {"_b": 0.5})
     off = F.abs(c - F.col("_b"))
     if method == "iqr":
-        scale = F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+        x = _with_quantiles(x, key, c, {"_a": 0.25, "_z": 0.75}).withColumn("_s", F.col("_z") - F.col("_a")).drop("_a", "_z")
+    elif method == "mad":
+        x = _with_quantiles(x, key, off, {"_s": 0.5})
     else:
-        scale = {"std": F.stddev_pop(c), "aad": F.avg(off), "mad": F.median(off)}[method]
-    x = with_totals(x, key, _s=scale)
+        x = with_totals(x, key, _s={"std": F.stddev_pop(c), "aad": F.avg(off)}[method])
     return x.withColumn("score", F.try_divide(off, F.col("_s"))).where(F.col("score") > cut).drop("_b", "_s")
+
+
+def _with_quantiles(df: DataFrame, key: list[str], c: Column, names: dict[str, float]) -> DataFrame:
+    x = beside(df, quantiles(df, key, c, list(names.values()), "_q"), key)
+    return x.withColumns({n: F.col("_q")[k] for k, n in enumerate(names)}).drop("_q")

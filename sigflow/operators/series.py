@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigflow.operators import cells
+from sigflow.operators.scratch import cut
+
 #: Rows of a series that one task of a row window works on, besides those that its frame needs.
 CHUNK = 65_536
 
@@ -17,42 +19,32 @@ def ordered(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order) if key else Window.partitionBy(F.lit(0)).orderBy(*order)
 
 
-def _number(df: DataFrame, c: str) -> Column:
-    """A number that never falls as the column rises; other types than numbers and times give 0."""
-    kind = df.schema[c].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(c).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_date(F.col(c).cast("date")) * F.lit(86400.0) + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    return F.when(F.col(c).isNotNull(), F.lit(0.0))
-
-
 def in_cells(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, WindowSpec]:
     """df with the cell (_chunk) of each row, and a cell's window in the series' order, for `with_carry`.
 
-    The first order column's span is cut into cells of about CHUNK / 4 rows, so that no task sorts a series, unless all its
-    rows share one cell (one time, or an order column that is neither a number nor a time). Null keys are a series; null
-    times come first, NaN last.
+    A small table has one cell a series, which is a plain window; otherwise cells hold about CHUNK / 4 rows, see
+    `cells.balanced`, so that no task sorts a series. Null keys are a series; null times come first, NaN last.
     """
-    at = _number(df, order[0])
-    finite = F.when(~F.isnan(at) & (F.abs(at) < float("inf")), at)
-    span = df.select(finite.alias("x")).agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.greatest(F.ceil(F.count(F.lit(1)) * 4 / F.lit(CHUNK)), F.lit(1)).alias("n")).alias("_s"))
-    x = df.crossJoin(F.broadcast(span))  # one row
-    place = F.try_divide(at - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo")) * F.col("_s.n")
-    place = F.floor(F.least(F.greatest(F.coalesce(place, F.lit(0.0)), F.lit(0.0)), F.col("_s.n").cast("double")))
-    cell = F.when(at.isNull(), F.lit(-1)).when(F.isnan(at), F.col("_s.n") + 1).when(at == float("inf"), F.col("_s.n")).when(at == float("-inf"), F.lit(0)).otherwise(place)
-    x = x.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), cell.cast("long").alias("n"))).drop("_s")
+    if cells.fits(df):
+        x = df.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), F.lit(0).alias("n")))
+    else:
+        x = cells.balanced(df, key, order, max(1, CHUNK // 4))
     return x, Window.partitionBy("_chunk").orderBy(*order)
 
 
+def one_cell(x: DataFrame) -> bool:
+    """Whether in_cells() left each series whole: then its cell number is no count but a constant."""
+    return isinstance(x.schema["_chunk"].dataType["n"].dataType, T.IntegerType)
+
+
 def with_carry(x: DataFrame, ahead: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None, whole: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None, **before: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
     """What the chunks before a row's own (`ahead`: those after it, `whole`: all of its series) amount to: per name an
     aggregate of one chunk and the aggregate that unites those of several, null if there are none. The chunks of a series,
     not its rows, are sorted."""
+    if one_cell(x):
+        kinds = x.groupBy().agg(*[one.alias(n) for n, (one, _) in {**before, **(ahead or {})}.items()] or [F.lit(0).alias("_")]).schema
+        none = {n: F.lit(None).cast(kinds[n].dataType) for n in [*before, *(ahead or {})]}
+        return x.withColumns(none | {n: one.over(Window.partitionBy("_chunk")) for n, (one, _) in (whole or {}).items()})
     w = Window.partitionBy("_c.k").orderBy("_c.n")
     frames = [(before, w.rowsBetween(Window.unboundedPreceding, -1)), (ahead or {}, w.orderBy(F.col("_c.n").desc()).rowsBetween(Window.unboundedPreceding, -1)), (whole or {}, Window.partitionBy("_c.k"))]
     sums = x.groupBy(F.col("_chunk").alias("_c")).agg(*[one.alias(n) for parts, _ in frames for n, (one, _) in parts.items()])
@@ -80,16 +72,8 @@ def with_row_index_wide(df: DataFrame, order: list[str], name: str = "row_idx")
     Range partitions sort their own rows; the counts per partition, as many rows as partitions, give the offsets.
     The partitioned rows are written once (shared checkpoint folder), so both reads see the same partitions.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"/tmp/sigflow-{uuid.uuid4().hex}"
-    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    placed.write.parquet(path)
-    placed = spark.read.parquet(path)
+    placed = cut(placed)
     counts = placed.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     w = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -129,6 +113,10 @@ def chunked_with_halo(df: DataFrame, rows: str, size: int, before: int, after: i
 def in_chunks(df: DataFrame, key: list[str], order: list[str], before: int = 0, after: int = 0, total: str | None = None) -> tuple[DataFrame, WindowSpec]:
     """df with row_idx, dealt into chunks, and a chunk's window by row index, good for frames of `before` rows back and
     `after` rows ahead; `own` drops the copied neighbours again."""
+    x, w = in_cells(df, key, order)
+    if one_cell(x):
+        whole = {total: F.count(F.lit(1)).over(Window.partitionBy("_chunk"))} if total else {}
+        return x.withColumns({"row_idx": (F.row_number().over(w) - 1).cast("long"), "_own": F.lit(True)} | whole), w
     x = with_row_index(df, key, order, total=total)
     x = chunked_with_halo(x, "row_idx", max(CHUNK, 4 * (before + after)), before, after, "_n_")
     x = x.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), F.col("_n_").alias("n"))).drop("_n_")
@@ -144,12 +132,18 @@ def with_totals(df: DataFrame, key: list[str], **aggs: Column) -> DataFrame:
     """Aggregates of a series beside each of its rows: grouped, then joined, so that no task holds a series."""
     if not key:
         return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in aggs.items()])))  # one row
+    return beside(df, df.groupBy(*key).agg(*[c.alias(n) for n, c in aggs.items()]), key)
+
+
+def beside(df: DataFrame, sums: DataFrame, key: list[str]) -> DataFrame:
+    """df with the columns of sums, which has one row a series; null keys are a series too."""
+    if not key:
+        return df.crossJoin(sums)  # one row
     names = [f"_k{j}" for j in range(len(key))]
-    sums = df.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)]).agg(*[c.alias(n) for n, c in aggs.items()])
     same = F.lit(True)
     for k, n in zip(key, names):
         same &= F.col(k).eqNullSafe(F.col(n))
-    return df.join(sums, same).drop(*names)
+    return df.join(sums.withColumnsRenamed(dict(zip(key, names))), same).drop(*names)
 
 
 def summary(df: DataFrame, key: list[str], t: str, v: str) -> DataFrame:
@@ -169,12 +163,6 @@ def synthetic_time(df: DataFrame, key: list[str], order: list[str], freq: float,
     return with_row_index(df, key, order).withColumn("t", F.lit(t0) + F.col("row_idx") / F.lit(hz))
 
 
-def present(c: str | Column) -> Column:
-    """Neither null nor NaN."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c.isNotNull() & ~F.isnan(c.cast("double"))
-
-
 def align(df: DataFrame, key: str, order: list[str], v: str, a, b) -> DataFrame:
     """row_idx, a, b: the values of two series side by side by row position, up to the shorter one's length."""
     x = with_row_index(df.where(F.col(key).isin(a, b)), [key], order).select("row_idx", key, v)

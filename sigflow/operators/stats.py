@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigflow.operators.series import in_chunks, own, with_row_index, with_totals
+from sigflow.operators.cells import fits, quantiles
+from sigflow.operators.series import beside, in_chunks, own, with_row_index, with_totals
 
 
 def statistics(v: str) -> list[Column]:
     c = F.col(v)
-    return [F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.median(c).alias("median"), F.sum(c).alias("sum"), F.sqrt(F.avg(c * c)).alias("rms"), (F.max(c) - F.min(c)).alias("peak_to_peak"), F.count(F.lit(1)).alias("count"), F.count(c).alias("valid_count")]
+    return [F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c).alias("sum"), F.sqrt(F.avg(c * c)).alias("rms"), (F.max(c) - F.min(c)).alias("peak_to_peak"), F.count(F.lit(1)).alias("count"), F.count(c).alias("valid_count")]
+
+
+def with_median(df: DataFrame, key: list[str], v: str, aggs: list[Column]) -> DataFrame:
+    """Aggregates of each series and the exact median: in one pass where df is small, else the median by itself."""
+    if fits(df):
+        return df.groupBy(*key).agg(*aggs, F.median(v).alias("median"))
+    return beside(df.groupBy(*key).agg(*aggs), quantiles(df, key, v, [0.5], "_q"), key).withColumn("median", F.col("_q")[0]).drop("_q")
 
 
 def stats(df: DataFrame, key: list[str], v: str) -> DataFrame:
-    return df.groupBy(*key).agg(*statistics(v))
+    return with_median(df, key, v, statistics(v))
 
 
 def light_stats(df: DataFrame, key: list[str], v: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"))
+    return with_median(df, key, v, [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")])
 
 
 def threshold_stats(df: DataFrame, key: list[str], order: list[str], t: str, v: str, threshold: float) -> DataFrame:
@@ -40,7 +48,7 @@ def percentile_rank(df: DataFrame, key: list[str], v: str, p: float) -> DataFram
 
 
 def quartiles(df: DataFrame, key: list[str], v: str) -> DataFrame:
-    q = df.groupBy(*key).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(df, key, v, [0.25, 0.5, 0.75], "_q")
     return q.select(*key, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
 
 
@@ -48,7 +56,7 @@ def histogram(df: DataFrame, key: list[str], v: str, bins: int) -> DataFrame:
     """bin, lower, upper, n for equal bins over [min, max]; the maximum is in the last, zero width all in bin 0."""
     span = df.groupBy(*key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     grid = span.withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    spread = F.broadcast(span.withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins))
+    spread = span.withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
     at = F.when(F.col("_w") > 0, F.least(F.floor((F.col(v) - F.col("_lo")) / F.nullif(F.col("_w"), F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
     n = df.where(F.col(v).isNotNull()).join(spread, key).groupBy(*key, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     out = grid.join(n, [*key, "bin"], "left")

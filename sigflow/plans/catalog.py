@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigflow.functions import derive as D
-from sigflow.operators import asof, downsample, filters, quality, rolling, segments, series, stats
+from sigflow.operators import asof, cells, downsample, filters, quality, rolling, segments, series, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -177,7 +177,7 @@ VIO = f"{LIM}, q AS (SELECT ev.*, ev.i - row_number() OVER (PARTITION BY ev.even
 
 
 def _lim(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.05)).alias("lo"), F.percentile("value", F.lit(0.95)).alias("hi"))
+    return cells.quantiles(table(s, d, "events"), KEY, "value", [0.05, 0.95]).select("event_type", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def _vio(s, d):
@@ -230,7 +230,7 @@ def _(s, d):
 
 @query("j04_limits_join", f"WITH {LIM} SELECT event_id, round(lo, 6) AS lo, round(hi, 6) AS hi FROM events JOIN lim USING (event_type)")
 def _(s, d):
-    return rounded(table(s, d, "events").join(F.broadcast(_lim(s, d)), "event_type").select("event_id", "lo", "hi"), "lo", "hi", n=6)
+    return rounded(table(s, d, "events").join(_lim(s, d), "event_type").select("event_id", "lo", "hi"), "lo", "hi", n=6)
 
 
 BITS = "b AS (SELECT p_partkey, p_size, unnest(range(0, 64)) AS bit FROM part), a AS (SELECT p_partkey, CAST(bit AS INTEGER) AS bit FROM b WHERE (p_size::BIGINT >> bit) & 1 = 1)"
@@ -367,7 +367,7 @@ def _(s, d):
 
 @query("a18_violation_count", f"WITH {LIM} SELECT event_type, count(*) FILTER (WHERE value < lo OR value > hi) AS n FROM events JOIN lim USING (event_type) GROUP BY event_type")
 def _(s, d):
-    return table(s, d, "events").join(F.broadcast(_lim(s, d)), "event_type").groupBy("event_type").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("n"))
+    return table(s, d, "events").join(_lim(s, d), "event_type").groupBy("event_type").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("n"))
 
 
 @query("a20_light_stats", "SELECT event_type, count(value) AS count, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS min, max(value) AS max, round(median(value), 4) AS median FROM events GROUP BY event_type")

@@ -33,7 +33,7 @@ def derived(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
 
 
 def alerts(df: DataFrame, limits: DataFrame, key: list[str], v: str) -> DataFrame:
-    return df.join(F.broadcast(limits), key).where((F.col(v) < F.col("lo")) | (F.col(v) > F.col("hi")))
+    return df.join(limits, key).where((F.col(v) < F.col("lo")) | (F.col(v) > F.col("hi")))
 
 
 def segments(df: DataFrame, key: str, ts: str, passing: str, late: str = "1 hour", idle: str = "1 hour") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import compare
-from sigflow.operators import asof, downsample, rolling, series, stats
+from sigflow.operators import asof, cells, downsample, filters, rolling, series, stats
 from sigflow.operators import segments as S
 from sigflow.plans import catalog
 
@@ -29,6 +29,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_same_as_sql(spark, duck, name, monkeypatch):
     monkeypatch.setattr(series, "CHUNK", 64)  # several cells and chunks a series, even here
+    monkeypatch.setattr(cells, "SMALL", 0)
     got = compare.plain(catalog.QUERIES[name](spark, DATA).toPandas())
     want = compare.plain(duck.execute(catalog.ORACLE[name]).fetchdf())
     assert list(got.columns) == list(want.columns)
