@@ -36,12 +36,15 @@ def half_open(found: DataFrame) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
-    """Unite overlapping and touching regions."""
-    before = Window.partitionBy(*key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    run = Window.partitionBy(*key).orderBy(start, end)
-    new = F.coalesce((F.col(start) > F.max(end).over(before)).cast("int"), F.lit(1))
-    grouped = regions.withColumn("_new", new).withColumn("_g", F.sum("_new").over(run))
-    return grouped.groupBy(*key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+    """Unite overlapping and touching regions. The furthest end so far, and the number of regions begun, go from cell to cell
+    of a series, so no task sorts all its regions."""
+    x, w = in_cells(regions.select(*key, start, end), key, [start, end])
+    x = with_carry(x, _m=(F.max(end), F.max))
+    far = F.greatest(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_m"))
+    x = x.withColumn("_new", F.coalesce((F.col(start) > far).cast("int"), F.lit(1)))
+    x = with_carry(x, _begun=(F.sum("_new"), F.sum))
+    x = x.withColumn("_g", F.coalesce("_begun", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(*key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
 def _with_latest(df: DataFrame, segs: DataFrame, key: list[str], x: str, start: str, end: str | None = None) -> DataFrame:
@@ -81,8 +84,9 @@ def in_segments(df: DataFrame, segs: DataFrame, key: list[str], x: str, start: s
 def concatenate(df: DataFrame, segs: DataFrame, key: list[str], t: str, gap: float = 0.01) -> DataFrame:
     """Rows inside segments (that do not overlap) on a continuous time t_cat: each segment starts (1 + gap) spans after the
     one before."""
-    before = Window.partitionBy(*key).orderBy("start_t").rowsBetween(Window.unboundedPreceding, -1)
-    s = segs.withColumn("_off", F.coalesce(F.sum((F.col("end_t") - F.col("start_t")) * (1 + gap)).over(before), F.lit(0.0)))
+    x, w = in_cells(segs.withColumn("_span", (F.col("end_t") - F.col("start_t")) * (1 + gap)), key, ["start_t"])
+    x = with_carry(x, _before=(F.sum("_span"), F.sum))
+    s = x.withColumn("_off", F.coalesce("_before", F.lit(0.0)) + F.coalesce(F.sum("_span").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select(*segs.columns, "_off")
     found = _with_latest(df, s, key, t, "start_t").where(F.col("_x") <= F.col("_at.end_t"))
     return found.withColumn("t_cat", F.col(t) - F.col("_at.start_t") + F.col("_at._off")).select(*df.columns, "t_cat")
 

@@ -5,13 +5,14 @@ Floats are rounded alike on both sides; times are seconds from epoch microsecond
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigflow.functions import derive as D
-from sigflow.operators import asof, cells, downsample, filters, quality, rolling, segments, series, stats
+from sigflow.operators import asof, cells, downsample, filters, quality, rolling, scratch, segments, series, stats, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -199,6 +200,17 @@ def _(s, d):
     return segments.half_open(_vio(s, d)).select("event_type", "start_row", "end_row")
 
 
+RARE = "lim AS (SELECT event_type, quantile_cont(value, 0.001) AS lo, quantile_cont(value, 0.999) AS hi FROM events GROUP BY event_type)"
+
+
+@query("g04_skip_chunks", f"+, {VIO.replace(LIM, RARE)} SELECT event_type, start_idx AS start_row, end_idx + 1 AS end_row FROM vio")
+def _(s, d):
+    path = f"{scratch.shared_dir(s)}/stored-{uuid.uuid4().hex}"
+    stored.store(ev(s, d).select("event_type", "ts", "event_id", "t", "value"), KEY, ORDER, "t", ["value"], path, 50, 4, ())
+    limits = cells.quantiles(table(s, d, "events"), KEY, "value", [0.001, 0.999]).select("event_type", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return stored.violation_regions(s, path, limits, KEY, "value", 4)
+
+
 REG = "reg AS (SELECT user_id AS k, t AS a, t + 6 * 3600 AS b FROM ev WHERE value > 200), m AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY k ORDER BY a, b) = 1 THEN 1 ELSE 0 END AS new FROM reg), g AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY a, b) AS grp FROM m)"
 
 
@@ -574,11 +586,22 @@ def _(s, d):
     return _lod(s, d)[1000].groupBy("event_type").agg(F.min("value_min").alias("low"), F.max("value_max").alias("high"))
 
 
-@query("d12_view")
+SPAN = "time_max >= 1704844800 AND time_min <= 1705276800"
+VIEW = f"{LOD}, c AS (SELECT event_type, i // 100000 AS b, min(t) AS time_min, max(t) AS time_max, count(*) AS n FROM ev GROUP BY ALL), k AS (SELECT coalesce(sum(n), 0) AS n FROM c WHERE {SPAN}), o AS (SELECT lod.* FROM lod WHERE {SPAN})"
+
+
+@query("d12_view", f"+, {VIEW} SELECT event_type, t, value AS v FROM ev, k WHERE n < 20000 AND t BETWEEN 1704844800 AND 1705276800 UNION ALL SELECT event_type, time_min, value_min FROM o, k WHERE n >= 20000 UNION ALL SELECT event_type, time_max, value_max FROM o, k WHERE n >= 20000")
 def _(s, d):
     return downsample.view(_lod(s, d), ev(s, d), KEY, "t", "value", 1704844800.0, 1705276800.0)
 
 
+@query("d12_view_levels", f"+, {VIEW} SELECT event_type, round((time_min + time_max) / 2, 3) AS t, unnest([value_min, value_max]) AS v, 100 AS level FROM o")
+def _(s, d):
+    path = f"{scratch.shared_dir(s)}/stored-{uuid.uuid4().hex}"
+    stored.store(ev(s, d).select("event_type", "ts", "event_id", "t", "value"), KEY, ORDER, "t", ["value"], path, 1000, 64, (100, 10_000))
+    return rounded(stored.view(s, path, KEY, "t", "value", 1704844800.0, 1705276800.0, 1, 200), "t", n=3)
+
+
 # --- expressions and quality
 
 
