@@ -194,28 +194,93 @@ def with_prominence(df: DataFrame, key: list[str], order: list[str], v: str, w:
     return both.select(*key, "row_idx", "v", "kind", "prominence", F.least(F.lit(1.0), share).alias("significance"))
 
 
+def _fold(idx: np.ndarray, sig: np.ndarray, distance: int, last: tuple[int, float] | None, like: list | None = None) -> tuple[list, bool]:
+    """The state after each point, (index, significance, own position or -1 if it came in), and whether the point that came in
+    gave way. like: the states of another start, taken over from where both agree."""
+    states, replaced = [], False
+    now = None if last is None else (*last, -1)
+    for k, (i, s) in enumerate(zip(idx.tolist(), sig.tolist())):
+        if now is None or i - now[0] > distance:
+            now = (i, s, k)
+        elif s > now[1]:
+            replaced |= now[2] < 0
+            now = (i, s, k)
+        states.append(now)
+        if like is not None and like[k] == now:
+            return states + like[k + 1 :], replaced
+    return states, replaced
+
+
 def proximity_dedup(points: DataFrame, key: list[str], distance: int = 5) -> DataFrame:
     """Walk by index: within `distance` of the last kept point the more significant stays, the later only if strictly so.
 
-    Points further apart than the distance never meet, so each island between such gaps is folded by itself.
+    A walk over chunks of indices, not over points: each chunk first notes, for every point within `distance` before it that
+    may come in as the last kept one, which point goes out and whether the one that came in gives way. These few notes are
+    composed along a series; then each chunk keeps its points, knowing what comes in and whether its last one gives way.
+    Points of one index go by falling significance, then kind. Null keys are a series; no points give none.
     """
-    w = Window.partitionBy(*key).orderBy("row_idx", F.col("significance").desc(), "kind")
-    x = points.withColumn("_new", F.coalesce((F.col("row_idx") - F.lag("row_idx").over(w) > distance).cast("int"), F.lit(1))).withColumn("_isl", F.sum("_new").over(w))
-    schema = x.drop("_new", "_isl").schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row_idx", "significance", "kind"], ascending=[True, False, True])
-        kept: list[int] = []
-        idx, sig = pdf["row_idx"].to_numpy(), pdf["significance"].to_numpy()
-        for k in range(len(pdf)):
-            if kept and idx[k] - idx[kept[-1]] <= distance:
-                if sig[k] > sig[kept[-1]]:
-                    kept[-1] = k
-            else:
-                kept.append(k)
-        return pdf.iloc[kept].drop(columns=["_new", "_isl"])
-
-    return x.groupBy(*key, "_isl").applyInPandas(fold, schema)
+    order, names, size = ["row_idx", "significance", "kind"], points.columns, max(series.CHUNK, 2 * distance + 1)
+    x = series.chunked_with_halo(points, "row_idx", size, distance, 0, "_c")
+    kinds = "".join(f"`{k}` {dict(points.dtypes)[k]}, " for k in key)
+
+    def split(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        pdf = pdf.sort_values(order, ascending=[True, False, True], kind="stable")
+        return pdf[~pdf["_own"]], pdf[pdf["_own"]]
+
+    def note(pdf: pd.DataFrame) -> pd.DataFrame:
+        halo, mine = split(pdf)
+        if mine.empty:
+            return pd.DataFrame(columns=[*key, "_c", "in_idx", "in_sig", "out_idx", "out_sig", "gives"])
+        idx, sig = mine["row_idx"].to_numpy(), mine["significance"].to_numpy()
+        plain, _ = _fold(idx, sig, distance, None)
+        rows = [(None, None, *plain[-1][:2], False)]
+        for came in set(zip(halo["row_idx"].tolist(), halo["significance"].tolist())):
+            states, gives = _fold(idx, sig, distance, came, plain)
+            rows.append((*came, *states[-1][:2], gives))
+        out = pd.DataFrame(rows, columns=["in_idx", "in_sig", "out_idx", "out_sig", "gives"])
+        return out.assign(**{k: [mine[k].iloc[0]] * len(out) for k in [*key, "_c"]})[[*key, "_c", *out.columns]]
+
+    notes = x.groupBy(*key, "_c").applyInPandas(note, f"{kinds}_c long, in_idx long, in_sig double, out_idx long, out_sig double, gives boolean")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, now = [], None
+        for c, of in pdf.sort_values("_c").groupby("_c"):
+            known = {(None if pd.isna(r.in_idx) else (int(r.in_idx), r.in_sig)): r for r in of.itertuples()}
+            came = now if now in known else None  # what is further off than the distance has no say
+            if came is not None and known[came].gives:
+                rows[-1][-1] = True
+            rows.append([c, *(came or (None, None)), False])
+            now = (int(known[came].out_idx), known[came].out_sig)
+        out = pd.DataFrame(rows, columns=["_c", "_idx", "_sig", "_gives"])
+        return out.assign(**{k: [pdf[k].iloc[0]] * len(out) for k in key})[[*key, "_c", "_idx", "_sig", "_gives"]]
+
+    comes = notes.groupBy(*key).applyInPandas(compose, f"{kinds}_c long, _idx long, _sig double, _gives boolean")
+    comes = comes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_c").alias("_cc"), "_idx", "_sig", "_gives")
+    known = x.where("_own").join(comes, (F.col("_c") == F.col("_cc")) & _null_safe(key))
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, mine = split(pdf)
+        came = None if pd.isna(mine["_idx"].iloc[0]) else (int(mine["_idx"].iloc[0]), mine["_sig"].iloc[0])
+        states, _ = _fold(mine["row_idx"].to_numpy(), mine["significance"].to_numpy(), distance, came)
+        # the last state of each stretch stays: the next one is another point that did not take its place
+        kept, idx = [], mine["row_idx"].to_numpy()
+        for k, now in enumerate(states):
+            if now[2] < 0 or k + 1 < len(states) and (states[k + 1][2] == now[2] or idx[states[k + 1][2]] - now[0] <= distance):
+                continue
+            if k + 1 < len(states) or not mine["_gives"].iloc[0]:
+                kept.append(now[2])
+        return mine.iloc[kept][names]
+
+    return known.groupBy(*key, "_c").applyInPandas(keep, points.schema)
+
+
+def top_significant(points: DataFrame, key: list[str], least: float = 0.0, most: int | None = None) -> DataFrame:
+    """Points of significance `least` or more, the `most` best of each series, ties to the smaller index."""
+    out = points.where(F.col("significance") >= least)
+    if most is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("significance").desc(), "row_idx"))
+    return out.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
 def critical_points(df: DataFrame, key: list[str], order: list[str], t: str, v: str, w: int = 10, k: float = 3.0, limits: list[float] | None = None, least: float = 0.0, most: int | None = None) -> DataFrame:
@@ -227,11 +292,7 @@ def critical_points(df: DataFrame, key: list[str], order: list[str], t: str, v:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = proximity_dedup(out, key).where(F.col("significance") >= least)
-    if most is not None:
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("significance").desc(), "row_idx"))
-        out = out.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
-    return out
+    return top_significant(proximity_dedup(out, key), key, least, most)
 
 
 def lttb_critical(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, critical: int = 500, limits: list[float] | None = None) -> DataFrame:

@@ -110,14 +110,35 @@ def sudden_changes(df: DataFrame, key: list[str], order: list[str], t: str, v: s
     return x.where(F.col("_d") > k * F.col("_s")).withColumn("significance", F.least(F.lit(1.0), F.try_divide(F.col("_d"), 2 * k * F.col("_s")))).drop("_d", "_s", "d2")
 
 
+#: From this width on, sliding extremes come from blocks.
+WIDE = 48
+
+
+def sliding(o: WindowSpec, c: Column, w: int, least: bool = False) -> tuple[Column, Column]:
+    """The greatest (or least) of the w values before a row, and of the w after it, over rows with row_idx.
+
+    Narrow frames are looked through. A wide one is the end of one block of w rows and the beginning of the next, so it comes
+    from running values within blocks, at a cost that does not depend on w.
+    """
+    f = F.min if least else F.max
+    if w < WIDE:
+        return f(c).over(o.rowsBetween(-w, -1)), f(c).over(o.rowsBetween(1, w))
+    block = Window.partitionBy("_chunk", F.floor(F.col("row_idx") / w)).orderBy("row_idx")
+    end = f(c).over(block.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    begin = f(c).over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = F.least if least else F.greatest
+    return both(F.lag(end, w).over(o), F.lag(begin, 1).over(o)), both(F.lead(end, 1).over(o), F.lead(begin, w).over(o))
+
+
 def extrema(df: DataFrame, key: list[str], order: list[str], v: str, w: int = 10) -> DataFrame:
     """Rows strictly above (peak) or below (valley) all w neighbours on both sides; w rows at both ends never are."""
     x, o = in_chunks(df, key, order, before=w, after=w)
-    left, right = o.rowsBetween(-w, -1), o.rowsBetween(1, w)
-    x = x.withColumns({"_lx": F.max(v).over(left), "_ln": F.min(v).over(left), "_rx": F.max(v).over(right), "_rn": F.min(v).over(right), "_lc": F.count(F.lit(1)).over(left), "_rc": F.count(F.lit(1)).over(right)})
     c = F.col(v)
+    (lx, rx), (ln, rn) = sliding(o, c, w), sliding(o, c, w, least=True)
+    one = F.lit(1)
+    x = x.withColumns({"_lx": lx, "_rx": rx, "_ln": ln, "_rn": rn, "_full": F.lag(one, w).over(o) + F.lead(one, w).over(o)})
     kind = F.when((c > F.col("_lx")) & (c > F.col("_rx")), "peak").when((c < F.col("_ln")) & (c < F.col("_rn")), "valley")
-    return own(x.withColumn("kind", kind)).where(F.col("kind").isNotNull() & (F.col("_lc") == w) & (F.col("_rc") == w)).drop("_lx", "_ln", "_rx", "_rn", "_lc", "_rc")
+    return own(x.withColumn("kind", kind)).where(F.col("kind").isNotNull() & F.col("_full").isNotNull()).drop("_lx", "_ln", "_rx", "_rn", "_full")
 
 
 def normalize(df: DataFrame, key: list[str], v: str, method: str) -> DataFrame:

@@ -171,3 +171,42 @@ def test_snap_takes_the_nearest_of_all_series(spark):
     got = {r["probe_t"]: (r["k"], r["at"], r["value"]) for r in asof.snap(df, probes, ["k"], "t", "v").collect()}
     assert got == {0.0: ("a", 1.0, 10.0), 2.5: ("a", 1.0, 10.0), 2.6: ("b", 4.0, 12.0), 8.0: (None, 9.0, 13.0), 99.0: (None, 9.0, 13.0)}
     assert asof.snap(df.limit(0), probes, ["k"], "t", "v").count() == 0
+
+
+def straight_dedup(points, distance):
+    kept = []
+    for p in sorted(points, key=lambda p: (p[0], -p[1], p[2])):
+        if kept and p[0] - kept[-1][0] <= distance:
+            if p[1] > kept[-1][1]:
+                kept[-1] = p
+        else:
+            kept.append(p)
+    return kept
+
+
+@pytest.mark.parametrize(("chunk", "distance"), [(1, 3), (7, 3), (64, 5), (1_000_000, 5)])
+def test_proximity_dedup_by_chunks(spark, monkeypatch, chunk, distance):
+    monkeypatch.setattr(series, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    rows = [(k, int(i), float(s), str(rng.choice(["peak", "limit", "change"]))) for k in ("a", None) for i, s in zip(np.sort(rng.integers(0, 300, 220)), rng.integers(0, 6, 220) / 5)]
+    rows += [("ramp", k, float(k), "peak") for k in range(150)] + [("fall", k, float(-k), "peak") for k in range(150)] + [("one", 4, 0.5, "peak")]
+    rows += [("far", k * 9, 0.5, "peak") for k in range(40)]
+    df = spark.createDataFrame(rows, "k string, row_idx long, significance double, kind string")
+    got = sorted(map(str, downsample.proximity_dedup(df, ["k"], distance).collect()))
+    want = [f"Row(k={k!r}, row_idx={p[0]}, significance={p[1]!r}, kind={p[2]!r})" for k in {r[0] for r in rows} for p in straight_dedup([r[1:] for r in rows if r[0] == k], distance)]
+    assert got == sorted(want)
+    assert downsample.proximity_dedup(df.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [30, 1_000_000])
+def test_wide_extrema(spark, monkeypatch, chunk):
+    monkeypatch.setattr(series, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    rows = [(k, i, float(x)) for k in ("a", None) for i, x in enumerate(rng.integers(0, 2000, 700))]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    forms = {}
+    for wide in (1, 10_000):
+        monkeypatch.setattr(rolling, "WIDE", wide)
+        for w in (1, 3, 50):
+            forms[wide, w] = sorted(map(str, rolling.extrema(df, ["k"], ["t"], "v", w).select("k", "t", "v", "kind").collect()))
+    assert all(forms[1, w] == forms[10_000, w] for w in (1, 3, 50)) and len(forms[1, 50]) >= 4
