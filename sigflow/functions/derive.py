@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from graphlib import CycleError, TopologicalSorter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,30 @@ def clip(x: Column, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def where(c: Column, a: Column, b: Column) -> Column:
+    """a where c is not 0 (or true), else b; b for a null c."""
+    return F.when(c.cast("double") != 0, a).otherwise(b)
+
+
+def unix_seconds(c: Column) -> Column:
+    """Epoch values as seconds: beyond 1e12 they are milliseconds."""
+    return F.when(F.abs(c) > 1e12, c / 1000.0).otherwise(c.cast("double"))
+
+
+#: Seconds between two marks of a time axis up to which a format serves (fixed values).
+LABELS = ((1, "dd/MM/yyyy HH:mm:ss.SSS"), (60, "dd/MM/yyyy HH:mm:ss"), (86_400, "dd/MM HH:mm"), (float("inf"), "dd/MM/yyyy"))
+
+
+def time_label(c: Column, spacing: float) -> Column:
+    """The text of an epoch value on an axis with marks so many seconds apart, in the session's time zone."""
+    return F.date_format(F.timestamp_micros(F.round(unix_seconds(c) * 1_000_000).cast("long")), next(f for most, f in LABELS if spacing < most))
+
+
+def vectorised(df: DataFrame, name: str, fn: Callable[..., pd.Series], cols: list[str], kind: str = "double") -> DataFrame:
+    """df with a user's function of whole columns, batch by batch (pandas series in, one out); rows are independent."""
+    return df.withColumn(name, F.pandas_udf(fn, kind)(*[F.col(c) for c in cols]))
+
+
 def active_bits(df: DataFrame, keep: list[str], v: str, definitions: DataFrame | None = None, series: str | None = None) -> DataFrame:
     """A row per set bit (0..63) with its description; 'Undefined Bit n' where none is given."""
     x = df.select(*keep, F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(F.col(v).cast("long"), b) == 1)).alias("bit"))

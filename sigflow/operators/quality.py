@@ -79,10 +79,30 @@ def value_types(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def fix_plan(detected: DataFrame, profiled: DataFrame) -> DataFrame:
+    """column, fix, nulls: what to do with each column, from detect_types() and profile().
+
+    fix: numeric, or, for dates, epoch, serial or datetime by their format, where not all values are of the type as they
+    stand; split for mixed columns; else null. nulls: the ways to fill that its type allows, where it has nulls.
+    """
+    dated = F.when(F.col("format") == "timestamp", "epoch").when(F.col("format") == "excel_serial", "serial").otherwise("datetime")
+    fix = F.when(F.col("type") == "mixed", "split").when((F.col("type") == "numeric") & (F.col("numeric") < 1), "numeric").when((F.col("type") == "datetime") & (F.col("dated") < 1), dated)
+    ways = F.when(F.col("type") == "numeric", "mean,median,interpolate").when(F.col("type") == "datetime", "forward,backward").otherwise("constant,drop")
+    x = detected.join(profiled.select("column", "nulls"), "column")
+    return x.select("column", fix.alias("fix"), F.when(F.col("nulls") > 0, ways).alias("nulls"))
+
+
+def plan_of(planned: DataFrame) -> dict[str, str]:
+    """The fixes of fix_plan() for auto_fix(): one entry a column."""
+    return {r["column"]: r["fix"] for r in planned.where("fix is not null and fix <> 'split'").collect()}
+
+
 def auto_fix(df: DataFrame, plan: dict[str, str]) -> DataFrame:
-    """Coerce columns to 'numeric' or 'datetime'; what does not parse becomes null."""
-    fix = {"numeric": number, "datetime": lambda c: F.try_to_timestamp(c)}
-    return df.withColumns({c: fix[k](F.col(c).cast("string")) for c, k in plan.items()})
+    """Coerce columns to 'numeric', 'datetime' (text), 'epoch' or 'serial' times; what does not parse becomes null."""
+    def one(c: Column, kind: str) -> Column:
+        return number(c) if kind == "numeric" else instant(c, "text" if kind == "datetime" else kind)
+
+    return df.withColumns({c: one(F.col(f"`{c}`").cast("string"), k) for c, k in plan.items()})
 
 
 def clean(df: DataFrame, cols: list[str], null: str = "keep", inf: str = "null") -> DataFrame:

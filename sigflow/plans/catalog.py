@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sigflow.functions import derive as D
 from sigflow.operators import asof, cells, downsample, filters, quality, rolling, scratch, segments, series, stats, stored
+from sigflow.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,8 +116,13 @@ def _(s, d):
 @query("p10_unix_time", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS label FROM events")
 def _(s, d):
     ms = F.unix_micros("ts") / 1000.0
-    sec = F.when(F.abs(ms) > 1e12, ms / 1000).otherwise(ms)
-    return ev(s, d).select("event_id", F.date_format(F.timestamp_seconds(F.floor(sec)), "yyyy-MM-dd HH:mm").alias("label"))
+    return ev(s, d).select("event_id", F.date_format(F.timestamp_seconds(F.floor(D.unix_seconds(ms))), "yyyy-MM-dd HH:mm").alias("label"))
+
+
+@query("p10_axis_labels", "SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') AS fine, strftime(ts, '%d/%m/%Y %H:%M:%S') AS seconds, strftime(ts, '%d/%m %H:%M') AS hours, strftime(ts, '%d/%m/%Y') AS days FROM events")
+def _(s, d):
+    v = F.unix_micros("ts") / 1e6
+    return ev(s, d).select("event_id", *[D.time_label(v, n).alias(c) for c, n in (("fine", 0.5), ("seconds", 30), ("hours", 7200), ("days", 90_000))])
 
 
 @query("p11_conditions", "SELECT event_id, value BETWEEN 10 AND 50 AS a, value > 50 AS b, abs(value - 20) < 1e-10 AS c, abs(value - 20) >= 1e-10 AS d FROM events")
@@ -621,12 +627,84 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.rint("value").alias("even"), F.round("value").alias("away"))
 
 
+@query("f03_functions", "SELECT event_id, round(power(value / 100, 3), 6) AS cube, abs(value - 50) AS off, round(exp(value / 500), 8) AS e, round(cos(value), 8) AS c, round(tan(value / 400), 8) AS t, round(log10(value), 8) AS l, round(power(value, 0.5) - sqrt(value), 8) AS zero FROM events")
+def _(s, d):
+    exprs = {"cube": "round(power(value / 100, 3), 6)", "off": "abs(value - 50)", "e": "round(exp(value / 500), 8)", "c": "round(cos(value), 8)", "t": "round(tan(value / 400), 8)", "l": "round(log10(value), 8)", "zero": "round(power(value, 0.5) - sqrt(value), 8)"}
+    return D.derive(table(s, d, "events"), exprs).select("event_id", *exprs)
+
+
+@query("f10_smaller_and_greater", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE least(value, user_id) END AS a, CASE WHEN user_id % 7 = 0 THEN NULL ELSE greatest(value, user_id) END AS b FROM events")
+def _(s, d):
+    other = F.when(F.col("user_id") % 7 != 0, F.col("user_id").cast("double"))
+    return table(s, d, "events").select("event_id", D.smaller(F.col("value"), other).alias("a"), D.greater(F.col("value"), other).alias("b"))
+
+
+@query("f12_where", "SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN value ELSE -value END AS v FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", D.where(F.col("user_id") % 3, F.col("value"), -F.col("value")).alias("v"))
+
+
+@query("f16_row_range", "+SELECT event_id, round(value * 2 + i, 6) AS twice FROM ev WHERE i BETWEEN 20 AND 119")
+def _(s, d):
+    return D.derive(series.slice_rows(ev(s, d), KEY, ORDER, 20, 100), {"twice": "round(value * 2 + row_idx, 6)"}).select("event_id", "twice")
+
+
+@query("f18_scalar", "SELECT event_id, 3 AS one, round(value - (SELECT avg(value) FROM events), 4) AS off FROM events")
+def _(s, d):
+    return D.derive(table(s, d, "events"), {"one": "1 + 2", "off": "round(value - mean, 4)"}, {"mean": "avg(value)"}).select("event_id", "one", "off")
+
+
+@query("u04_filters_together", "SELECT event_id FROM events WHERE value BETWEEN 10 AND 60 AND NOT value BETWEEN 20 AND 30 AND user_id > 40")
+def _(s, d):
+    named = {"mid": filters.cond("value", "between", 10, 60), "gap": filters.outside("value", 20, 30), "user": filters.cond("user_id", ">", 40), "off": filters.cond("value", "<", 0)}
+    return filters.apply_filters(table(s, d, "events"), named, ["mid", "gap", "user"]).select("event_id")
+
+
+NEAR = "pts AS (SELECT event_type, i, value, row_number() OVER (PARTITION BY event_type ORDER BY i) AS k FROM ev WHERE value > 150)"
+
+
+@query("u02_proximity", f"WITH RECURSIVE {EV}, {NEAR}, f AS (SELECT event_type, k, i AS ki, value AS kv, false AS fresh FROM pts WHERE k = 1 UNION ALL SELECT p.event_type, p.k, CASE WHEN p.i - f.ki > 5 OR p.value > f.kv THEN p.i ELSE f.ki END, CASE WHEN p.i - f.ki > 5 OR p.value > f.kv THEN p.value ELSE f.kv END, p.i - f.ki > 5 FROM f JOIN pts p ON p.event_type = f.event_type AND p.k = f.k + 1), g AS (SELECT *, lead(fresh) OVER (PARTITION BY event_type ORDER BY k) AS next_fresh FROM f) SELECT event_type, ki AS row_idx, kv AS significance FROM g WHERE coalesce(next_fresh, true)")
+def _(s, d):
+    x = _idx(s, d).where("value > 150").select("event_type", "row_idx", F.col("value").alias("significance"), F.lit("high").alias("kind"))
+    return downsample.proximity_dedup(x, KEY, 5).drop("kind")
+
+
+@query("x03_user_functions", "SELECT event_id, round(value * value + user_id, 6) AS v FROM events")
+def _(s, d):
+    return D.vectorised(table(s, d, "events"), "v", lambda v, u: (v * v + u).round(6), ["value", "user_id"]).select("event_id", "v")
+
+
+@query("x03_series_functions", "+, x AS (SELECT event_id, i, sum(value) OVER (PARTITION BY event_type ORDER BY i) AS total FROM ev) SELECT event_id, round(total, 4) AS total FROM x")
+def _(s, d):
+    def totals(pdf):
+        pdf = pdf.sort_values(["t", "event_id"])
+        return pdf.assign(total=pdf["value"].cumsum().round(4))[["event_id", "total"]]
+
+    return downsample.apply_series(ev(s, d).select("event_type", "event_id", "t", "value"), KEY, totals, "event_id long, total double")
+
+
+@query("s14_export", "SELECT round(epoch_us(ts) / 1e6, 3) AS t, value, user_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
+def _(s, d):
+    path = f"{scratch.shared_dir(s)}/export-{uuid.uuid4().hex}"
+    io.export_range(rounded(ev(s, d), "t", n=3), "t", 1704412800.0, 1704844800.0, ["value", "user_id"], path)
+    return io.read_csv(s, path, "t double, value double, user_id long")
+
+
+@query("s15_derived_sink", "+SELECT event_type, i // 200 AS block, round(min(value * 2), 6) AS min, round(max(value * 2), 6) AS max, count(value) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS rows FROM ev GROUP BY ALL")
+def _(s, d):
+    path = f"{scratch.shared_dir(s)}/derived-{uuid.uuid4().hex}"
+    x = D.derive(_idx(s, d), {"twice": "value * 2"}).select("event_type", "row_idx", "twice")
+    io.write_derived(x, path, stats.reduce_blocks(x, KEY, "row_idx", "twice", 200))
+    signal, blocks = io.read_derived(s, path)
+    return rounded(blocks.select("event_type", "block", "min", "max", "n").crossJoin(signal.agg(F.count(F.lit(1)).alias("rows"))), "min", "max", n=6)
+
+
 @query("q01_profile", "WITH u AS (SELECT 'c_nationkey' AS \"column\", CAST(c_nationkey AS VARCHAR) AS x FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer) SELECT \"column\", count(*) AS total, count(*) FILTER (WHERE x IS NULL) AS nulls, 100.0 * count(*) FILTER (WHERE x IS NULL) / count(*) AS null_pct, count(DISTINCT x) AS uniques, min(TRY_CAST(x AS DOUBLE)) AS min, max(TRY_CAST(x AS DOUBLE)) AS max, round(avg(TRY_CAST(x AS DOUBLE)), 4) AS mean, round(stddev_samp(TRY_CAST(x AS DOUBLE)), 4) AS std FROM u GROUP BY \"column\"")
 def _(s, d):
     return rounded(quality.profile(table(s, d, "customer"), ["c_nationkey", "c_mktsegment"]), "mean", "std")
 
 
-@query("q02_types", "SELECT 'c_nationkey' AS \"column\", 'numeric' AS type FROM (SELECT 1 WHERE EXISTS (SELECT 1 FROM customer)) UNION ALL SELECT 'c_name', 'string' WHERE EXISTS (SELECT 1 FROM customer)")
+@query("q02_types", "WITH u AS (SELECT 'c_nationkey' AS \"column\", CAST(c_nationkey AS VARCHAR) AS x FROM customer UNION ALL SELECT 'c_name', c_name FROM customer), h AS (SELECT \"column\", count(TRY_CAST(x AS DOUBLE)) / greatest(count(x), 1) AS share FROM u GROUP BY \"column\") SELECT \"column\", CASE WHEN share * (CASE WHEN share > 0.9 THEN 1 WHEN share > 0.7 THEN 0.9 ELSE 0.5 END) > 0.8 THEN 'numeric' WHEN share > 0.1 THEN 'mixed' ELSE 'string' END AS type FROM h")
 def _(s, d):
     return quality.detect_types(table(s, d, "customer"), ["c_nationkey", "c_name"]).select("column", "type")
 
@@ -641,7 +719,7 @@ def _(s, d):
     return quality.string_checks(table(s, d, "conversations"), "text")
 
 
-@query("q06_issues", "SELECT 'c_custkey' AS \"column\", CASE WHEN count(*) > 100 THEN 'id_like' ELSE '' END AS issues FROM customer UNION ALL SELECT 'c_nationkey', '' FROM (SELECT count(*) FROM customer)")
+@query("q06_issues", "WITH u AS (SELECT 'c_custkey' AS \"column\", CAST(c_custkey AS VARCHAR) AS x FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer), p AS (SELECT \"column\", count(*) AS n, count(DISTINCT x) AS u, 100.0 * count(*) FILTER (WHERE x IS NULL) / count(*) AS gaps FROM u GROUP BY \"column\") SELECT \"column\", concat_ws(',', CASE WHEN gaps > 50 THEN 'mostly_null' END, CASE WHEN gaps > 20 AND gaps <= 50 THEN 'many_nulls' END, CASE WHEN u = 1 THEN 'constant' END, CASE WHEN u = 2 THEN 'few_values' END, CASE WHEN n > 100 AND u / n > 0.95 THEN 'id_like' END) AS issues FROM p")
 def _(s, d):
     return quality.issues(quality.profile(table(s, d, "customer"), ["c_custkey", "c_nationkey"]))
 
@@ -659,7 +737,18 @@ def _(s, d):
 @query("t02_top_significance", f"{D1}, z AS (SELECT *, abs(d1) AS s FROM d WHERE d1 IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s DESC, i) AS rn FROM z) SELECT event_id, i AS row_idx FROM k WHERE rn <= 20")
 def _(s, d):
     x = series.with_row_index(rolling.derivative(ev(s, d), KEY, ORDER, "t", "value"), KEY, ORDER).where("d1 is not null")
-    return x.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.abs("d1").desc(), "row_idx"))).where("rn <= 20").select("event_id", "row_idx")
+    return downsample.top_significant(x.withColumn("significance", F.abs("d1")), KEY, most=20).select("event_id", "row_idx")
+
+
+MIXED = "m AS (SELECT CASE WHEN c_custkey % 20 = 0 THEN 'x' WHEN c_custkey % 20 = 1 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS id, CAST(c_acctbal AS VARCHAR) AS bal, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS half, c_name AS name FROM customer)"
+SHARE = "count(TRY_CAST({0} AS DOUBLE)) / greatest(count({0}), 1)"
+
+
+@query("q08_fix_plan", f"WITH {MIXED}, u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {SHARE.format(c)} AS share, count(*) FILTER (WHERE {c} IS NULL) AS gaps FROM m" for c in ("id", "bal", "half", "name")) + ") SELECT \"column\", CASE WHEN share >= 0.9 AND share < 1 THEN 'numeric' WHEN share > 0.1 AND share < 0.9 THEN 'split' END AS fix, CASE WHEN gaps > 0 THEN CASE WHEN share >= 0.9 THEN 'mean,median,interpolate' ELSE 'constant,drop' END END AS nulls FROM u")
+def _(s, d):
+    k = F.col("c_custkey")
+    x = table(s, d, "customer").select(F.when(k % 20 == 0, "x").when(k % 20 != 1, k.cast("string")).alias("id"), F.col("c_acctbal").cast("string").alias("bal"), F.when(k % 2 == 0, F.col("c_name")).otherwise(k.cast("string")).alias("half"), F.col("c_name").alias("name"))
+    return quality.fix_plan(quality.detect_types(x, x.columns), quality.profile(x, x.columns))
 
 
 # --- cursors, alignment, reports

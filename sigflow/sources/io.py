@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,13 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return plain.withColumn("_i", F.monotonically_increasing_id()).where(F.trim("value") != "")
 
 
-def infer_types(df: DataFrame, sample: int = 10_000) -> DataFrame:
-    """Text columns as long or double where all values of the first `sample` rows are; later ones that are not become null."""
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns as long or double where all values are; one pass over all rows, so no value is lost."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
         return df
     fits = lambda c, kind: F.count(F.col(f"`{c}`").try_cast(kind))
-    counts = df.limit(sample).agg(*[f.alias(f"{k}{j}") for j, c in enumerate(text) for k, f in (("n", F.count(F.col(f"`{c}`"))), ("l", fits(c, "long")), ("d", fits(c, "double")))]).first()
+    counts = df.agg(*[f.alias(f"{k}{j}") for j, c in enumerate(text) for k, f in (("n", F.count(F.col(f"`{c}`"))), ("l", fits(c, "long")), ("d", fits(c, "double")))]).first()
     kinds = {c: "long" if counts[f"l{j}"] == counts[f"n{j}"] else "double" for j, c in enumerate(text) if counts[f"n{j}"] and counts[f"d{j}"] == counts[f"n{j}"]}
     return df.withColumns({c: F.col(f"`{c}`").try_cast(k) for c, k in kinds.items()}) if kinds else df
 
@@ -42,7 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     else:
         lines = _lines(spark, path, encoding)
         begin = start_row if start_row is not None else header_row + 1
-        first = lines.orderBy("_i").limit(max(begin, header_row + 4) + 1).select("value", "_i").collect()
+        first = lines.limit(max(begin, header_row + 4) + 1)  # in file order: no sort, only the first parts are read.select("value", "_i").collect()
         wrapped = lambda s: len(s) > 1 and s[0] == s[-1] == '"' and s.count('"') == 2
         if repair_quotes and sum(wrapped(r["value"]) for r in first) * 2 > len(first):
             lines = lines.withColumn("value", F.regexp_replace("value", '^"(.*)"$', "$1"))
@@ -88,6 +89,15 @@ def bit_definitions(spark: SparkSession, paths: dict[str, str], sep: str = ",")
 
 
 def write_derived(df: DataFrame, out: str, blocks: DataFrame) -> None:
-    """A derived signal and its reduced blocks beside it."""
-    df.write.mode("overwrite").parquet(f"{out}/signal")
-    blocks.write.mode("overwrite").parquet(f"{out}/blocks")
+    """A derived signal and its reduced blocks beside it, as a new version: both are there for read_derived() once the marker,
+    the last thing written, is; what was there before stays until then."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{out}/signal/{version}")
+    blocks.write.parquet(f"{out}/blocks/{version}")
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{out}/versions")
+
+
+def read_derived(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """The newest whole version: the signal and its blocks."""
+    version = spark.read.parquet(f"{out}/versions").orderBy(F.col("at").desc(), "version").first()["version"]
+    return spark.read.parquet(f"{out}/signal/{version}"), spark.read.parquet(f"{out}/blocks/{version}")
