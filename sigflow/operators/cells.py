@@ -14,11 +14,17 @@ BUCKETS = 1024
 MOST = 1 << 15
 #: Tables of fewer bytes at their sources are sorted a series to a task, or have their quantiles from one aggregate.
 SMALL = 64 << 20
+#: What the optimizer takes a source of unknown size for, at least.
+UNKNOWN = 1 << 62
 
 
 def fits(df: DataFrame) -> bool:
-    """Whether all of df is small enough for one task, by the sizes of its sources."""
-    return input_bytes(df) < SMALL
+    """Whether all of df is small enough for one task, by the sizes of its sources; where a source doesn't tell its size, by
+    whether df has more than a row for each KB of SMALL, for which no more rows than that are counted."""
+    size = input_bytes(df)
+    if size >= UNKNOWN and SMALL < UNKNOWN:
+        return SMALL > 0 and df.select(F.lit(1)).limit((SMALL >> 10) + 1).count() <= SMALL >> 10
+    return size < SMALL
 
 
 def _digits(df: DataFrame, c: str) -> list[Column]:

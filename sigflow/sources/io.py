@@ -43,7 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     else:
         lines = _lines(spark, path, encoding)
         begin = start_row if start_row is not None else header_row + 1
-        first = lines.limit(max(begin, header_row + 4) + 1)  # in file order: no sort, only the first parts are read.select("value", "_i").collect()
+        first = lines.limit(max(begin, header_row + 4) + 1).select("value", "_i").collect()  # in file order, so no sort
         wrapped = lambda s: len(s) > 1 and s[0] == s[-1] == '"' and s.count('"') == 2
         if repair_quotes and sum(wrapped(r["value"]) for r in first) * 2 > len(first):
             lines = lines.withColumn("value", F.regexp_replace("value", '^"(.*)"$', "$1"))
