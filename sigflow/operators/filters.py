@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 OPS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 
 
+def _not_nan(c: Column) -> Column:
+    """NaN is above infinity. As a comparison this reaches the scan, also from within an or, where isnan() would stop it all."""
+    return c <= float("inf")
+
+
 def cond(col: str, op: str, value: float, high: float | None = None, tolerance: float = 1e-10) -> Column:
     """One condition: between, > >= < <= = !=; equality has the tolerance.
 
@@ -24,7 +29,7 @@ def cond(col: str, op: str, value: float, high: float | None = None, tolerance:
     if op == "=":
         return c.between(value - tolerance, value + tolerance) & (F.abs(c - value) < tolerance)
     test = F.abs(c - value) >= tolerance if op == "!=" else OPS[op](c, F.lit(value))
-    return test & ~F.isnan(c) if op in (">", ">=", "!=") else test
+    return test & _not_nan(c) if op in (">", ">=", "!=") else test
 
 
 def mask(condition: Column) -> Column:
@@ -52,7 +57,7 @@ def parameter_filter(spec: list[dict], within: str = "all") -> Column:
 def outside(col: str, low: float, high: float) -> Column:
     """Inverse range."""
     c = F.col(col)
-    return ((c < low) | (c > high)) & ~F.isnan(c)
+    return ((c < low) | (c > high)) & _not_nan(c)
 
 
 def apply_filters(df: DataFrame, named: dict[str, Column], enabled: list[str] | None = None) -> DataFrame:
