@@ -6,6 +6,7 @@ import collections
 import hashlib
 import html
 import random
+import time
 import re
 
 import numpy as np
@@ -433,3 +434,46 @@ def test_copies_of_a_page_are_one_page_of_evidence(spark):
     rows = [(k, f"http://h/{k}", page.format("One story"), "c") for k in range(4)] + [(10 + k, f"http://h/{10 + k}", page.format(f"Story {k}"), "c") for k in range(3)]
     out = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
     assert out == {**{k: "One story" for k in range(4)}, **{10 + k: f"Story {k}" for k in range(3)}}
+
+
+def test_words_of_class_names_only_choose_between_slots():
+    text = lambda page: extract.main_text(page, None)
+    assert text('<article><h1>T</h1><section class="login-howto">How to log in</section></article>') == "T\n\nHow to log in"
+    assert text('<div class="search-results">Only content</div>') == "Only content"
+    assert text('<div class="ad-slot">Alone</div>') == "Alone"
+    assert text('<div class="post"><p>Words</div><div class="ad-slot">buy</div><div id="login-box">name</div>') == "Words"
+    assert text('<article><p>Story<section class="comments"><p>me too</section></article>') == "Story"
+    assert text('<form><input><main><p>Within</main><p>name</form>') == "Within"
+    # with an empty template a page is one slot
+    assert extract.main_text('<div class="post">Words</div><div class="ad-slot">buy</div>', []) == "Words\n\nbuy"
+
+
+def test_very_deep_and_broken_pages_take_linear_work():
+    begin = time.process_time()
+    assert extract.main_text("<div>" * 64_000 + "deep", None) == "deep"
+    assert len(extract.main_text("<b>" * 20_000 + "<p>x" * 20_000, None).split()) == 20_000
+    for tail in ("<a " * 100_000, '<p title="' * 100_000):
+        assert extract.main_text(f"<p>Words</p>{tail}", None).startswith("Words")
+    assert time.process_time() - begin < 20
+
+
+def test_extract_against_building_the_page(spark):
+    """Pages of three hosts put together from known parts: the text is the parts that differ and are no furniture."""
+    rng = random.Random(41)
+    rows, want = [], {}
+    for k in range(30):
+        host, kind = f"h{k % 3}", k % 3
+        body = [words(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 5))]
+        ad, said = words(rng, 9), [words(rng, 12) for _ in range(rng.randint(0, 3))]
+        paragraphs = "".join(f"<p>{x}</p>" for x in body)
+        said = '<section class="comments">' + "".join(f"<p>{x}" for x in said) + "</section>"
+        if kind == 0:
+            page = f"<body><nav>{ad}</nav><article>{paragraphs}{said}</article><div class=ad>{ad}</div></body>"
+        elif kind == 1:
+            page = f"<body><div><ul><li>Home<li>News</ul></div><div class=main-story>{paragraphs}</div>{said}<div>All rights reserved</div></body>"
+        else:
+            page = f"<body><table><tr><td>Home<td>About us<tr><td>{paragraphs}</table><div role=complementary>{ad}</div></body>"
+        rows.append((k, f"http://{host}/{k}", page))
+        want[k] = "\n\n".join(body)
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
