@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigflow.operators import series
 from sigflow.operators.rolling import extrema, limit_crossings, sudden_changes
+from sigflow.operators.scratch import cut
 from sigflow.operators.series import with_row_index, with_totals
 
 
@@ -46,30 +47,58 @@ def minmax(df: DataFrame, key: list[str], order: list[str], t: str, v: str, buck
     return g.select(*key, "bucket", F.explode(F.array_sort(rows)).alias("s")).select(*key, "bucket", "s.row_idx", "s.t", "s.v")
 
 
-def hull_rows(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Positions on the convex hull of a bucket (t ascending), with all rows of its first and last time."""
-    keep = set(np.flatnonzero((t == t[0]) | (t == t[-1])).tolist())
+def hull_rows(t: np.ndarray, v: np.ndarray, bucket: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Positions that hold the corners of each bucket's convex hull (buckets and t ascending), in order.
+
+    Of rows with one time the first, the least and the greatest count, the earliest each, and of the bucket the first row
+    and the first with NaN. Rows on or within the line of two others, so and so many places before and after, are left
+    out, all at once, until none is; should that take more than `rounds`, some rows more are kept, which changes no pick.
+    """
+    bad = np.isnan(t) | np.isnan(v)
+    keep = np.zeros(len(t), dtype=bool)
+    for rows in (np.arange(len(t)), np.flatnonzero(bad)):
+        keep[rows[np.unique(bucket[rows], return_index=True)[1]]] = True
+    fine = np.flatnonzero(~bad)
+    if not len(fine):
+        return np.flatnonzero(keep)
+    same = (bucket[fine][1:] == bucket[fine][:-1]) & (t[fine][1:] == t[fine][:-1])
+    moment = np.concatenate([[0], np.cumsum(~same)])
+    begins = np.flatnonzero(np.concatenate([[True], ~same]))
+    edge = np.zeros(len(begins), dtype=bool)  # first and last time of a bucket
+    of = bucket[fine][begins]
+    edge[0] = edge[-1] = True
+    edge[1:] |= of[1:] != of[:-1]
+    edge[:-1] |= of[1:] != of[:-1]
+    keep[fine[begins[edge]]] = True
     for sign in (1.0, -1.0):
-        chain: list[int] = []
-        for k in range(len(t)):
-            while len(chain) >= 2:
-                a, b = chain[-2], chain[-1]
-                if sign * ((t[b] - t[a]) * (v[k] - v[a]) - (v[b] - v[a]) * (t[k] - t[a])) < 0:
-                    chain.pop()
-                else:
-                    break
-            chain.append(k)
-        keep.update(chain)
-    return np.array(sorted(keep))
-
-
-def lttb_pick(bucket: np.ndarray, t: np.ndarray, v: np.ndarray, mean_t: np.ndarray, mean_v: np.ndarray) -> np.ndarray:
-    """Largest-triangle pass: one position per bucket, given each bucket's rows and the means of all buckets."""
-    starts = np.searchsorted(bucket, np.arange(len(mean_t)))
+        order = np.lexsort((np.arange(len(fine)), sign * v[fine], moment))  # least first: the lower chain, then the upper
+        chain = fine[order[np.concatenate([[True], np.diff(moment[order]) > 0])]]
+        keep[chain[edge]] = True
+        for _ in range(rounds):
+            before, reach = len(chain), 1
+            while 2 * reach < len(chain):
+                x, y, z = chain[: -2 * reach], chain[reach:-reach], chain[2 * reach :]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    out = sign * ((t[y] - t[x]) * (v[z] - v[x]) - (v[y] - v[x]) * (t[z] - t[x])) <= 0
+                chain = np.delete(chain, np.flatnonzero(out & (bucket[x] == bucket[z])) + reach)
+                reach *= 2
+            if len(chain) == before:
+                break
+        keep[chain] = True
+    return np.flatnonzero(keep)
+
+
+def lttb_pick(bucket: np.ndarray, t: np.ndarray, v: np.ndarray, mean_t: np.ndarray, mean_v: np.ndarray, entry: tuple[float, float] | None = None) -> np.ndarray:
+    """Largest-triangle pass: one position per bucket (numbered from 0), given the buckets' rows and means.
+
+    entry is the point picked before, none at the start of a series; the means may go on beyond the rows by one bucket,
+    else the series ends."""
+    starts = np.searchsorted(bucket, np.arange(bucket[-1] + 1))
     stops = np.append(starts[1:], len(bucket))
-    out, at, av = [], t[0], v[0]
+    at, av = entry or (t[0], v[0])
+    out = []
     for k, (a, b) in enumerate(zip(starts, stops)):
-        if k == 0 or k == len(mean_t) - 1:
+        if (k == 0 and entry is None) or k + 1 == len(mean_t):
             pick = a
         else:
             ct, cv = mean_t[k + 1], mean_v[k + 1]
@@ -80,11 +109,34 @@ def lttb_pick(bucket: np.ndarray, t: np.ndarray, v: np.ndarray, mean_t: np.ndarr
     return np.array(out)
 
 
-def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int) -> DataFrame:
+def lttb_exits(bucket: np.ndarray, t: np.ndarray, v: np.ndarray, mean_t: np.ndarray, mean_v: np.ndarray, entry_t: np.ndarray, entry_v: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """The last bucket's pick for each point that may have been picked before the first bucket. Walks that meet go on as one."""
+    starts = np.searchsorted(bucket, np.arange(bucket[-1] + 1))
+    stops = np.append(starts[1:], len(bucket))
+    walk, at, av = np.arange(len(entry_t)), entry_t, entry_v
+    for k, (a, b) in enumerate(zip(starts, stops)):
+        if k + 1 == len(mean_t):
+            picks = np.full(len(at), a)
+        else:
+            ct, cv = mean_t[k + 1], mean_v[k + 1]
+            step = max(1, most // (b - a))
+            picks = np.concatenate([a + np.abs((x - ct)[:, None] * (v[a:b] - y[:, None]) - (x[:, None] - t[a:b]) * (cv - y)[:, None]).argmax(axis=1) for x, y in ((at[c : c + step], av[c : c + step]) for c in range(0, len(at), step))])
+        picks, to = np.unique(picks, return_inverse=True)
+        walk, at, av = to[walk], t[picks], v[picks]
+    return picks[walk]
+
+
+def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, together: int = 4096) -> DataFrame:
     """Largest-triangle-three-buckets to `points` rows a series; shorter series pass whole.
 
     The triangle's area is linear in the candidate up to its sign, so only the hull of a bucket can win: buckets
-    are reduced to their hulls in parallel, CHUNK rows of a series at a time, and the sequential pass sees those few rows.
+    are reduced to their hulls in parallel, CHUNK rows of a series at a time. Ties of areas go to the earlier row (areas
+    that differ by rounding alone are ties). Up to `together` points, the pass over a series' hulls is one task. For more,
+    ranges of about sqrt(points) buckets work at once: each makes a map from every point that its predecessor may
+    end with to the point it ends with itself, these few maps are composed along the series, and each range
+    then picks from its known start.
+
+    Null values are left out; rows with NaN (time or value) win their bucket, the first of them, as comparisons would have it.
     """
     x = with_row_index(df.where(F.col(v).isNotNull()), key, order, total="_n")
     width = (F.col("_n") - 2) / F.lit(float(points - 2))
@@ -96,23 +148,70 @@ def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
-        t, v = pdf["t"].to_numpy(), pdf["v"].to_numpy()
-        starts = np.unique(pdf["_b"].to_numpy(), return_index=True)[1]
-        sizes = np.diff(np.append(starts, len(pdf)))
-        at = [a + hull_rows(t[a : a + n], v[a : a + n]) for a, n in zip(starts, sizes)]
-        each = [len(x) for x in at]
-        sums = {"_st": np.add.reduceat(t, starts), "_sv": np.add.reduceat(v, starts), "_rows": sizes}
-        return pdf.iloc[np.concatenate(at)].assign(**{n: np.repeat(x, each) for n, x in sums.items()})
+        t, v, b = (pdf[c].to_numpy() for c in ("t", "v", "_b"))
+        starts = np.unique(b, return_index=True)[1]
+        at = hull_rows(t, v, b)
+        of = np.searchsorted(starts, at, side="right") - 1
+        sums = {"_st": np.add.reduceat(t, starts), "_sv": np.add.reduceat(v, starts), "_rows": np.diff(np.append(starts, len(pdf)))}
+        return pdf.iloc[at].assign(**{n: x[of] for n, x in sums.items()})
 
     hulls = x.groupBy(*key, "_q").applyInPandas(reduce, f"{kinds}row_idx long, t double, v double, _b long, _q long, _st double, _sv double, _rows long")
+    size = int(np.ceil(np.sqrt(points))) if points > together else points + 1
+    fields = ["row_idx", "t", "v"]
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def parted(pdf: pd.DataFrame) -> tuple:
+        """A range's rows in order, its bucket numbers, the means (and the next bucket's), and the rows of the bucket before."""
         pdf = pdf.sort_values("row_idx")
-        sums = pdf.drop_duplicates(["_b", "_q"]).groupby("_b")[["_st", "_sv", "_rows"]].sum()
-        at = lttb_pick(np.searchsorted(sums.index, pdf["_b"]), pdf["t"].to_numpy(), pdf["v"].to_numpy(), (sums["_st"] / sums["_rows"]).to_numpy(), (sums["_sv"] / sums["_rows"]).to_numpy())
-        return pdf.iloc[at][[*key, "row_idx", "t", "v"]]
+        first = int(pdf["_g"].iloc[0]) * size
+        before = pdf[pdf["_b"] < first]
+        parts = pdf[pdf["_b"] >= first].drop_duplicates(["_b", "_q"])
+        each = np.unique(parts["_b"].to_numpy(), return_index=True)[1]
+        st, sv, n = (np.add.reduceat(parts[c].to_numpy(), each) if len(each) else np.zeros(0) for c in ("_st", "_sv", "_rows"))
+        own = pdf[(pdf["_b"] >= first) & (pdf["_b"] < first + size)]
+        return own, (own["_b"] - first).to_numpy(), st / n, sv / n, before
 
-    return hulls.groupBy(*key).applyInPandas(walk, f"{kinds}row_idx long, t double, v double")
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, b, mt, mv, before = parted(pdf)
+        if not len(own):
+            return own[[*key, *fields]]
+        start = before[before["row_idx"] == pdf["_start"].iloc[0]]
+        entry = (start["t"].iloc[0], start["v"].iloc[0]) if len(start) else None
+        return own.iloc[lttb_pick(b, own["t"].to_numpy(), own["v"].to_numpy(), mt, mv, entry)][[*key, *fields]]
+
+    if points <= together:
+        return hulls.withColumns({"_g": F.lit(0), "_start": F.lit(-1)}).groupBy(*key).applyInPandas(walk, f"{kinds}row_idx long, t double, v double")
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, b, mt, mv, before = parted(pdf)
+        t, v, at = own["t"].to_numpy(), own["v"].to_numpy(), own["row_idx"].to_numpy()
+        if not len(own):
+            at, come = at[:0], at[:0]
+        elif len(before):
+            few = before.iloc[hull_rows(before["t"].to_numpy(), before["v"].to_numpy(), before["_b"].to_numpy())]
+            come, at = few["row_idx"].to_numpy(), at[lttb_exits(b, t, v, mt, mv, few["t"].to_numpy(), few["v"].to_numpy())]
+        else:
+            come, at = np.array([-1]), at[lttb_pick(b, t, v, mt, mv)[-1:]]
+        return pdf.iloc[np.zeros(len(come), dtype=int)][[*key, "_g"]].assign(_come=come, _go=at)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_g")
+        maps: dict[int, dict[int, int]] = {}
+        for g, come, go in zip(pdf["_g"], pdf["_come"], pdf["_go"]):
+            maps.setdefault(g, {})[come] = go
+        now, starts = -1, []
+        for m in maps.values():
+            starts.append(now)
+            now = m[now]
+        return pdf.drop_duplicates("_g")[[*key, "_g"]].assign(_start=starts)
+
+    place = F.floor(F.col("_b") / size)
+    also = [F.when(F.col("_b") % size == size - 1, place + 1), F.when((F.col("_b") % size == 0) & (place > 0), place - 1)]
+    ranges = cut(hulls).withColumn("_g", F.explode(F.array_compact(F.array(place, *also))))
+    maps = ranges.groupBy(*key, "_g").applyInPandas(ends, f"{kinds}_g long, _come long, _go long")
+    starts = maps.groupBy(*key).applyInPandas(chain, f"{kinds}_g long, _start long")
+    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_g").alias("_at"), "_start")
+    begun = ranges.join(starts, (F.col("_g") == F.col("_at")) & _null_safe(key))
+    return begun.groupBy(*key, "_g").applyInPandas(walk, f"{kinds}row_idx long, t double, v double")
 
 
 def _null_safe(key: list[str]) -> Column:

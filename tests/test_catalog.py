@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import os
 
 import numpy as np
@@ -59,6 +60,44 @@ def test_lttb_by_hulls_is_the_straight_pass(spark):
     assert got == straight_lttb(t, v, 100).tolist()
 
 
+def lttb_series():
+    """Walks, whole numbers with ties, equal values, lines, bursts at one time, bends and NaN."""
+    rng = np.random.default_rng(8)
+    t = np.arange(2500.0)
+    return {
+        "walk": (t, np.cumsum(rng.normal(size=2500))), "whole": (t, rng.integers(-3, 4, 2500) * 1.0), "flat": (t, np.full(2500, 2.0)), "line": (t, 3 * t),
+        "burst": (np.sort(rng.integers(0, 40, 2500)) * 1.0, rng.integers(-9, 9, 2500) * 1.0), "bend": (t, (t - 1000) ** 2), "nan": (t, np.where(t % 611 == 17, np.nan, rng.integers(-5, 5, 2500) * 1.0)),
+        "short": (t[:90], t[:90] % 7), None: (t, rng.integers(0, 2, 2500) * 1.0),
+    }
+
+
+@pytest.mark.parametrize("chunk", [10_000_000, 170])
+def test_lttb_in_ranges_is_the_straight_pass(spark, monkeypatch, chunk):
+    monkeypatch.setattr(series, "CHUNK", chunk)
+    rows = [(k, int(n), float(a), float(b)) for k, (t, v) in lttb_series().items() for n, (a, b) in enumerate(zip(t, v))]
+    df = spark.createDataFrame(rows, "k string, n long, t double, v double").repartition(5)
+    want = {k: list(range(90)) if k == "short" else straight_lttb(t, v, 100).tolist() for k, (t, v) in lttb_series().items()}
+    for together in (4096, 10):
+        got = collections.defaultdict(list)
+        for r in downsample.lttb(df, ["k"], ["t", "n"], "t", "v", 100, together).collect():
+            got[r["k"]].append(r["row_idx"])
+        assert {k: sorted(x) for k, x in got.items()} == want, together
+    assert downsample.lttb(df.limit(0), ["k"], ["t", "n"], "t", "v", 100, 10).count() == 0
+
+
+def test_hulls_stay_small_and_hold_every_corner():
+    rng = np.random.default_rng(9)
+    t, bucket = np.arange(20_000.0), np.arange(20_000) // 5000
+    for v in (rng.normal(size=20_000), np.full(20_000, 1.0), 2 * t, np.sin(t / 300)):
+        at = downsample.hull_rows(t, v, bucket)
+        for angle in rng.normal(size=(50, 2)):
+            for b in range(4):
+                own, kept = bucket == b, at[bucket[at] == b]
+                assert np.isclose((angle[0] * t[own] + angle[1] * v[own]).max(), (angle[0] * t[kept] + angle[1] * v[kept]).max())
+        assert len(at) < 4000
+    assert len(downsample.hull_rows(t, np.full(20_000, 1.0), bucket)) <= 16
+
+
 def test_spikes_survive_smart(spark, small):
     v = np.sin(np.arange(4000) / 100) * 5
     v[[1000, 2500]] = [100, -80]
