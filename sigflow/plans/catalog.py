@@ -530,11 +530,27 @@ def _(s, d):
     return downsample.minmax(ev(s, d), KEY, ORDER, "t", "value", 100, 5, 150, True).select("event_type", "bucket", "row_idx", "v")
 
 
-@query("d04_lttb")
+LT = f"""WITH RECURSIVE {EV},
+x AS (SELECT event_type, t, value AS v, row_number() OVER ({WIN}) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ev WHERE value IS NOT NULL),
+b AS (SELECT *, CAST(CASE WHEN n <= 200 THEN i WHEN i = 0 THEN 0 WHEN i = n - 1 THEN 199 ELSE least(floor((i - 1) / ((n - 2) / 198::DOUBLE)) + 1, 198) END AS BIGINT) AS k FROM x),
+m AS (SELECT event_type, k, sum(t) / count(*) AS mt, sum(v) / count(*) AS mv FROM b GROUP BY ALL),
+walk AS (SELECT event_type, k, i, t, v FROM b WHERE k = 0
+UNION ALL SELECT event_type, k, p.i, p.t, p.v FROM (
+SELECT b.event_type, b.k, max({{'area': CASE WHEN m.k IS NULL THEN 0 ELSE abs((w.t - m.mt) * (b.v - w.v) - (w.t - b.t) * (m.mv - w.v)) END, 'first': -b.i, 'i': b.i, 't': b.t, 'v': b.v}}) AS p
+FROM walk w JOIN b ON b.event_type = w.event_type AND b.k = w.k + 1 LEFT JOIN m ON m.event_type = b.event_type AND m.k = b.k + 1 GROUP BY b.event_type, b.k))
+SELECT event_type, i AS row_idx, t, v FROM walk"""
+
+
+@query("d04_lttb", LT)
 def _(s, d):
     return downsample.lttb(ev(s, d), KEY, ORDER, "t", "value", 200)
 
 
+@query("d04_lttb_ranges", LT)
+def _(s, d):
+    return downsample.lttb(ev(s, d), KEY, ORDER, "t", "value", 200, together=20)
+
+
 @query("d05_lttb_critical")
 def _(s, d):
     return downsample.lttb_critical(ev(s, d), KEY, ORDER, "t", "value", 300, 100, [20.0, 150.0])
