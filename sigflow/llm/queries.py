@@ -29,7 +29,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ class CoverTree:
 
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, worst: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best in data, none below `worst`, the query's kth score so far.
+    """(place in queries, vec_id, score) of each query's k best in data, none below `worst`, the query's kth score so far.
 
     A pair of nodes is left out when even the largest product of points within their radii stays below the least
     kth score of the query node's members.
@@ -94,7 +94,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, worst: np.ndarray, d
     q, v, s = q[order], v[order], s[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     top = rank < k
-    return list(zip(query_ids[q[top]].tolist(), v[top].tolist(), s[top].astype(np.int64).tolist()))
+    return list(zip(q[top].tolist(), v[top].tolist(), s[top].astype(np.int64).tolist()))
 
 
 def matrix(vectors: list[list[int]], wide: int) -> np.ndarray:
@@ -122,8 +122,8 @@ def _search(k: int, wide: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, tree, tree_ids = None, [], [], None, None
-        pending: list[tuple[int, list[int], float]] = []
-        out: list[tuple[int, int, int]] = []
+        pending: list[tuple[int, list[int], float, int]] = []
+        out: list[tuple[int, int, int, int]] = []
 
         def ask() -> None:
             nonlocal tree, tree_ids
@@ -131,16 +131,17 @@ def _search(k: int, wide: int):
                 if tree is None:
                     tree, tree_ids = CoverTree(matrix(vectors, wide)), np.array(ids, dtype=np.int64)
                 qs = matrix([p[1] for p in pending], wide)
-                out.extend(dual_search(qs, np.array([p[0] for p in pending], dtype=np.int64), np.array([p[2] for p in pending]), tree, tree_ids, k))
+                hits = dual_search(qs, np.array([p[0] for p in pending], dtype=np.int64), np.array([p[2] for p in pending]), tree, tree_ids, k)
+                out.extend((pending[q][0], pending[q][3], v, s) for q, v, s in hits)
             pending.clear()
 
         for batch in batches:
-            for block, asks, vec_id, v, worst in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, asks, vec_id, v, worst, copy in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != key:
                     ask()
                     key, ids, vectors, tree = block, [], [], None
                 if asks:
-                    pending.append((vec_id, v, worst))
+                    pending.append((vec_id, v, worst, copy))
                     if len(pending) >= 2048:
                         ask()
                 else:
@@ -155,16 +156,16 @@ def _search(k: int, wide: int):
     return run
 
 
-def _found(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*out)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+def _found(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*out)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "copy", "vec_id", "score"])
 
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, copy long, vec_id long, score long"
 
 
 def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, centers: int = 64, sample: int = 2048, block: int = 8192, group: int = 512) -> DataFrame:
-    """Each query's k best vectors: query_id, rank, vec_id, score; exact, ties to the smaller vec_id.
+    """Each query's k best vectors: query_id, rank, vec_id, score, copy; exact, ties to the smaller vec_id.
 
     Components become floor(scale * x); the score is the integer inner product. The top of the cover tree is up to
     `centers` centres, picked farthest first from at most `sample` vectors of least hash; all rows are assigned and
@@ -175,7 +176,8 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
 
     Vectors that are null or hold null, NaN or infinite components take no part. A query never finds rows of its own
     vec_id. Rows without vec_id take no part. Shorter vectors count as filled with zeros. Repeated rows are
-    separate candidates; a repeated query asks once. Fewer than k candidates: all of them. Empty tables: no rows.
+    separate candidates; a repeated query asks once, and different vectors of one vec_id ask each for itself, numbered
+    from 0 in copy by their components. Fewer than k candidates: all of them. Empty tables: no rows.
     Products must stay below 2^53 (components below 2^23 at 64 dimensions). Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -188,7 +190,7 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     data = prepared(vectors)
     wide = data.agg(F.max(F.size("v"))).first()[0] or 0
     if not wide:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, copy long")
     seeds = matrix([r["v"] for r in data.orderBy(F.xxhash64("v"), "vec_id").limit(sample).collect()], wide)
     picked, best = [0], np.sqrt(((seeds - seeds[0]) ** 2).sum(axis=1))
     while len(picked) < centers and best.max() > 0:
@@ -197,7 +199,8 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     middle = seeds[picked]
     kinds = "vec_id long, v array<bigint>, node int, dist double"
     data = cut(data.mapInArrow(_assign(middle), kinds))
-    asked = cut(prepared(queries).dropDuplicates(["vec_id"]).mapInArrow(_assign(middle), kinds))
+    asked = prepared(queries).dropDuplicates(["vec_id", "v"]).mapInArrow(_assign(middle), kinds)
+    asked = cut(asked.withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).cast("long") - 1))
     nodes = {r["node"]: r for r in data.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()}
     in_node = {r["node"]: r["n"] for r in asked.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.create_map(*[F.lit(x) for n, r in nodes.items() for x in (n, -(-r["n"] // block))])
@@ -207,14 +210,14 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     asked = asked.withColumn("grp", deal(groups[F.col("node")]).cast("int"))
 
     def met(asks: DataFrame) -> DataFrame:
-        both = data.select("block", F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("worst"))
-        both = both.union(asks.select("block", F.lit(True), "vec_id", "v", "worst"))
+        both = data.select("block", F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("worst"), F.lit(0).cast("long").alias("copy"))
+        both = both.union(asks.select("block", F.lit(True), "vec_id", "v", "worst", "copy"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return both.repartition(n, "block").sortWithinPartitions("block", "asks", "vec_id").mapInArrow(_search(k, wide), FOUND)
 
     home = asked.where(parts[F.col("node")].isNotNull()).withColumn("block", F.struct("node", F.pmod(F.xxhash64("vec_id"), parts[F.col("node")]).cast("int").alias("part"))).withColumn("worst", F.lit(float("-inf")))
-    first = met(home).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= k)
-    asked = cut(asked.join(first.select(F.col("query_id").alias("vec_id"), F.col("low").cast("double").alias("worst")), "vec_id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")))))
+    first = met(home).groupBy("query_id", "copy").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= k)
+    asked = cut(asked.join(first.select(F.col("query_id").alias("vec_id"), "copy", F.col("low").cast("double").alias("worst")), ["vec_id", "copy"], "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")))))
     norms = np.sqrt((middle**2).sum(axis=1))
     spread = asked.groupBy("node", "grp").agg(F.min("worst").alias("least"), F.max("dist").alias("reach"))
     # the open nodes of a group: centres' products and radii against the group's worst kth score
@@ -224,6 +227,6 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     bounds = spark.createDataFrame(table, "node int, other int, fixed double, slope double, parts int")
     open_ = spread.join(F.broadcast(bounds), "node").where((F.col("fixed") + F.col("slope") * F.col("reach")) * (1 + 1e-9) + 1 >= F.col("least"))
     open_ = open_.select("node", "grp", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("other").alias("node"), p.cast("int").alias("part")))).alias("block"))
-    found = met(asked.join(open_, ["node", "grp"]).select("block", "vec_id", "v", "worst"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met(asked.join(open_, ["node", "grp"]).select("block", "vec_id", "v", "worst", "copy"))
+    w = Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "copy")

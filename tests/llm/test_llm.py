@@ -180,6 +180,23 @@ def test_topk(spark):
     assert len(got) == 70 and topk.search(df.limit(0), df).count() == 0
 
 
+def test_topk_of_query_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(14)
+    v = np.round(rng.normal(size=(120, 4)), 3)
+    ids = [k // 2 if k < 20 else k for k in range(120)]  # ten ids of two vectors each
+    rows = [(i, [float(x) for x in p]) for i, p in zip(ids, v)]
+    df = spark.createDataFrame([*rows, rows[0], rows[3]], "vec_id long, embedding array<double>")
+    ints = np.floor(1024 * v).astype(np.int64)
+    want = set()
+    for q in range(20):
+        copy = int(ints[q].tolist() > ints[q ^ 1].tolist())
+        every = [(-int(ints[k] @ ints[q]), ids[k]) for k in [*range(120), 0, 3] if ids[k] != ids[q]]
+        want |= {(ids[q], copy, r + 1, i, -s) for r, (s, i) in enumerate(sorted(every)[:10])}
+    for parts in (1, 5):
+        out = topk.search(df.repartition(parts), df.where("vec_id < 10").repartition(parts), centers=4, block=30, group=3).collect()
+        assert {(r["query_id"], r["copy"], r["rank"], r["vec_id"], r["score"]) for r in out} == want and len(out) == len(want)
+
+
 def test_warc(spark):
     pages = [(1, "http://a/1", "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 500, 1), (2, None, None, 1), (0, "x\r\ny", "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 500, 1), (3, "u", "", 1), (None, "u", "z", 1), (5, "u", "q" * 3_000_000, 1), (5, "u", "q" * 3_000_000, 1)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, data int")
