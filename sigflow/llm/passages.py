@@ -87,11 +87,11 @@ def minima(shingles: np.ndarray, begin: np.ndarray, stop: np.ndarray, factors: n
 
 
 def _texts(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[tuple]:
-    """Of some texts at a time: shingles, and per paragraph (and window, if wanted) its document, key, start and end in
+    """Of some texts at a time: shingles, and per paragraph (and window, if wanted) its row of the batch, key, start and end in
     code points, first and last shingle; and the kind (0: window). A key is a digest of the shingles in order."""
     for batch in batches:
-        ids, at = batch.column(0).to_pylist(), 0
-        for texts in in_groups(batch.column(1)):
+        at = 0
+        for texts in in_groups(batch.column("text")):
             words = Words(texts)
             runs = shingles_in_order(words.ids, WIDTH)
             first, after, kind = paragraphs(words)
@@ -105,7 +105,7 @@ def _texts(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[tuple]:
             if len(first):
                 raw, stop = memoryview(runs).cast("B"), after - WIDTH + 1
                 keys = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((first * 8).tolist(), (stop * 8).tolist())]
-                yield [ids[k] for k in owner.tolist()], runs, keys, words.starts[first], words.ends[after - 1], first, stop, kind
+                yield batch, owner, runs, keys, words.starts[first], words.ends[after - 1], first, stop, kind
 
 
 def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,9 @@ def _units(bands: int, rows: int, most: int = 50_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
-        for ids, runs, keys, start, end, first, stop, kind in _texts(batches, True):
+        for batch, row, runs, keys, start, end, first, stop, kind in _texts(batches, True):
+            who = [batch.column(name).take(pa.array(row)) for name in ("doc_id", "text_hash", "row")]
+            ids = who[0].to_pylist()
             places, labels = [], []
             for seen, salt, bit in zip(held, salts, (1, 2)):
                 new = []
@@ -152,8 +154,8 @@ def _units(bands: int, rows: int, most: int = 50_000):
             has = np.bincount(place, minlength=len(keys))
             at = pa.array(np.concatenate([[0], np.cumsum(has) * bands]).astype(np.int32), mask=np.append(has == 0, False))
             flat = np.concatenate(labels)[np.argsort(place, kind="stable")].ravel()
-            cols = [pa.array(ids, pa.int64()), pa.array(start), pa.array(end), *map(pa.array, _halves(keys)), pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "k1", "k2", "prefixes"])
+            cols = [*who, pa.array(start), pa.array(end), *map(pa.array, _halves(keys)), pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "row", "start", "end", "k1", "k2", "prefixes"])
 
     return run
 
@@ -164,7 +166,7 @@ def _sets(wanted, most: int = 50_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(wanted.value, dtype=np.uint8)
         seen: set[bytes] = set()
-        for _, runs, own, _, _, first, stop, _ in _texts(batches, False):
+        for _, _, runs, own, _, _, first, stop, _ in _texts(batches, False):
             keys, sizes, sets = [], [], []
             h = _halves(own)[0] % BITS
             for k in np.flatnonzero(marks[h >> 3] >> (h & 7).astype(np.uint8) & 1).tolist():
@@ -196,7 +198,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, recall: float = 0.99, block: int = 256) -> DataFrame:
-    """doc_id, spans, n_removed: for each document the stretches that repeat a passage of an earlier one.
+    """doc_id, spans, n_removed, text_hash: for each row of docs the stretches that repeat a passage of an earlier one.
 
     Paragraphs of 20 words or more (lines; and within them long sentences and groups of short ones, see paragraphs())
     collide with others of their kind when one of the bands of two minima is equal, with as many bands as the recall at
@@ -204,17 +206,20 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     similarity. So that no verbatim repeat is
     lost where lines and sentences are cut otherwise, each run of 50 words also holds a window of 20 words that all
     its copies hold (see anchors()); windows repeat only as they are. A component of equal or linked paragraphs keeps
-    its first occurrence, by doc_id (null last) and start; all others are removed, but for those that overlap it.
-    Overlapping removals of a document merge into spans of code points; n_removed is their total length. Documents
-    without removals have no row.
+    its first occurrence, by doc_id (null last), text_hash and start; all others are removed, but for those that overlap it.
+    Overlapping removals of a row merge into spans of code points; n_removed is their total length. Rows without
+    removals are left out.
 
-    Null and short texts have no paragraphs. Rows with a repeated doc_id count as one document of several texts.
-    Other columns are ignored; an empty table gives no rows.
+    Null and short texts have no paragraphs. Rows that share a doc_id, or have none, are documents of their own, told
+    apart by text_hash (xxhash64 of the text); of equal rows all but one have their repeats removed, it does not matter
+    which. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     owner = F.coalesce("doc_id", F.lit(-1)).alias("owner")
-    units = cut(slim.mapInArrow(_units(bands_for(threshold, recall), 2), "doc_id long, start long, end long, k1 long, k2 long, prefixes array<long>"))
+    rows = slim.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    # the numbers of rows hold from here on, as the table is written
+    units = cut(rows.mapInArrow(_units(bands_for(threshold, recall), 2), "doc_id long, text_hash long, row long, start long, end long, k1 long, k2 long, prefixes array<long>"))
     group = _candidates(units.where("prefixes is not null").select(F.col("k1").alias("u"), owner, "prefixes"))
     units = units.drop("prefixes")
     h = F.pmod(F.col("u"), F.lit(BITS))
@@ -236,12 +241,12 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     several = maybe.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).join(linked, ["k1", "k2"], "left").where("times > 1 or root is not null")
     # written by itself, so that the join below is free to split a passage that very many documents hold
     several = cut(several.select("k1", "k2", F.coalesce("root", _whole("k1", "k2")).alias("root")))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "end")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row", "start", "end")
     occurs = cut(maybe.join(several, ["k1", "k2"]))
     heads = cut(occurs.groupBy("root").agg(F.min(place).alias("head")))
-    gone = occurs.select("doc_id", "start", "end", "root").join(heads, "root")
-    gone = gone.where(~F.col("doc_id").eqNullSafe(F.col("head.doc_id")) | (F.col("start") >= F.col("head.end")))
-    spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    gone = occurs.select("doc_id", "text_hash", "row", "start", "end", "root").join(heads, "root")
+    gone = gone.where((F.col("row") != F.col("head.row")) | (F.col("start") >= F.col("head.end")))
+    spans = gone.groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
     kind = "array<struct<start: bigint, end: bigint>>"
 
     def join_up(a, x):
@@ -249,5 +254,5 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
         wider = F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], x["end"]).alias("end"))
         return F.when(touch, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(a, F.array(x)))
 
-    merged = spans.select("doc_id", F.aggregate("s", F.array().cast(kind), join_up).alias("spans"))
-    return merged.withColumn("n_removed", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
+    merged = spans.select("doc_id", "text_hash", F.aggregate("s", F.array().cast(kind), join_up).alias("spans"))
+    return merged.select("doc_id", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"), "text_hash")

@@ -408,6 +408,34 @@ def test_language(spark):
     assert all(out[k]["lang"] == ("aa", "bb")[k % 2] for k in range(20)) and out[30]["lang"] == "bb" and 0 < out[31]["posterior"] <= 1
 
 
+def test_passages_tell_rows_with_one_doc_id_apart(spark):
+    """Copies with the same doc_id or none go but for one; other texts of that doc_id keep their own spans."""
+    rng = random.Random(77)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a + "\n" + b), (2, b), (2, c), (None, c), (None, c), (None, None), (None, "")]
+    got = collections.Counter()
+    for r in passages.find_repeats(make(spark, [(k, t, "s", 0, "x") for k, t in rows])).collect():
+        got[r["doc_id"], r["text_hash"], r["n_removed"], tuple((s["start"], s["end"]) for s in r["spans"])] += 1
+    key = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in {t for _, t in rows if t}], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    left = collections.Counter()
+    for k, t in rows:
+        if t:
+            left[k, key[t]] += 1
+    # of each line, by (doc_id, text_hash), the first occurrence stays
+    want = collections.Counter()
+    seen = set()
+    for k, t in sorted(((k, t) for k, t in rows if t), key=lambda r: (r[0] is None, r[0] or 0, key[r[1]])):
+        spans, at = [], 0
+        for line in t.split("\n"):
+            if line in seen:
+                spans.append((at, at + len(line)))
+            seen.add(line)
+            at += len(line) + 1
+        if spans:
+            want[k, key[t], sum(y - x for x, y in spans), tuple(spans)] += 1
+    assert got == want and all(n <= left[k[:2]] for k, n in got.items())
+
+
 def test_passages_do_not_depend_on_the_partitioning(spark):
     rng = random.Random(13)
     sentence = lambda: words(rng, rng.randint(8, 14)) + "."
@@ -418,8 +446,8 @@ def test_passages_do_not_depend_on_the_partitioning(spark):
     key = lambda r: (r["doc_id"] is None, r["doc_id"], str(r["spans"]))
     found = [sorted(passages.find_repeats(make(spark, x).repartition(n, "doc_id")).collect(), key=key) for n, x in ((1, rows), (5, rows[::-1]))]
     assert found[0] == found[1]
-    # both texts of document -1 have the same places, so neither repeats an earlier place of it
-    assert {r["doc_id"] for r in found[0]} == {None, 3, *range(12, 18)}
+    # of the two equal rows of document -1 one stays
+    assert {r["doc_id"] for r in found[0]} == {-1, None, 3, *range(12, 18)} and sum(r["doc_id"] == -1 for r in found[0]) == 1
 
 
 def test_each_run_of_50_words_holds_a_paragraph(spark):
