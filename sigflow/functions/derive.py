@@ -39,6 +39,11 @@ def row_wise(expr: str) -> str:
     return expr
 
 
+def log10(x: str) -> str:
+    """The expression of a decimal logarithm that is -Infinity at 0 and NaN below, where Spark's own is null."""
+    return f"CASE WHEN {x} > 0 THEN log10({x}) WHEN {x} = 0 THEN double('-Infinity') WHEN {x} < 0 THEN double('NaN') END"
+
+
 def divide(a: Column, b: Column, zero: float | None = None) -> Column:
     x = F.try_divide(a, b)
     return x if zero is None else F.coalesce(x, F.when(b == 0, F.lit(zero)))

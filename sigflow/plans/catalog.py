@@ -645,7 +645,7 @@ def _(s, d):
 
 @query("f03_functions", "SELECT event_id, round(power(value / 100, 3), 6) AS cube, abs(value - 50) AS off, round(exp(value / 500), 8) AS e, round(cos(value), 8) AS c, round(tan(value / 400), 8) AS t, round(log10(value), 8) AS l, round(power(value, 0.5) - sqrt(value), 8) AS zero FROM events")
 def _(s, d):
-    exprs = {"cube": "round(power(value / 100, 3), 6)", "off": "abs(value - 50)", "e": "round(exp(value / 500), 8)", "c": "round(cos(value), 8)", "t": "round(tan(value / 400), 8)", "l": "round(log10(value), 8)", "zero": "round(power(value, 0.5) - sqrt(value), 8)"}
+    exprs = {"cube": "round(power(value / 100, 3), 6)", "off": "abs(value - 50)", "e": "round(exp(value / 500), 8)", "c": "round(cos(value), 8)", "t": "round(tan(value / 400), 8)", "l": f"round({D.log10('value')}, 8)", "zero": "round(power(value, 0.5) - sqrt(value), 8)"}
     return D.derive(table(s, d, "events"), exprs).select("event_id", *exprs)
 
 
