@@ -91,7 +91,9 @@ def concatenate(df: DataFrame, segs: DataFrame, key: list[str], t: str, gap: flo
     return found.withColumn("t_cat", F.col(t) - F.col("_at.start_t") + F.col("_at._off")).select(*df.columns, "t_cat")
 
 
-def with_gaps(df: DataFrame, segs: DataFrame, key: list[str], t: str, v: str) -> DataFrame:
-    """Rows inside segments plus one null value at the end of each, so that plots break there."""
-    inside = in_segments(df, segs, key, t, "start_t", "end_t").select(*key, t, v)
+def with_gaps(df: DataFrame, segs: DataFrame, key: list[str], order: list[str], t: str, v: str) -> DataFrame:
+    """Rows inside segments plus one null value at the end of each, so that plots break there. Rows count by their index, so
+    one outside that shares its time with a segment's end stays out; null keys are a series."""
+    x = with_row_index(df, key, order).withColumn("_series", F.struct(*key))
+    inside = in_segments(x, segs.withColumn("_series", F.struct(*key)), ["_series"], "row_idx", "start_idx", "end_idx").select(*key, t, v)
     return inside.unionByName(segs.select(*key, F.col("end_t").alias(t), F.lit(None).cast("double").alias(v)))

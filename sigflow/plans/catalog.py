@@ -228,7 +228,7 @@ def _(s, d):
 
 @query("g06_gaps", f"+, {SEG} SELECT event_type, round(t, 3) AS t, value FROM ev WHERE value >= 50 UNION ALL SELECT event_type, round(end_t, 3), NULL FROM seg")
 def _(s, d):
-    return rounded(segments.with_gaps(ev(s, d), _seg(s, d), KEY, "t", "value"), "t", n=3)
+    return rounded(segments.with_gaps(ev(s, d), _seg(s, d), KEY, ORDER, "t", "value"), "t", n=3)
 
 
 @query("j01_in_segments", f"+, {SEG} SELECT event_id FROM ev WHERE EXISTS (SELECT 1 FROM seg WHERE seg.event_type = ev.event_type AND ev.t BETWEEN start_t AND end_t)")

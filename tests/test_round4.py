@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pytest
+
 import __spark_entry__ as entry
+from sigflow.operators import cells
 
 
 def test_logarithm_of_zero_and_below(spark, tmp_path):
@@ -17,3 +20,17 @@ def test_logarithm_of_zero_and_below(spark, tmp_path):
     want = {r[0]: r[1] for r in con.execute("select event_id, round(log10(value), 8) from events").fetchall()}
     assert got[1] == want[1] == -math.inf and got[3] == want[3] == 2.0 and got[4] is want[4] is None
     assert math.isnan(got[5]) and math.isnan(want[5]) and math.isnan(got[2])
+
+
+@pytest.mark.parametrize("small", [cells.SMALL, 0])
+def test_gaps_leave_out_rows_that_share_a_time_with_a_segment(spark, tmp_path, monkeypatch, small):
+    import duckdb
+
+    monkeypatch.setattr(cells, "SMALL", small)
+    duckdb.sql(f"""COPY (FROM (VALUES (1, 'a', 1, 60.0), (2, 'a', 1, 10.0), (3, 'a', 2, 20.0), (4, 'a', 3, 5.0), (5, 'a', 3, 70.0), (6, 'a', 3, 80.0), (7, 'a', 3, 1.0), (8, NULL, 1, 90.0), (9, NULL, 1, 2.0))
+        v(event_id, event_type, s, value) SELECT event_id::BIGINT AS event_id, event_type, 1::BIGINT AS user_id, TIMESTAMP '2024-01-01' + to_seconds(s) AS ts, value::DOUBLE AS value, '' AS props) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    got = sorted(tuple(r) for r in entry.queries()["g06_gaps"](spark, str(tmp_path)).fillna({"value": -1.0, "event_type": "-"}).collect())
+    con = duckdb.connect()
+    con.execute(f"set timezone = 'UTC'; create view events as from '{tmp_path}/events.parquet'")
+    want = con.execute(f"select coalesce(event_type, '-'), t, coalesce(value, -1) from ({entry.oracle_sql()['g06_gaps']})").fetchall()
+    assert len(got) == 7 and got == sorted(want)
