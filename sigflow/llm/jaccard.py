@@ -173,37 +173,12 @@ def _verify(threshold: float):
     return run
 
 
-def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for a, b in zip(*(batch.column(k) for k in range(2))):
-            x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (a, b))
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(common / (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["s"])
-
-
-def sampled_similarities(sets: DataFrame, shingles: DataFrame, trees: int, threshold: float, labels: int = 200_000, pairs: int = 1000) -> list[float]:
-    """Similarities (threshold or more) of at most `pairs` pairs of sets that share a top node.
-
-    Top nodes are drawn by their hash, whole, about as many as hold `labels` labels; each gives its least and its
-    greatest member. Both bounds hold at any size of the input.
-    """
-    every = max(1, sets.count() * trees // labels)
-    tops = sets.select("u", F.explode("labels.hi").alias("hi")).where(F.pmod("hi", F.lit(every)) == 0)
-    ends = tops.groupBy("hi").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b").select("a", "b").distinct()
-    drawn = cut(ends.orderBy(F.xxhash64("a", "b")).limit(pairs))
-    wanted = drawn.select(F.col("a").alias("u")).union(drawn.select("b")).distinct()
-    own = cut(shingles.join(F.broadcast(wanted), "u").groupBy("u").agg(F.min("shingles").alias("s")))
-    both = drawn.join(own.select(F.col("u").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("u").alias("b"), F.col("s").alias("y")), "b")
-    return [r["s"] for r in both.select("x", "y").mapInArrow(_similarity, "s double").where(F.col("s") >= threshold).collect()]
-
-
 def prefix_length(seen: list[float], threshold: float, trees: int, recall: float, at_threshold: float) -> int:
     """Shorten the prefixes matched, a level at a time, until the recall is reached.
 
-    The recall is that of the pairs drawn, each weighted by 1 over its chance to share a top node, and one more at
-    the threshold; besides, a pair at the threshold must be found with chance at_threshold at any rate.
+    The recall is that of pairs with the similarities `seen`, each weighted by 1 over its chance to share a top node, and one
+    more at the threshold; besides, a pair at the threshold must be found with chance at_threshold at any rate. With none
+    seen it is the recall of a pair at the threshold, which every pair above exceeds.
     """
     weights = np.array([1.0, *[1 / forest_recall(s, trees, TOP) for s in seen]])
     for depth in range(LONGEST, TOP, -1):
@@ -261,7 +236,7 @@ def _classes(slim: DataFrame, threshold: float, width: int, trees: int, recall:
     full = feats.where("n > 0")
     sets = cut(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.first("u").alias("u"), F.first("labels", ignorenulls=True).alias("labels")))
     carried = full.where("shingles is not null").select("set_key", "u", "n", "shingles")
-    depth = prefix_length(sampled_similarities(sets, carried.select("u", "shingles"), trees, threshold), threshold, trees, recall, at_threshold)
+    depth = prefix_length([], threshold, trees, recall, at_threshold)
     group = candidate_groups(sets.select("u", "labels"), depth)
     sets = sets.select("set_key", "weight")
     # shingles of a candidate set: one of its documents carries them; the others' never move
@@ -283,9 +258,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     other documents that one links to, copies included.
 
     Each set of shingles gets a label of eight minima in each of `trees` prefix tries. Sets that share a node are
-    candidates. Nodes as deep as the labels come first; the prefixes are shortened level by level until the recall
-    estimated from a bounded sample of the pairs reaches `recall`, and that of a pair at the threshold itself
-    at_threshold (see prefix_length()). All queries of a join share the threshold, so they share the depth as well.
+    candidates. Nodes as deep as the labels come first; the prefixes are shortened level by level until a pair at the
+    threshold, the hardest one to find, is found with a chance of `recall` and at_threshold (see prefix_length()). That
+    depends on the parameters alone, so each pair has this chance at least, whatever the other pairs are like.
     Equal sets are one node with a weight. Sets that share nodes form candidate groups; groups above `block` sets are
     dealt into blocks by size, and block pairs that can reach the threshold are verified apart, so a group of any
     size is compared in full in tasks of bounded size.

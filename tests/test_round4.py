@@ -34,3 +34,17 @@ def test_gaps_leave_out_rows_that_share_a_time_with_a_segment(spark, tmp_path, m
     con.execute(f"set timezone = 'UTC'; create view events as from '{tmp_path}/events.parquet'")
     want = con.execute(f"select coalesce(event_type, '-'), t, coalesce(value, -1) from ({entry.oracle_sql()['g06_gaps']})").fetchall()
     assert len(got) == 7 and got == sorted(want)
+
+
+def test_depth_of_the_join_does_not_follow_the_pairs_at_hand(spark, monkeypatch):
+    from sigflow.llm import jaccard
+
+    rows = []
+    for k in range(40):
+        base = [f"w{k}x{j}" for j in range(400)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], "other"]))]  # likeness 0.995
+    depths, real = [], jaccard.candidate_groups
+    monkeypatch.setattr(jaccard, "candidate_groups", lambda sets, depth: depths.append(depth) or real(sets, depth))
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.where("n_links = 1").count() == 80
+    assert depths == [6] and jaccard.forest_recall(0.8, 24, 6) >= 0.999
