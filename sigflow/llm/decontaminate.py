@@ -98,7 +98,7 @@ class Index:
         self.starts, self.at, self.most = np.array(starts), np.array(at, dtype=np.int64), np.array(most)
         self.key = np.repeat(np.arange(len(hashes)), np.diff(self.starts)) * self.blocks + self.at
 
-    def search(self, window: np.ndarray, term: np.ndarray, threshold: float, room: int = 1 << 21) -> Iterator[tuple[int, int, float]]:
+    def search(self, window: np.ndarray, term: np.ndarray, threshold: float, room: int = 1 << 18) -> Iterator[tuple[int, int, float]]:
         """(window, item, score) of all items that a window's distinct terms score at threshold or above.
 
         The pairs are sorted by window and term. Lists whose bounds sum to less than half the threshold cannot bring
@@ -228,9 +228,11 @@ def _annotate(index, threshold: float, overlap: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            last = batch.num_columns - 1
-            found = [x for texts in in_groups(batch.column(last)) for x in own.leaks(texts, threshold, overlap)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(last)], pa.array(found, LEAK_TYPE)], names=names)
+            last, at = batch.num_columns - 1, 0
+            for texts in in_groups(batch.column(last)):
+                found = pa.array(own.leaks(texts, threshold, overlap), LEAK_TYPE)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(at, len(texts)) for k in range(last)], found], names=names)
+                at += len(texts)
 
     return run
 

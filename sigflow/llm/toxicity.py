@@ -423,13 +423,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def _score(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            most, total, spots = scorer.evidence(texts)
-            spans = [[{"start": a, "end": b} for a, b in scorer.spans(t, p)] for t, p in zip(texts, spots)]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            cols = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(scorer.score(most, total)), pa.array(total), pa.array(spans, kind)], names=names)
+            last, at = batch.num_columns - 1, 0
+            for texts in in_groups(batch.column(last)):
+                most, total, spots = scorer.evidence(texts)
+                spans = [[{"start": a, "end": b} for a, b in scorer.spans(t, p)] for t, p in zip(texts, spots)]
+                cols = [batch.column(k).slice(at, len(texts)) for k in range(last)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(scorer.score(most, total)), pa.array(total), pa.array(spans, kind)], names=names)
+                at += len(texts)
 
     return run
 
