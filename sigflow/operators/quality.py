@@ -25,14 +25,32 @@ def number(c: Column) -> Column:
     return c.try_cast("double")
 
 
+#: Values that a task of uniques() holds at most before they are dealt by value.
+HELD = 1_000_000
+
+
+def uniques(df: DataFrame, cols: list[str]) -> DataFrame:
+    """k, uniques: the different values (as text, nulls aside) of the kth column. Rows are dealt over so many tasks that none
+    gathers more than HELD values, however few files hold them."""
+    x = df.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(cols)], F.monotonically_increasing_id().alias("_at"))
+    tasks = -(-df.count() * len(cols) // HELD)
+    if tasks > 1:
+        x = x.repartition(tasks, "_at")
+    each = x.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("s")) for k in range(len(cols))])).alias("x")).select("x.*")
+    return each.where("s is not null").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("uniques"))
+
+
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per column: total, nulls, null_pct, uniques and the numeric summary, all in one pass."""
+    """One row per column: total, nulls, null_pct, uniques and the numeric summary; the values that are told apart go by
+    value over the tasks, all else is one pass."""
     aggs = []
     for k, c in enumerate(cols):
         s = F.col(c).cast("string")
         n = number(s)
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("total"), F.count_if(s.isNull()).alias("nulls"), (F.lit(100.0) * F.count_if(s.isNull()) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("null_pct"), F.count_distinct(s).alias("uniques"), F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("std")).alias(f"c{k}"))
-    return df.agg(*aggs).select(F.explode(F.array(*[f"c{k}" for k in range(len(cols))])).alias("x")).select("x.*")
+        aggs.append(F.struct(F.lit(k).alias("k"), F.lit(c).alias("column"), F.count(F.lit(1)).alias("total"), F.count_if(s.isNull()).alias("nulls"), (F.lit(100.0) * F.count_if(s.isNull()) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("null_pct"), F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("std")).alias(f"c{k}"))
+    x = df.agg(*aggs).select(F.explode(F.array(*[f"c{k}" for k in range(len(cols))])).alias("x")).select("x.*")
+    x = x.join(F.broadcast(uniques(df, cols)), "k", "left")  # a row a column
+    return x.select("column", "total", "nulls", "null_pct", F.coalesce("uniques", F.lit(0)).alias("uniques"), "min", "max", "mean", "std")
 
 
 def detect_types(df: DataFrame, cols: list[str]) -> DataFrame:

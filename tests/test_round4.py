@@ -48,3 +48,15 @@ def test_depth_of_the_join_does_not_follow_the_pairs_at_hand(spark, monkeypatch)
     out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert out.where("n_links = 1").count() == 80
     assert depths == [6] and jaccard.forest_recall(0.8, 24, 6) >= 0.999
+
+
+@pytest.mark.parametrize("held", [1_000_000, 7])
+def test_uniques_are_counted_in_tasks_of_bounded_size(spark, monkeypatch, held):
+    from sigflow.operators import quality
+
+    monkeypatch.setattr(quality, "HELD", held)
+    df = spark.range(40).selectExpr("if(id % 5 = 0, null, id % 7) as a", "1 as b", "cast(null as string) as c")
+    out = quality.profile(df, ["a", "b", "c"])
+    assert [(r["column"], r["total"], r["nulls"], r["uniques"]) for r in out.collect()] == [("a", 40, 8, 7), ("b", 40, 0, 1), ("c", 40, 40, 0)]
+    assert quality.profile(df.limit(0), ["a"]).first()["uniques"] == 0
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
