@@ -18,13 +18,13 @@ SMALL = 64 << 20
 UNKNOWN = 1 << 62
 
 
-def fits(df: DataFrame) -> bool:
+def fits(df: DataFrame, small: int | None = None) -> bool:
     """Whether all of df is small enough for one task, by the sizes of its sources; where a source doesn't tell its size, by
-    whether df has more than a row for each KB of SMALL, for which no more rows than that are counted."""
-    size = input_bytes(df)
-    if size >= UNKNOWN and SMALL < UNKNOWN:
-        return SMALL > 0 and df.select(F.lit(1)).limit((SMALL >> 10) + 1).count() <= SMALL >> 10
-    return size < SMALL
+    whether df has more than a row for each KB of `small` (SMALL), for which no more rows than that are counted."""
+    size, small = input_bytes(df), SMALL if small is None else small
+    if size >= UNKNOWN and small < UNKNOWN:
+        return small > 0 and df.select(F.lit(1)).limit((small >> 10) + 1).count() <= small >> 10
+    return size < small
 
 
 def _digits(df: DataFrame, c: str) -> list[Column]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigflow.operators import series
+from sigflow.operators import cells, series
 from sigflow.operators.rolling import extrema, limit_crossings, sudden_changes
 from sigflow.operators.scratch import cut
 from sigflow.operators.series import with_row_index, with_totals
@@ -488,6 +490,10 @@ def view(lods: dict[int, DataFrame], df: DataFrame, key: list[str], t: str, sign
     return envelope(lods[level], key, signal, a, b).select(*key, "t", "v")
 
 
-def apply_series(df: DataFrame, key: list[str], fn, schema: str) -> DataFrame:
-    """A user's whole-series function; each series must fit a task."""
-    return df.groupBy(*key).applyInPandas(fn, schema)
+def apply_series(df: DataFrame, key: list[str], order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, **before: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+    """A user's function of series, called once for each cell of a series' order (see `series.in_cells`) with the cell's rows
+    in order, so that no task holds a series. What it needs of the cells before stands beside the rows, a column for each
+    of `before` as in `series.with_carry`: null in a series' first cell."""
+    x, _ = series.in_cells(df, key, order, cells.SMALL >> 4)
+    x = series.with_carry(x, **before).withColumn("_cell", F.col("_chunk.n")).drop("_chunk")
+    return x.groupBy(*key, "_cell").applyInPandas(lambda pdf: fn(pdf.drop(columns="_cell").sort_values(order, na_position="first", kind="stable")), schema)

@@ -19,13 +19,13 @@ def ordered(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order) if key else Window.partitionBy(F.lit(0)).orderBy(*order)
 
 
-def in_cells(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, WindowSpec]:
+def in_cells(df: DataFrame, key: list[str], order: list[str], small: int | None = None) -> tuple[DataFrame, WindowSpec]:
     """df with the cell (_chunk) of each row, and a cell's window in the series' order, for `with_carry`.
 
-    A small table has one cell a series, which is a plain window; otherwise cells hold about CHUNK / 4 rows, see
+    A small table (of fewer bytes than `small`, by default cells.SMALL) has one cell a series, which is a plain window; otherwise cells hold about CHUNK / 4 rows, see
     `cells.balanced`, so that no task sorts a series. Null keys are a series; null times come first, NaN last.
     """
-    if cells.fits(df):
+    if cells.fits(df, small):
         x = df.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), F.lit(0).alias("n")))
     else:
         x = cells.balanced(df, key, order, max(1, CHUNK // 4))
@@ -45,6 +45,8 @@ def with_carry(x: DataFrame, ahead: dict[str, tuple[Column, Callable[[Column], C
         kinds = x.groupBy().agg(*[one.alias(n) for n, (one, _) in {**before, **(ahead or {})}.items()] or [F.lit(0).alias("_")]).schema
         none = {n: F.lit(None).cast(kinds[n].dataType) for n in [*before, *(ahead or {})]}
         return x.withColumns(none | {n: one.over(Window.partitionBy("_chunk")) for n, (one, _) in (whole or {}).items()})
+    if not (before or ahead or whole):
+        return x
     w = Window.partitionBy("_c.k").orderBy("_c.n")
     frames = [(before, w.rowsBetween(Window.unboundedPreceding, -1)), (ahead or {}, w.orderBy(F.col("_c.n").desc()).rowsBetween(Window.unboundedPreceding, -1)), (whole or {}, Window.partitionBy("_c.k"))]
     sums = x.groupBy(F.col("_chunk").alias("_c")).agg(*[one.alias(n) for parts, _ in frames for n, (one, _) in parts.items()])

@@ -693,10 +693,11 @@ def _(s, d):
 @query("x03_series_functions", "+, x AS (SELECT event_id, i, sum(value) OVER (PARTITION BY event_type ORDER BY i) AS total FROM ev) SELECT event_id, round(total, 4) AS total FROM x")
 def _(s, d):
     def totals(pdf):
-        pdf = pdf.sort_values(["t", "event_id"])
-        return pdf.assign(total=pdf["value"].cumsum().round(4))[["event_id", "total"]]
+        so_far, known = pdf["_sum"].fillna(0) + pdf["value"].fillna(0).cumsum(), pdf["_sum"].notna() | pdf["value"].notna().cummax()
+        return pdf.assign(total=so_far.where(known).round(4))[["event_id", "total"]]
 
-    return downsample.apply_series(ev(s, d).select("event_type", "event_id", "t", "value"), KEY, totals, "event_id long, total double")
+    x = ev(s, d).select("event_type", "event_id", "t", "value")
+    return downsample.apply_series(x, KEY, ["t", "event_id"], totals, "event_id long, total double", _sum=(F.sum("value"), F.sum))
 
 
 @query("s14_export", "SELECT round(epoch_us(ts) / 1e6, 3) AS t, value, user_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")

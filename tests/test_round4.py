@@ -60,3 +60,21 @@ def test_uniques_are_counted_in_tasks_of_bounded_size(spark, monkeypatch, held):
     assert [(r["column"], r["total"], r["nulls"], r["uniques"]) for r in out.collect()] == [("a", 40, 8, 7), ("b", 40, 0, 1), ("c", 40, 40, 0)]
     assert quality.profile(df.limit(0), ["a"]).first()["uniques"] == 0
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [cells.SMALL, 0])
+def test_series_functions_get_cells_and_what_was_before(spark, tmp_path, monkeypatch, small):
+    import duckdb
+
+    from sigflow.operators import downsample, series
+
+    monkeypatch.setattr(cells, "SMALL", small)
+    monkeypatch.setattr(series, "CHUNK", 64)
+    duckdb.sql(f"""COPY (SELECT range AS event_id, CASE WHEN range % 3 = 0 THEN 'a' END AS event_type, range AS user_id, TIMESTAMP '2024-01-01' + to_seconds(range // 2) AS ts,
+        CASE WHEN range > 4 AND range % 7 <> 0 THEN range / 4 END AS value, '' AS props FROM range(600)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    sizes = downsample.apply_series(spark.read.parquet(f"{tmp_path}/events.parquet"), ["event_type"], ["ts", "event_id"], lambda x: x.iloc[:1].assign(n=len(x))[["n"]], "n long")
+    assert max(r["n"] for r in sizes.collect()) <= (400 if small else 32)
+    got = {r["event_id"]: r["total"] for r in entry.queries()["x03_series_functions"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    assert got == dict(con.execute(entry.oracle_sql()["x03_series_functions"]).fetchall())
