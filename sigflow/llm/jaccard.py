@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigflow.llm.common import Words, components, cut, in_groups, internal, mix64, shingle_hashes, split_by
 
-FEATURES = "set_key binary, u long, n long, labels array<struct<hi: bigint, lo: bigint>>, shingles binary"
+FEATURES = "set_key binary, u long, n long, labels array<struct<hi: bigint, lo: bigint>>"
 LABEL = pa.struct([("hi", pa.int64()), ("lo", pa.int64())])
 #: Minima in a label: the first half, hashed, is a trie's top node; the others, 16 bits of each, are the path below it.
 TOP, LONGEST = 4, 8
@@ -42,7 +42,7 @@ def labels_of(minima: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _features(trees: int, width: int, most: int = 50_000):
-    """Set key, size, labels and shingles of each text. Copies of a set that a task has just seen carry the key alone."""
+    """Set key, size and labels of each text. Copies of a set that a task has just seen have no labels."""
     rng = np.random.default_rng(7)
     factors = rng.integers(1, 1 << 63, trees * LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salt = mix64(np.arange(1, trees + 1, dtype=np.uint64))
@@ -50,34 +50,54 @@ def _features(trees: int, width: int, most: int = 50_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            names = batch.schema.names[:-1] + ["set_key", "u", "n", "labels", "shingles"]
+            names = batch.schema.names[:-1] + ["set_key", "u", "n", "labels"]
             at = 0
             for texts in in_groups(batch.column(batch.num_columns - 1)):
-                keys, sizes, sets, his, los = [], [], [], [], []
+                keys, sizes, has, his, los = [], [], [], [], []
                 words = Words(texts)
                 for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
                     s = shingle_hashes(words.ids[a:b], width)
-                    raw = s.tobytes()
-                    keys.append(xxhash.xxh3_128_digest(raw))
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    if not len(s) or keys[-1] in seen:
-                        sets.append(None)
+                    has.append(len(s) > 0 and keys[-1] not in seen)
+                    if not has[-1]:
                         continue
                     if len(seen) >= most:
                         seen.clear()
                     seen.add(keys[-1])
-                    sets.append(raw)
                     hi, lo = labels_of(signature(s, factors).reshape(trees, LONGEST), salt)
                     his.append(hi)
                     los.append(lo)
-                has = np.array([x is not None for x in sets])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(has) * trees]).astype(np.int32), mask=np.append(~has, False))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(has) * trees]).astype(np.int32), mask=np.append(~np.array(has), False))
                 none = [np.empty(0, dtype=np.int64)]
                 flat = pa.StructArray.from_arrays([pa.array(np.concatenate(his or none)), pa.array(np.concatenate(los or none))], fields=list(LABEL))
                 cols = [batch.column(k).slice(at, len(texts)) for k in range(batch.num_columns - 1)]
                 at += len(texts)
                 u = np.frombuffer(b"".join(keys), dtype=np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary()), pa.array(u), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(sets, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary()), pa.array(u), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=names)
+
+    return run
+
+
+def _shingles(width: int, most: int = 50_000):
+    """Set key and shingles of each text; what a task has just seen is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for texts in in_groups(batch.column(0)):
+                keys, sets = [], []
+                words = Words(texts)
+                for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
+                    raw = shingle_hashes(words.ids[a:b], width).tobytes()
+                    key = xxhash.xxh3_128_digest(raw)
+                    if raw and key not in seen:
+                        if len(seen) >= most:
+                            seen.clear()
+                        seen.add(key)
+                        keys.append(key)
+                        sets.append(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "shingles"])
 
     return run
 
@@ -191,17 +211,16 @@ def prefix_length(seen: list[float], threshold: float, trees: int, recall: float
 def candidate_groups(sets: DataFrame, depth: int) -> DataFrame:
     """u, root: components over shared trie nodes of this depth, each node tied to its least member.
 
-    Labels are dealt by top node, and sorted, once: a subtree's nodes of any depth are runs of its sorted labels.
+    sets: u, labels, repeats allowed. Labels are dealt and sorted by node, once.
     """
-    tries = sets.select("u", F.explode("labels").alias("label")).select("u", "label.hi", "label.lo").repartition("hi").sortWithinPartitions("hi", "lo")
-    nodes = tries.select("u", "hi", F.shiftrightunsigned("lo", 16 * (LONGEST - depth)).alias("path") if depth > TOP else F.lit(0).cast("long").alias("path"))
-    shared = nodes.groupBy("hi", "path").agg(F.min("u").alias("v"), F.max("u").alias("w")).where("v < w").select("hi", "path", "v")
-    edges = nodes.join(shared, ["hi", "path"]).select("u", "v")
-    return cut(components(edges))
+    nodes = sets.select("u", F.explode("labels").alias("label")).select("u", "label.hi", F.shiftrightunsigned("label.lo", 16 * (LONGEST - depth)).alias("path") if depth > TOP else F.lit(0).cast("long").alias("path"))
+    least = F.min("u").over(Window.partitionBy("hi", "path"))
+    return cut(components(nodes.select("u", least.alias("v")).where("u != v")))
 
 
-def verify(of: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Exact links within candidate groups: of has root, set_key, n, weight and shingles, a row per set.
+def verify(of: DataFrame, shingles: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Exact links within candidate groups: of has root, set_key, n and weight, a row per set; shingles has set_key and
+    shingles, and joins the sets when they are dealt already.
 
     Rows (u, null, links) count the documents that a set links to; rows (u, v, 0) are edges of spanning forests.
     """
@@ -223,31 +242,33 @@ def verify(of: DataFrame, threshold: float, block: int) -> DataFrame:
     mates = F.concat(others(-1), others(0), others(1))
     large = large.withColumn("mate", F.explode(mates)).withColumn("me", me)
     task = F.xxhash64("root", F.least("me", "mate"), F.greatest("me", "mate"))
-    large = large.select(task.alias("task"), "set_key", "n", "weight", F.xxhash64("me").alias("block"), "shingles")
-    small = placed.where(F.col("all") <= block).select(F.xxhash64("root").alias("task"), "set_key", "n", "weight", F.lit(0).cast("long").alias("block"), "shingles")
-    work = small.union(large).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
+    large = large.select(task.alias("task"), "set_key", "n", "weight", F.xxhash64("me").alias("block"))
+    small = placed.where(F.col("all") <= block).select(F.xxhash64("root").alias("task"), "set_key", "n", "weight", F.lit(0).cast("long").alias("block"))
+    work = small.union(large).join(shingles, "set_key").select("task", "set_key", "n", "weight", "block", "shingles")
+    work = work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task")
     return cut(work.mapInArrow(_verify(threshold), "u binary, v binary, links long"))
 
 
 def _classes(slim: DataFrame, threshold: float, width: int, trees: int, recall: float, at_threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(slim without text, with set_key and n; linked sets with root and links): slim has doc_id, its own columns, and text last."""
+    """(slim without text, with set_key and n; linked sets with root and links): slim has doc_id, ka (the text's hash), its own
+    columns, and text last."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     feats = cut(slim.mapInArrow(_features(trees, width), f"{fields}, {FEATURES}"))
     full = feats.where("n > 0")
-    sets = cut(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.first("u").alias("u"), F.first("labels", ignorenulls=True).alias("labels")))
-    carried = full.where("shingles is not null").select("set_key", "u", "n", "shingles")
     depth = prefix_length([], threshold, trees, recall, at_threshold)
-    group = candidate_groups(sets.select("u", "labels"), depth)
+    group = candidate_groups(full.where("labels is not null").select("u", "labels"), depth)
+    sets = cut(full.groupBy("set_key").agg(F.count(F.lit(1)).alias("weight"), F.first("u").alias("u"), F.first("n").alias("n"), F.min("ka").alias("ka")))
+    # shingles are made again for one text of each candidate set; the others' are never kept
+    of = cut(sets.join(group, "u").drop("u"))
+    maybe, _ = split_by(slim.select("ka", "text"), "ka", of, "ka")
+    shingles = maybe.select("text").mapInArrow(_shingles(width), "set_key binary, shingles binary").dropDuplicates(["set_key"])
     sets = sets.select("set_key", "weight")
-    # shingles of a candidate set: one of its documents carries them; the others' never move
-    maybe, _ = split_by(carried, "u", group, "u")
-    of = maybe.dropDuplicates(["set_key"]).join(group, "u").drop("u").join(sets, "set_key")
-    found = verify(of, threshold, block)
+    found = verify(of.drop("ka"), shingles, threshold, block)
     classes = components(found.where("v is not null").select("u", "v")).select(F.col("u").alias("set_key"), "root")
     degree = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "set_key")
     known = sets.join(classes, "set_key", "left").join(degree, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     known = known.select("set_key", "root", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")).where("links > 0")
-    return feats.drop("u", "labels", "shingles"), cut(known)
+    return feats.drop("u", "labels"), cut(known)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, width: int = 5, trees: int = 24, recall: float = 0.999, at_threshold: float = 0.99, block: int = 256) -> DataFrame:
@@ -270,7 +291,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     documents of their own that link to one another. An empty table gives an empty table; other columns are left
     alone.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("ka"), F.col(text).alias("text"))
     feats, known = _classes(slim, threshold, width, trees, recall, at_threshold, block)
     least = feats.groupBy("set_key").agg(F.min("doc_id").alias("least_id")).join(known, "set_key")
     named = cut(known.join(least.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("set_key", "class_id", "links"))

@@ -6,6 +6,7 @@ import collections
 import functools
 import hashlib
 import html
+import pathlib
 import random
 import time
 import re
@@ -95,6 +96,18 @@ def test_forest_recall_against_all_pairs(spark, threshold):
     assert got <= want and len(got) >= 0.97 * len(want) and 30 < len(want) < 150
 
 
+def test_jaccard_keeps_no_shingles_of_texts_without_candidates(spark):
+    rng = random.Random(21)
+    rows = [(k, words(rng, 2000), "s", k, "x") for k in range(200)]
+    rows.append((200, rows[7][1].replace("w1 ", "W1, "), "s", 200, "x"))
+    where = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in where.rglob("*.parquet"))
+    before = held()
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(make(spark, rows)).collect()}
+    assert got == {(k, k, int(k == 7)) for k in range(200)} | {(200, 7, 1)}
+    assert held() - before < sum(len(r[1]) for r in rows) / 5
+
+
 def test_prefixes_shorten_until_the_recall():
     assert jaccard.prefix_length([], 0.8, 24, 0.999, 0.99) == 6
     assert jaccard.prefix_length([0.97] * 50, 0.8, 24, 0.999, 0.99) == 7
