@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from sigflow.operators import cells, series
 from sigflow.operators.rolling import extrema, limit_crossings, sudden_changes
 from sigflow.operators.scratch import cut
-from sigflow.operators.series import with_row_index, with_totals
+from sigflow.operators.series import NUMBERED, numbered, with_row_index, with_totals
+
+
+def _held(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What to do with a step's rows that several later ones read: rows of a large table are written, so that each step is
+    done once."""
+    return (lambda x: x) if cells.fits(df, cells.SMALL >> 4) else cut
 
 
 def uniform(df: DataFrame, key: list[str], order: list[str], max_points: int, last: bool = False) -> DataFrame:
@@ -138,13 +144,20 @@ def lttb(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points
     end with to the point it ends with itself, these few maps are composed along the series, and each range
     then picks from its known start.
 
-    Null values are left out; rows with NaN (time or value) win their bucket, the first of them, as comparisons would have it.
+    Null values are left out, and row_idx counts the others (with the order NUMBERED it is the rows' own); rows with NaN (time
+    or value) win their bucket, the first of them, as comparisons would have it.
     """
-    x = with_row_index(df.where(F.col(v).isNotNull()), key, order, total="_n")
+    x, at = df.where(F.col(v).isNotNull()), F.col("row_idx")
+    if order is not NUMBERED:
+        x = with_row_index(x, key, order, total="_n")
+    elif df.where(F.col(v).isNull()).isEmpty():
+        x = with_totals(x, key, _n=F.count(F.lit(1)))
+    else:
+        x, at = with_row_index(x, key, order, "_i", total="_n"), F.col("_i")
     width = (F.col("_n") - 2) / F.lit(float(points - 2))
-    inner = F.least(F.floor((F.col("row_idx") - 1) / width) + 1, F.lit(points - 2))
-    bucket = F.when(F.col("row_idx") == 0, 0).when(F.col("row_idx") == F.col("_n") - 1, points - 1).otherwise(inner)
-    x = x.withColumn("_b", F.when(F.col("_n") <= points, F.col("row_idx")).otherwise(bucket).cast("long")).select(*key, "row_idx", F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v"), "_b")
+    inner = F.least(F.floor((at - 1) / width) + 1, F.lit(points - 2))
+    bucket = F.when(at == 0, 0).when(at == F.col("_n") - 1, points - 1).otherwise(inner)
+    x = x.withColumn("_b", F.when(F.col("_n") <= points, at).otherwise(bucket).cast("long")).select(*key, "row_idx", F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v"), "_b")
     x = x.withColumn("_q", F.floor(F.col("row_idx") / series.CHUNK))
     kinds = "".join(f"`{k}` {dict(df.dtypes)[k]}, " for k in key)
 
@@ -224,14 +237,14 @@ def _null_safe(key: list[str]) -> Column:
     return out
 
 
-def _blocks(rows: DataFrame, key: list[str], fan: int, most: int) -> list[DataFrame]:
+def _blocks(rows: DataFrame, key: list[str], fan: int, most: int, held: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
     """A pyramid over (row_idx, v): level 0 holds the rows of each block of `fan`, level k + 1 the bounds of level k's blocks."""
     names = [f"_k{i}" for i in range(len(key))]
     parts = rows.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("row_idx").alias("_p"), F.col("v").alias("_hi"), F.col("v").alias("_lo"))
     out: list[DataFrame] = []
     while True:
-        held = F.array_sort(F.collect_list(F.struct("_p", "_hi", "_lo")))
-        out.append(parts.groupBy(*names, F.floor(F.col("_p") / fan).alias("_node")).agg(held.alias("_parts"), F.max("_hi").alias("_max"), F.min("_lo").alias("_min")))
+        inner = F.array_sort(F.collect_list(F.struct("_p", "_hi", "_lo")))
+        out.append(held(parts.groupBy(*names, F.floor(F.col("_p") / fan).alias("_node")).agg(inner.alias("_parts"), F.max("_hi").alias("_max"), F.min("_lo").alias("_min"))))
         most = -(-most // fan)
         if most <= 1:
             return out
@@ -263,12 +276,13 @@ def with_prominence(df: DataFrame, key: list[str], order: list[str], v: str, w:
     """
     value = F.col(v).cast("double")
     value = F.when(~F.isnan(value), value)
-    rows = with_row_index(df, key, order).select(*key, "row_idx", value.alias("v"))
+    held, df, order = _held(df), numbered(df, key, order, v), NUMBERED
+    rows = df.select(*key, "row_idx", value.alias("v"))
     most = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    levels = _blocks(rows, key, fan, most)
+    levels = _blocks(rows, key, fan, most, held)
 
     found = extrema(df, key, order, v, w).select(*key, "row_idx", value.alias("v"), "kind").where(F.col("v").isNotNull())
-    found = found.withColumn("_sign", F.when(F.col("kind") == "peak", 1.0).otherwise(-1.0)).withColumn("_h", F.col("_sign") * F.col("v"))
+    found = held(found).withColumn("_sign", F.when(F.col("kind") == "peak", 1.0).otherwise(-1.0)).withColumn("_h", F.col("_sign") * F.col("v"))
     open_ = found.withColumn("_low", F.col("_h")).withColumn("_pos", F.col("row_idx")).withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1))))
     left = F.col("_side") < 0
 
@@ -276,14 +290,14 @@ def with_prominence(df: DataFrame, key: list[str], order: list[str], v: str, w:
     for level in levels:
         off = (F.col("_pos") % fan).cast("int")
         near = F.when(left, F.reverse(F.slice("_parts", F.lit(1), off))).otherwise(F.slice("_parts", off + 2, F.lit(fan)))
-        x = _look(open_, key, level, F.floor(F.col("_pos") / fan), near)
+        x = held(_look(open_, key, level, F.floor(F.col("_pos") / fan), near))
         stopped.append(x.where("_hit > 0").withColumn("_pos", F.col("_pos") + F.col("_side") * F.col("_hit")).drop("_hit", "_n"))
         open_ = x.where("_hit = 0").withColumn("_pos", F.floor(F.col("_pos") / fan)).drop("_hit", "_n")
     inside = stopped[-1]
     for k in range(len(levels) - 1, 0, -1):
         x = _look(inside, key, levels[k - 1], F.col("_pos"), F.when(left, F.reverse("_parts")).otherwise(F.col("_parts")))
         at = F.col("_pos") * fan + F.when(left, F.col("_n") - F.col("_hit")).otherwise(F.col("_hit") - 1)
-        inside = stopped[k - 1].unionByName(x.withColumn("_pos", at).drop("_hit", "_n"))
+        inside = stopped[k - 1].unionByName(held(x.withColumn("_pos", at).drop("_hit", "_n")))
     ends = inside.unionByName(open_)
 
     low = F.max("_low") if variant == "B" else F.min("_low")
@@ -386,6 +400,7 @@ def top_significant(points: DataFrame, key: list[str], least: float = 0.0, most:
 
 def critical_points(df: DataFrame, key: list[str], order: list[str], t: str, v: str, w: int = 10, k: float = 3.0, limits: list[float] | None = None, least: float = 0.0, most: int | None = None) -> DataFrame:
     """Extrema, sudden changes and limit crossings: deduplicated, filtered by significance, the `most` best kept."""
+    held, df, order = _held(df), numbered(df, key, order, t, v), NUMBERED
     parts = [with_prominence(df, key, order, v, w).select(*key, "row_idx", "v", "kind", "significance")]
     parts.append(sudden_changes(df, key, order, t, v, k).select(*key, "row_idx", F.col(v).cast("double").alias("v"), F.lit("change").alias("kind"), "significance"))
     if limits:
@@ -393,15 +408,16 @@ def critical_points(df: DataFrame, key: list[str], order: list[str], t: str, v:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return top_significant(proximity_dedup(out, key), key, least, most)
+    return top_significant(proximity_dedup(held(out), key), key, least, most)
 
 
 def lttb_critical(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, critical: int = 500, limits: list[float] | None = None) -> DataFrame:
     """LTTB rows and critical points together, each row once."""
+    df, order = numbered(df, key, order, t, v), NUMBERED
     best = critical_points(df, key, order, t, v, limits=limits, most=min(critical, points // 2))
     rows = lttb(df, key, order, t, v, max(3, points - min(critical, points // 2))).select(*key, "row_idx")
     picked = rows.unionByName(best.select(*key, "row_idx")).distinct()
-    return with_row_index(df, key, order).join(picked, [*key, "row_idx"], "left_semi").select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"))
+    return df.join(picked, [*key, "row_idx"], "left_semi").select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"))
 
 
 def auto(df: DataFrame, key: list[str], order: list[str], t: str, v: str, width: int = 1920, limits: list[float] | None = None, critical: int = 500) -> DataFrame:
@@ -417,7 +433,7 @@ def auto(df: DataFrame, key: list[str], order: list[str], t: str, v: str, width:
 
 def spikes(df: DataFrame, key: list[str], order: list[str], v: str, low: float | None = None, high: float | None = None, k: float = 3.0) -> DataFrame:
     """Rows outside given bounds, by default mean plus and minus k sample deviations."""
-    x = with_row_index(df, key, order)
+    x = df if order is NUMBERED else with_row_index(df, key, order)
     if low is None or high is None:
         x = with_totals(x, key, _m=F.avg(v), _s=F.stddev_samp(v))
     least = F.lit(low) if low is not None else F.col("_m") - k * F.col("_s")
@@ -428,14 +444,15 @@ def spikes(df: DataFrame, key: list[str], order: list[str], v: str, low: float |
 def smart(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, low: float | None = None, high: float | None = None, near: int = 3) -> DataFrame:
     """Spikes, extrema and changes, filled with LTTB rows (70 % of the target) that are not within `near` rows of them or
     of an LTTB row taken before."""
+    held, df, order = _held(df), numbered(df, key, order, t, v), NUMBERED
     s = spikes(df, key, order, v, low, high).select(*key, "row_idx", F.lit("spike").alias("kind"))
     c = critical_points(df, key, order, t, v).select(*key, "row_idx", "kind")
-    best = s.unionByName(c).groupBy(*key, "row_idx").agg(F.max("kind").alias("kind"))
+    best = held(s.unionByName(c).groupBy(*key, "row_idx").agg(F.max("kind").alias("kind")))
     fill = lttb(df, key, order, t, v, max(100, int(points * 0.7))).select(*key, "row_idx")
     around = best.withColumn("row_idx", F.explode(F.sequence(F.col("row_idx") - near, F.col("row_idx") + near))).select(*key, "row_idx").distinct()
-    fill = fill.join(around, [*key, "row_idx"], "left_anti").withColumn("kind", F.lit("lttb"))
+    fill = held(fill.join(around, [*key, "row_idx"], "left_anti")).withColumn("kind", F.lit("lttb"))
     fill = proximity_dedup(fill.withColumn("significance", F.lit(0.0)), key, near).drop("significance")
-    return with_row_index(df, key, order).join(best.unionByName(fill), [*key, "row_idx"]).select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"), "kind")
+    return df.join(best.unionByName(fill), [*key, "row_idx"]).select(*key, "row_idx", F.col(t).alias("t"), F.col(v).alias("v"), "kind")
 
 
 def quick(df: DataFrame, key: list[str], order: list[str], t: str, v: str, points: int, threshold: float) -> DataFrame:

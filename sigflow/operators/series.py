@@ -13,6 +13,8 @@ from sigflow.operators.scratch import cut
 
 #: Rows of a series that one task of a row window works on, besides those that its frame needs.
 CHUNK = 65_536
+#: The order to call operators with on what numbered() gives: rows have their row_idx already and are not numbered anew.
+NUMBERED = ["row_idx"]
 
 
 def ordered(key: list[str], order: list[str]):
@@ -25,7 +27,9 @@ def in_cells(df: DataFrame, key: list[str], order: list[str], small: int | None
     A small table (of fewer bytes than `small`, by default cells.SMALL) has one cell a series, which is a plain window; otherwise cells hold about CHUNK / 4 rows, see
     `cells.balanced`, so that no task sorts a series. Null keys are a series; null times come first, NaN last.
     """
-    if cells.fits(df, small):
+    if order is NUMBERED:
+        x = df.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), F.floor(F.col("row_idx") / max(1, CHUNK // 4)).alias("n")))
+    elif cells.fits(df, small):
         x = df.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), F.lit(0).alias("n")))
     else:
         x = cells.balanced(df, key, order, max(1, CHUNK // 4))
@@ -68,6 +72,15 @@ def with_row_index(df: DataFrame, key: list[str], order: list[str], name: str =
     return x.drop("_chunk", *parts)
 
 
+def numbered(df: DataFrame, key: list[str], order: list[str], *cols: str) -> DataFrame:
+    """key, row_idx and cols of df, to call several operators on with the order NUMBERED. A large table is numbered and
+    written once, however many of them read it."""
+    if order is NUMBERED:
+        return df
+    x = with_row_index(df, key, order).select(*dict.fromkeys([*key, "row_idx", *cols]))
+    return x if cells.fits(df) else cut(x)
+
+
 def with_row_index_wide(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
     """Row index of one giant series without a single-task sort.
 
@@ -115,11 +128,14 @@ def chunked_with_halo(df: DataFrame, rows: str, size: int, before: int, after: i
 def in_chunks(df: DataFrame, key: list[str], order: list[str], before: int = 0, after: int = 0, total: str | None = None) -> tuple[DataFrame, WindowSpec]:
     """df with row_idx, dealt into chunks, and a chunk's window by row index, good for frames of `before` rows back and
     `after` rows ahead; `own` drops the copied neighbours again."""
-    x, w = in_cells(df, key, order)
-    if one_cell(x):
-        whole = {total: F.count(F.lit(1)).over(Window.partitionBy("_chunk"))} if total else {}
-        return x.withColumns({"row_idx": (F.row_number().over(w) - 1).cast("long"), "_own": F.lit(True)} | whole), w
-    x = with_row_index(df, key, order, total=total)
+    if order is NUMBERED and not total:
+        x = df
+    else:
+        x, w = in_cells(df, key, order)
+        if one_cell(x):
+            whole = {total: F.count(F.lit(1)).over(Window.partitionBy("_chunk"))} if total else {}
+            return x.withColumns({"row_idx": (F.row_number().over(w) - 1).cast("long"), "_own": F.lit(True)} | whole), w
+        x = with_row_index(df, key, order, total=total)
     x = chunked_with_halo(x, "row_idx", max(CHUNK, 4 * (before + after)), before, after, "_n_")
     x = x.withColumn("_chunk", F.struct(F.struct(F.lit(0).alias("_0"), *key).alias("k"), F.col("_n_").alias("n"))).drop("_n_")
     return x, Window.partitionBy("_chunk").orderBy("row_idx")

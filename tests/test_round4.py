@@ -7,7 +7,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry
-from sigflow.operators import cells
+from sigflow.operators import cells, downsample, series
 
 
 def test_logarithm_of_zero_and_below(spark, tmp_path):
@@ -78,3 +78,15 @@ def test_series_functions_get_cells_and_what_was_before(spark, tmp_path, monkeyp
     con = duckdb.connect()
     con.execute(f"create view events as from '{tmp_path}/events.parquet'")
     assert got == dict(con.execute(entry.oracle_sql()["x03_series_functions"]).fetchall())
+
+
+def test_rows_are_numbered_once_for_all_steps(spark, monkeypatch):
+    times, real = [], cells.balanced
+    monkeypatch.setattr(cells, "SMALL", 0)
+    monkeypatch.setattr(series, "CHUNK", 400)
+    monkeypatch.setattr(cells, "balanced", lambda *a: times.append(1) or real(*a))
+    df = spark.range(1500).selectExpr("'a' AS k", "CAST(id AS double) AS t", "if(id % 3 = 1, NULL, CAST(pmod(hash(id), 1000) AS double)) AS v")
+    got = {r["row_idx"]: (r["t"], r["v"]) for r in downsample.lttb_critical(df, ["k"], ["t"], "t", "v", 200, 20).collect()}
+    assert len(times) == 1
+    # rows without a value are none that LTTB picks, and row_idx is the place among all rows
+    assert {0, 1499} <= got.keys() and all(t == i and v is not None for i, (t, v) in got.items())
