@@ -230,8 +230,10 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     # only documents that own a candidate are cut up again
     owners, _ = split_by(slim.select("doc_id", "text", owner), "owner", group, "owner")
     shingled = owners.drop("owner").mapInArrow(_sets(spark.sparkContext.broadcast(bytes(bitmap))), "set_key binary, u long, n long, shingles binary")
-    of = shingled.dropDuplicates(["set_key"]).join(group.drop("owner"), "u").drop("u").withColumn("weight", F.lit(1).cast("long"))
-    found = verify(of, threshold, block)
+    # written once: a paragraph's sizes go into each of its groups, its shingles only into the tasks that compare it
+    shingled = cut(shingled.dropDuplicates(["set_key"]))
+    of = shingled.select("set_key", "u", "n").join(group.drop("owner"), "u").drop("u").withColumn("weight", F.lit(1).cast("long"))
+    found = verify(of, shingled.select("set_key", "shingles"), threshold, block)
     linked = components(found.where("v is not null").select("u", "v"))
     linked = cut(linked.select(_half("u", 1).alias("k1"), _half("u", 9).alias("k2"), "root"))
     # only paragraphs that occur more than once or are linked to others move on

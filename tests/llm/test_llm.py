@@ -607,3 +607,13 @@ def test_extract_against_building_the_page(spark):
         want[k] = "\n\n".join(body)
     got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_passages_of_several_groups_are_compared_in_each(spark):
+    """A paragraph that shares labels with several others, which share none, meets each of them; other columns are ignored."""
+    rng = random.Random(29)
+    w = words(rng, 60).split()
+    rows = [(1, " ".join(w)), (2, " ".join(["other", *w[1:]])), (3, " ".join([*w[:-1], "other"])), (4, words(rng, 60))]
+    docs = make(spark, [(k, t, "s", 0, "x") for k, t in rows])
+    out = {r["doc_id"]: r["n_removed"] for r in passages.find_repeats(docs, block=1).collect()}
+    assert out == {k: len(rows[k - 1][1]) for k in (2, 3)}
