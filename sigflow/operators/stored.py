@@ -12,17 +12,23 @@ from sigflow.operators.series import with_row_index
 from sigflow.operators.stats import preaggregate
 
 LEVELS = (100, 10_000, 100_000)
+#: The most folders of a recording. Those of longer series hold more chunks each, so that the time to write, list and open
+#: folders does not grow with the rows.
+FOLDERS = 256
 
 
 def store(df: DataFrame, key: list[str], order: list[str], t: str, signals: list[str], path: str, size: int = 10_000, folder: int = 64, levels: tuple[int, ...] = LEVELS) -> None:
-    """Write `rows` (with row_idx and chunk, a folder for each `folder` chunks), `chunks` (bounds and sums of every chunk and
-    signal), a table for each level of detail, and `spans`, the catalogue: level, rows, buckets and times of each series."""
-    x = with_row_index(df, key, order).withColumn("chunk", F.floor(F.col("row_idx") / size)).withColumn("part", F.floor(F.col("chunk") / folder))
-    x.repartition("part", *key).sortWithinPartitions(*key, "row_idx").write.partitionBy("part").option("compression", "zstd").parquet(f"{path}/rows")
+    """Write `rows` (with row_idx and chunk, a folder for each `folder` chunks, or more where that would be over FOLDERS
+    folders), `chunks` (bounds and sums of every chunk and signal, and the part that is its folder), a table for each level of
+    detail, and `spans`, the catalogue: level, rows, buckets and times of each series."""
+    longest = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.floor(F.col("chunk") / max(folder, -(-longest // (size * FOLDERS))))
+    x = with_row_index(df, key, order).withColumn("chunk", F.floor(F.col("row_idx") / size)).withColumn("part", part)
+    x.repartition("part", *key).sortWithinPartitions("part", *key, "row_idx").write.partitionBy("part").option("compression", "zstd").parquet(f"{path}/rows")
     x.limit(0).write.parquet(f"{path}/schema")  # a recording without rows has no folders to tell it
     rows = _rows(df.sparkSession, path)
     for k, s in enumerate(signals):
-        chunks = preaggregate(rows, key, "row_idx", s, size).withColumn("signal", F.lit(s))
+        chunks = preaggregate(rows, key, "row_idx", s, size).withColumn("signal", F.lit(s)).withColumn("part", part)
         chunks.write.mode("append" if k else "error").parquet(f"{path}/chunks")
     spans = None
     for level, table in build_lod(rows.drop("row_idx", "chunk", "part"), key, order, t, signals, levels).items():
@@ -42,14 +48,16 @@ def violation_regions(spark: SparkSession, path: str, limits: DataFrame, key: li
 
     Chunks within the limits by their bounds are not read; chunks wholly below or above them are regions by their bounds;
     only the folders of the others are read, picked at run time from the chunks' table. Pieces that touch are one region.
-    Null and NaN are outside nothing; series without limits have no regions.
+    Null and NaN are outside nothing; series without limits have no regions. `folder` counts only for recordings whose chunks'
+    table does not tell the parts.
     """
     chunks = spark.read.parquet(f"{path}/chunks").where(F.col("signal") == v).join(limits, key)
+    part = F.col("part") if "part" in chunks.columns else F.floor(F.col("chunk") / folder)
     clear = (F.col("valid") == F.col("row_count")) & ~F.isnan("vmax")
     inside = (F.col("valid") == 0) | ((F.col("vmin") >= F.col("lo")) & (F.col("vmax") <= F.col("hi")))
     outside = clear & ((F.col("vmax") < F.col("lo")) | (F.col("vmin") > F.col("hi")))
     whole = chunks.where(outside).select(*key, "start_row", (F.col("start_row") + F.col("row_count")).alias("end_row"))
-    mixed = chunks.where(~inside & ~outside).select(*key, "chunk", F.floor(F.col("chunk") / folder).alias("part"), "lo", "hi")
+    mixed = chunks.where(~inside & ~outside).select(*key, "chunk", part.alias("part"), "lo", "hi")
     rows = _rows(spark, path).select(*key, "part", "chunk", "row_idx", v)
     # the folders to read: no more of them than folders that the driver lists, so they may be broadcast whatever the size
     rows = rows.join(F.broadcast(mixed.select("part").distinct()), "part", "left_semi")

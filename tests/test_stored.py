@@ -117,3 +117,15 @@ def test_merged_regions(spark, monkeypatch, small):
                 mine.append([a, b])
         want += [f"Row(k={k!r}, s={a}, e={b})" for a, b in mine]
     assert got == sorted(want)
+
+
+def test_folders_do_not_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """Longer series have wider folders, not more of them, and the same regions."""
+    monkeypatch.setattr(stored, "FOLDERS", 8, raising=False)
+    df, limits = recording(spark, 4000), spark.createDataFrame(LIMITS, "k string, lo double, hi double")
+    stored.store(df, ["k"], ["t", "v"], "t", ["v"], f"{tmp_path}/s", 40, 2, ())
+    assert len(list((tmp_path / "s" / "rows").glob("part=*"))) <= 8
+    got = stored.violation_regions(spark, f"{tmp_path}/s", limits, ["k"], "v", 2)
+    want = segments.half_open(segments.violations(df, limits, ["k"], ["t", "v"], "t", "v"))
+    rows = lambda x: sorted(map(tuple, x.select("k", "start_row", "end_row").collect()))
+    assert rows(got) == rows(want) and ("a", 300, 420) in rows(got) and ("low", 0, 130) in rows(got)
